@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arbordiff.llm import bpe, decontaminate, simhash, token_counts
+from arbordiff.llm import bpe, decontaminate, quality, simhash, token_counts, toxicity, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -21,10 +22,32 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+#: Fixed values: (verdict, host, path).
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the document whose number ends its path (bad: low quality or toxic), or by a seed word in its host."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("marked"))
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"([0-9]{1,18})[^0-9]*$", 1)
+    numbered = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id"), url_filter.seeded(F.col("url")).alias("seeded"))
+    labelled = numbered.join(marks, "doc_id", "left").where("seeded or marked is not null").select("url", F.expr("seeded or coalesce(marked, false)").alias("bad"))
+    return url_filter.filter_urls(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN).drop("ids")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_pieces(table(spark, sf_dir, "documents"), RANKS)
 
@@ -53,7 +76,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op5_byte_bpe, op8_token_counts, op10_simhash)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_url_filter, op5_byte_bpe, op6_toxicity, op7_quality, op8_token_counts, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
