@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordiff.llm import bpe, decontaminate, quality, simhash, token_counts, toxicity, url_filter
+from arbordiff.llm import bpe, decontaminate, neighbours, quality, simhash, token_counts, toxicity, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -52,6 +52,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_pieces(table(spark, sf_dir, "documents"), RANKS)
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), query_every=20, k=20)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -76,7 +80,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_url_filter, op5_byte_bpe, op6_toxicity, op7_quality, op8_token_counts, op10_simhash)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_url_filter, op5_byte_bpe, op6_toxicity, op7_quality, op8_token_counts, op9_neighbours, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
