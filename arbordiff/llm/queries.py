@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordiff.llm import bpe, decontaminate, neighbours, quality, simhash, token_counts, toxicity, url_filter
+from arbordiff.llm import bpe, decontaminate, neighbours, quality, repeats, simhash, token_counts, toxicity, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -22,6 +22,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Fixed values: (verdict, host, path).
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
@@ -78,10 +83,25 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BI
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
+OP2_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 800)) AS m FROM d, UNNEST(range(0, length(h) // 2 - 399)) AS t(p)),
+s AS (SELECT r, p FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+e AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 400 THEN 0 ELSE 1 END AS f FROM s),
+g AS (SELECT r, p, sum(f) OVER (PARTITION BY r ORDER BY p) AS k FROM e),
+x AS (SELECT r, k, min(p) AS b, max(p) + 400 AS z FROM g GROUP BY r, k),
+n AS (SELECT r, count(*) AS spans, sum(z - b) AS removed, max(z) AS last FROM x GROUP BY r),
+o AS (SELECT r, k, b, coalesce(lag(z) OVER (PARTITION BY r ORDER BY k), 0) AS a FROM x),
+t AS (SELECT r, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY k) AS kept FROM o JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op3_url_filter, op5_byte_bpe, op6_toxicity, op7_quality, op8_token_counts, op9_neighbours, op10_simhash)}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op3_url_filter, op5_byte_bpe, op6_toxicity, op7_quality, op8_token_counts, op9_neighbours, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op2_suffix_array_dedup": OP2_SQL}
