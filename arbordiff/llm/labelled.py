@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from arbordiff.llm.common import fold_of
 
 #: Most labelled rows that a classifier is fitted on, and most characters of text they hold together.
-SAMPLE_ROWS, SAMPLE_CHARACTERS = 12_000, 60_000_000
+SAMPLE_ROWS, SAMPLE_CHARACTERS = 12_000, 40_000_000
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: int = 0, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> pd.DataFrame:
