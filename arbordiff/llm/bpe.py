@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbordiff.llm.common import map_arrow, ranges
+from arbordiff.llm.common import Shared, map_arrow, ranges
 
 NONE = np.int32(2**31 - 1)
 #: Most bytes of a row in each bucket.
@@ -263,22 +263,12 @@ class Encoder:
         return np.array([x for x in ids if x >= 0], np.int32)
 
 
-_encoders: dict = {}
-
-
-def _encoder(shared) -> Encoder:
-    if (key := getattr(shared, "_id", id(shared))) not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(*shared.value)
-    return _encoders[key]
-
-
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>) for every row. vocabulary: path of a rank file, read on the driver (its size is that of the vocabulary)."""
-    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(vocabulary), pattern))
+    shared = Shared(docs.sparkSession, (read_ranks(vocabulary), pattern))
 
     def kernel(batches):
-        encoder = _encoder(shared)
+        encoder = shared.made(lambda value: Encoder(*value))
         for b in batches:
             texts = b.column(1)
             for lo in range(0, len(texts), 64):

@@ -26,6 +26,22 @@ def map_arrow(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(kernel, schema)
 
 
+class Shared:
+    """A broadcast value, and what a worker makes of it: made once for each worker and kept under a name that is never used again."""
+
+    _made: dict = {}
+
+    def __init__(self, spark: SparkSession, value):
+        self.name, self.broadcast = uuid.uuid4().hex, spark.sparkContext.broadcast(value)
+
+    def made(self, make: Callable):
+        if self.name not in Shared._made:
+            while len(Shared._made) > 3:
+                Shared._made.pop(next(iter(Shared._made)))
+            Shared._made[self.name] = make(self.broadcast.value)
+        return Shared._made[self.name]
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbordiff.llm.common import batch, map_arrow, utf8
+from arbordiff.llm.common import Shared, map_arrow, utf8
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of item text in one automaton; a larger benchmark is worked off in blocks of this size.
@@ -141,14 +141,8 @@ class Automaton:
                 s = self.short_link[link[s]]
 
 
-_built: dict[int, Automaton] = {}
-
-
-def _automaton(shared, window: int) -> Automaton:
-    if (key := (shared._id if hasattr(shared, "_id") else id(shared), window)) not in _built:
-        _built.clear()
-        _built[key] = Automaton([(i, WORD.findall(t.lower())) for i, t in shared.value], window)
-    return _built[key]
+def _automaton(shared: Shared, window: int) -> Automaton:
+    return shared.made(lambda block: Automaton([(i, WORD.findall(t.lower())) for i, t in block], window))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
@@ -190,7 +184,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_
 
         return kernel
 
-    parts = [map_arrow(rows, kernel_of(spark.sparkContext.broadcast(x)), schema) for x in _blocks(benchmark)]
+    parts = [map_arrow(rows, kernel_of(Shared(spark, x)), schema) for x in _blocks(benchmark)]
     if len(parts) == 1:
         found = parts[0]
     else:
@@ -228,7 +222,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     size_col, where there is one, follows the text. Blocks of a larger benchmark are applied one after another."""
     spark = docs.sparkSession
     for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
+        shared = Shared(spark, block)
 
         def kernel(batches, shared=shared):
             automaton = _automaton(shared, window)

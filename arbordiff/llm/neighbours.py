@@ -112,10 +112,11 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, recall: float
     rows = whole.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")
     total = whole.count()
     sampled = whole.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, 0.9 * SAMPLE / total)))) if total > SAMPLE else whole
-    sample = np.array([r.v for r in sampled.dropDuplicates(["v"]).orderBy("vec_id").limit(SAMPLE).collect()], float)
+    sample = np.array([r.v for r in sampled.orderBy("vec_id").limit(SAMPLE).collect()], float)
     if not len(sample):
         sample = np.array([r.v for r in whole.limit(1).collect()], float)
-    tree = Tree(sample, max(8, int(LEAF * len(sample) / total)))
+    distinct = np.unique(sample, axis=0)  # copies don't shape the tree, but count when it is calibrated
+    tree = Tree(distinct, max(8, int(LEAF * len(sample) / total)))
     visits = calibrate(tree, sample, k, recall)
     shared = spark.sparkContext.broadcast(tree)
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from arbordiff.llm.bpe import read_ranks
-from arbordiff.llm.common import map_arrow, utf8
+from arbordiff.llm.common import Shared, map_arrow, utf8
 
 #: Words whose counts a worker remembers.
 REMEMBERED = 400_000
@@ -79,18 +79,12 @@ class _Counts(dict):
         return n
 
 
-_counts: dict = {}
-
-
 def count_pieces(docs: DataFrame, vocabulary: str, marker: bytes = b" ", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_words, n_pieces, n_unknown): pieces include one for each unknown word. vocabulary: path of a rank file."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    shared = Shared(docs.sparkSession, read_ranks(vocabulary))
 
     def kernel(batches):
-        if (key := (getattr(shared, "_id", id(shared)), marker)) not in _counts:
-            _counts.clear()
-            _counts[key] = _Counts(LongestMatch(shared.value), marker)
-        look = _counts[key].__getitem__
+        look = shared.made(lambda tokens: _Counts(LongestMatch(tokens), marker)).__getitem__
         for b in batches:
             words, pieces, unknown = [], [], []
             for text in utf8(b.column(1)):
