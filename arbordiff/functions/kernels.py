@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from arbordiff.operators import alignment, merging, patches
 from arbordiff.operators.patches import Options
 from arbordiff.operators.terms import Space, encode, node_rows, render
-from arbordiff.sources.grammars import ParseError, _parsers, _unparsers, grammar, unparser
+from arbordiff.sources.grammars import ParseError, grammar, install, registry, unparser
 
 #: Rows of a batch in a kernel; trees are small, but a text may be long.
 BATCH_ROWS = 256
@@ -32,11 +32,10 @@ def add_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], work:
     kept = [c for c in df.columns if c not in outputs]
     schema = ", ".join([f"`{c}` {t}" for c, t in df.select(kept).dtypes] + [f"`{c}` {t}" for c, t in outputs.items()])
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(inputs)]).alias("_in"))
-    parsers, unparsers = dict(_parsers), dict(_unparsers)
+    registered = registry()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _parsers.update(parsers)  # grammars registered on the driver
-        _unparsers.update(unparsers)
+        install(*registered)
         for b in batches:
             rows = [work(Space(), *r.values()) for r in b.column(len(kept)).to_pylist()]
             arrays = [pa.array([r.get(c) for r in rows], ARROW.get(t, None) or arrow_type(t)) for c, t in outputs.items()]

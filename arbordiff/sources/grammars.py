@@ -435,6 +435,16 @@ def register_grammar(name: str, parser: Parser, unparse: Callable[[Term], str] |
         _unparsers[name] = unparse
 
 
+def registry() -> tuple[dict, dict]:
+    return dict(_parsers), dict(_unparsers)
+
+
+def install(parsers: dict, unparsers: dict) -> None:
+    """On an executor: the grammars that the driver knows."""
+    _parsers.update(parsers)
+    _unparsers.update(unparsers)
+
+
 def grammar(name: str) -> Parser:
     if name not in _parsers:
         raise KeyError(f"no grammar {name!r}; there are {', '.join(sorted(_parsers))}")
