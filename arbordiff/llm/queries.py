@@ -89,7 +89,8 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 
 OP2_SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT r, p, md5(substr(h, CAST(2 * p + 1 AS BIGINT), 800)) AS m FROM d, UNNEST(range(0, length(h) // 2 - 399)) AS t(p)),
+c AS (SELECT r, b, length(h) // 2 AS n, substr(h, CAST(400 * b + 1 AS BIGINT), 1198) AS piece FROM d, UNNEST(range(0, (length(h) // 2 + 199) // 200)) AS t(b)),
+w AS (SELECT r, 200 * b + i AS p, md5(substr(piece, CAST(2 * i + 1 AS BIGINT), 800)) AS m FROM c, UNNEST(range(0, 200)) AS t(i) WHERE 200 * b + i <= n - 400),
 s AS (SELECT r, p FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
 e AS (SELECT r, p, CASE WHEN p - lag(p) OVER (PARTITION BY r ORDER BY p) <= 400 THEN 0 ELSE 1 END AS f FROM s),
 g AS (SELECT r, p, sum(f) OVER (PARTITION BY r ORDER BY p) AS k FROM e),
