@@ -5,6 +5,7 @@ nodes: tree columns (the key), node_id, last_id, kind, height, digest. A node's
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,11 +42,24 @@ def extract_holes(nodes: DataFrame, shares: DataFrame, mode: str = "nonest", min
 
 
 def _below(nodes: DataFrame, shares: DataFrame) -> DataFrame:
-    """(pair_id, side, node_id, below): the greatest arity of any shared subtree below each shared node, ranges joined on the tree."""
+    """(pair_id, side, node_id, below): the greatest arity of any shared subtree below each shared node. A group is one tree; from the
+    last node to the first, a node takes in what stands on the stack within its range, so that the work is linear in the tree."""
     shared = nodes.where("kind = 'roll'").join(shares, ["pair_id", "digest"]).select("pair_id", "side", "node_id", "last_id", "arity")
-    inner = shared.select("pair_id", "side", F.col("node_id").alias("inner_id"), F.col("arity").alias("inner_arity"))
-    pairs = shared.join(inner, ["pair_id", "side"]).where("inner_id > node_id and inner_id <= last_id")
-    return pairs.groupBy("pair_id", "side", "node_id").agg(F.max("inner_arity").alias("below"))
+    key = dict(nodes.dtypes)["pair_id"]
+
+    def climb(tree: pa.Table) -> pa.Table:
+        tree = tree.sort_by([("node_id", "descending")])
+        stack: list[tuple[int, int]] = []
+        out = []
+        for node, last, own in zip(*(tree.column(c).to_pylist() for c in ("node_id", "last_id", "arity")), strict=True):
+            below = 0
+            while stack and stack[-1][0] <= last:
+                below = max(below, stack.pop()[1])
+            out.append(below)
+            stack.append((node, max(own, below)))
+        return pa.table({"pair_id": tree.column("pair_id"), "side": tree.column("side"), "node_id": tree.column("node_id"), "below": pa.array(out, pa.int64())})
+
+    return shared.groupBy("pair_id", "side").applyInArrow(climb, f"pair_id {key}, side string, node_id int, below long")
 
 
 def collection_subtrees(nodes: DataFrame, min_height: int = 1) -> DataFrame:
