@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from arbordiff.llm.common import map_arrow, written
 
-#: Rows that the tree is fitted on, rows of a leaf aimed at, children of a node, and rows and queries that meet in one task at once.
-SAMPLE, LEAF, BRANCHES, CHUNK = 20_000, 400, 8, 4096
+#: Rows that the tree is fitted on, leaves aimed at and least rows of one, children of a node, rows and queries that meet in one task at
+#: once. The number of leaves doesn't grow with the table, nor do the partial results of a query: k for each leaf that it visits.
+SAMPLE, LEAVES, LEAST_ROWS, BRANCHES, CHUNK = 20_000, 32, 100, 8, 32_768
 
 
 def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
@@ -96,7 +97,7 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, tests: int
     return int(np.quantile(places, recall, method="higher")) + 1 if places else 1
 
 
-def search(vectors: DataFrame, query_every: int = 20, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, query_every: int = 20, k: int = 20, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by query_every, its k nearest found by inner product."""
     spark = vectors.sparkSession
     whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
@@ -116,7 +117,7 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, recall: float
     if not len(sample):
         sample = np.array([r.v for r in whole.limit(1).collect()], float)
     distinct = np.unique(sample, axis=0)  # copies don't shape the tree, but count when it is calibrated
-    tree = Tree(distinct, max(8, int(LEAF * len(sample) / total)))
+    tree = Tree(distinct, max(8, int(max(LEAST_ROWS, total / LEAVES) * len(sample) / total)))
     visits = calibrate(tree, sample, k, recall)
     shared = spark.sparkContext.broadcast(tree)
 
@@ -167,9 +168,9 @@ def search(vectors: DataFrame, query_every: int = 20, k: int = 20, recall: float
         ids, x = ids[order], _matrix(rows.column("v").combine_chunks(), dimensions)[order]
         asked_ids, q = queries.column("vec_id").to_numpy(), _matrix(queries.column("v").combine_chunks(), dimensions)
         found = []
-        for lo in range(0, len(q), 256):
-            part = asked_ids[lo : lo + 256]
-            scores = q[lo : lo + 256] @ x.T
+        for lo in range(0, len(q), 64):
+            part = asked_ids[lo : lo + 64]
+            scores = q[lo : lo + 64] @ x.T
             scores[part[:, None] == ids[None, :]] = -np.inf
             # a little below the k-th score, as the order of the sums above is the library's
             edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(part), -np.inf)
