@@ -40,14 +40,23 @@ def words_of(text: str) -> set[str]:
 def mine_voters(sample: pd.DataFrame) -> list[tuple[str, bool]]:
     """(string, whole word?) of the lexical voters: words and beginnings that lean to label 1 beyond chance. Of several nested ones the
     one that leans most clearly stands for all, at a tie the longest."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for text, label in zip(sample.text, sample.label, strict=True):
+
+    def keys_of(text: str) -> set[tuple[str, bool]]:
         words = words_of(text)
-        keys = {(w, True) for w in words if len(w) > 2}
-        keys.update((w[:n], False) for w in words for n in BEGINNINGS if len(w) > n)
-        seen[int(label)].update(keys)
+        out = {(w, True) for w in words if len(w) > 2}
+        out.update((w[:n], False) for w in words for n in BEGINNINGS if len(w) > n)
+        return out
+
+    # only what some rows of label 1 have is counted among the others, so that memory follows the rows of label 1
+    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    for text in sample.text[sample.label == 1]:
+        seen[1].update(keys_of(text))
+    for k in [k for k, n in seen[1].items() if n < 3]:
+        del seen[1][k]
+    for text in sample.text[sample.label != 1]:
+        seen[0].update(k for k in keys_of(text) if k in seen[1])
     base = min(max(float(sample.label.mean()), 1e-3), 1 - 1e-3)
-    keys = [k for k, n in seen[1].items() if n >= 3]
+    keys = list(seen[1])
     ones = np.array([seen[1][k] for k in keys], float)
     both = ones + [seen[0][k] for k in keys]
     lean = _log_tail(ones, both, base) if keys else np.zeros(0)
