@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from arbordiff.llm.common import batch, map_arrow, ranges, utf8, written
 
 #: Bytes of a block, and classes of a key beyond which it is dealt over blocks of that many classes.
-BLOCK, HOT = 1_500_000, 8_000
+BLOCK, HOT = 1_000_000, 8_000
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes whose hashes are worked out at once.
@@ -93,42 +93,49 @@ def repeated_starts(segments: list[bytes], length: int, seed: int = 0) -> list[n
     """For each segment, which of its strings of `length` bytes occur at several places of the segments (as booleans).
     seed: expansion begins with the intervals of this length, rounded down to one that the sort passes through; 0 for half of `length`."""
     sizes = np.array([len(s) for s in segments])
-    text = np.frombuffer(b"".join(s + b"\0" for s in segments), np.uint8).astype(np.int64) + 1
+    text = np.frombuffer(b"".join([s + b"\0" for s in segments]), np.uint8).astype(np.int16) + np.int16(1)
     ends = np.cumsum(sizes + 1) - 1
     text[ends] = 0
     n = len(text)
-    # Suffix array sorted by the first `length` symbols at least: 7 symbols of 9 bits, then doubling.
-    padded = np.concatenate([text, np.zeros(7, np.int64)])
+    # Suffix array sorted by the first `length` symbols at least: 7 symbols of 9 bits, then doubling. Tables are of 4 bytes where they
+    # can be, as a block's memory is a worker's.
+    padded = np.concatenate([text, np.zeros(7, np.int16)])
     key = np.zeros(n, np.int64)
     for i in range(7):
-        key = key << 9 | padded[i : i + n]
-    depth, rank, seeded, seed_depth = 0, None, None, 0
+        key <<= 9
+        key |= padded[i : i + n]
+    depth, seeded, seed_depth = 0, None, 0
     seed = seed or length // 2 + length // 8
     while True:
         sa = np.argsort(key)
-        ordered = key[sa]
-        number = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+        key = key[sa]
+        number = np.zeros(n, np.int32)
+        np.cumsum(key[1:] != key[:-1], out=number[1:])
         depth = depth * 2 or 7
-        rank = np.empty(n, np.int64)
+        rank = np.empty(n, np.int32)
         rank[sa] = number
         if seeded is None or depth <= seed:
             seeded, seed_depth = rank, depth
         if depth >= min(length, n) or number[-1] == n - 1:
             break
-        key = rank << 32
+        key = rank.astype(np.int64)
+        key <<= 32
         key[: max(0, n - depth)] |= rank[depth:]
+    del key, number, rank
     if seed_depth > length:
         raise ValueError("strings are too short for this method")
     bwt = text[sa - 1].astype(np.uint16)
-    lf = np.empty(n, np.int64)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n)
-    run = np.cumsum(np.concatenate([[0], bwt[1:] != bwt[:-1]])).astype(np.int32)
+    lf = np.empty(n, np.int32)
+    lf[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
+    run = np.zeros(n, np.int32)
+    np.cumsum(bwt[1:] != bwt[:-1], out=run[1:])
     # Intervals of the strings of seed_depth symbols without a separator.
     room = np.repeat(ends, sizes + 1) - np.arange(n)
     edge = np.concatenate([[0], np.flatnonzero(np.diff(seeded[sa])) + 1, [n]])
     low, size = edge[:-1], np.diff(edge)
     keep = (size > 1) & (room[sa[low]] >= seed_depth)
     low, size = low[keep], size[keep]
+    del room, seeded, edge
     for _ in range(length - seed_depth):
         alike = run[low] == run[low + size - 1]
         low_a, size_a = low[alike], size[alike]
