@@ -20,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -310,10 +311,70 @@ def _removed(rows: DataFrame, spans: DataFrame, length: int, kind: str) -> DataF
     return map_arrow(packed.join(spans, "row", "left").select("id", "packed", "starts"), remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<begin:long,end:long>>")
 
 
-def drop_repeats(docs: DataFrame, length: int = 400, gram: int = 200, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """docs with the repeated strings taken out of the texts; size_col, where there is one, follows the text. A character of which only
+def word_runs(text: bytes, words: int) -> tuple[np.ndarray, ...]:
+    """Of the strings of `words` words of a text: keys, first (as the number of its first word) and number of the runs of strings whose
+    least piece of half the words is the same one; then hash, first byte and end of every string. Spaces between words don't count."""
+    space = np.isin(np.frombuffer(b" " + text + b" ", np.uint8), np.frombuffer(b"\t\n\v\f\r ", np.uint8))
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    begins, ends = edge[::2], edge[1::2]
+    n, gram = len(begins) - words + 1, words // 2 + 1
+    if n < 1:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    each = np.fromiter(map(xxhash.xxh64_intdigest, text.split()), np.uint64, len(begins))
+    powers = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(len(each), base, np.uint64)
+        p[0] = 1
+        powers.append(np.multiply.accumulate(p))
+    sums = np.zeros(len(each) + 1, np.uint64)
+    np.cumsum(each * powers[0], out=sums[1:])
+    grams, strings = (_mix((sums[k:] - sums[:-k]) * powers[1][: len(each) - k + 1]) for k in (gram, words))
+    within = np.lib.stride_tricks.sliding_window_view(grams, words - gram + 1)
+    least = np.concatenate([within[i : i + _STEP].argmin(1) for i in range(0, n, _STEP)]) + np.arange(n)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
+    count = np.diff(np.concatenate([first, [n]]))
+    return grams[least[first]].view(np.int64), first, count, strings.view(np.int64), begins[:n], ends[words - 1 :]
+
+
+def repeated_words(docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
+    """(row, begin, end) of every string of `words` words that occurs more than once. Equal strings have equal least pieces, so only
+    strings of keys with several places are hashed as a whole and counted."""
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+    run_schema = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("string", pa.int64()), ("row", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+
+    def find_runs(batches):
+        for b in batches:
+            for row, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                keys, first, count, *_ = word_runs(text, words)
+                if len(keys):
+                    yield batch(run_schema, [keys, np.full(len(keys), row), first, count])
+
+    runs = written(map_arrow(texts, find_runs, "key long, row long, first long, count long"), "word-runs")
+    often = runs.groupBy("key").count().where("count > 1").select("key")
+    asked = runs.join(often, "key", "left_semi").groupBy("row").agg(F.collect_list("first").alias("first"), F.collect_list("count").alias("count"))
+
+    def hash_strings(batches):
+        for b in batches:
+            for row, packed, first, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                *_, strings, begins, ends = word_runs(zstandard.decompress(packed), words)
+                at = ranges(np.asarray(first.values), np.asarray(count.values))
+                yield batch(schema, [strings[at], np.full(len(at), row), begins[at], ends[at]])
+
+    # at least one byte for each word and space
+    packed = pack(texts.where(F.octet_length("text") >= 2 * words - 1))
+    strings = written(map_arrow(packed.join(asked, "row").select("row", "packed", "first", "count"), hash_strings, "string long, row long, begin long, end long"), "word-strings")
+    twice = strings.groupBy("string").count().where("count > 1").select("string")
+    return strings.join(twice, "string", "left_semi").select("row", "begin", "end")
+
+
+def drop_repeats(docs: DataFrame, length: int = 400, gram: int = 200, text_col: str = "text", size_col: str = "n_chars", words: int = 0) -> DataFrame:
+    """docs with the repeated strings (of `length` bytes, and of `words` words if not 0) taken out of the texts; size_col, where there is one, follows the text. A character of which only
     some bytes go goes wholly. Rows of which nothing is left go; rows without repeats stay as they are."""
     spans = repeated_spans(docs, length, gram, text_col)
+    if words:  # as spans that end where the words do
+        more = repeated_words(docs, words, text_col).groupBy("row").agg(F.collect_list(F.struct(F.col("begin").alias("first"), (F.col("end") - F.col("begin") - length + 1).alias("count"))).alias("starts"))
+        spans = spans.unionByName(more).groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(spans.withColumnRenamed("row", "_row").withColumnRenamed("starts", "_starts"), "_row", "left").drop("_row")
 
     def kernel(batches):
