@@ -6,12 +6,15 @@ rows without a pair leave. Cuts longer than the widest bucket are merged with a
 O(n log n).
 
 A null or empty text has no ids and decodes to no bytes; a null text's ids are empty, not null. Whole texts are encoded, long ones in
-portions that end where every pattern of the supported form has to cut. Repeated rows repeat; other columns are left alone.
+portions that end where every pattern of the supported form has to cut. An empty table gives an empty one, repeated rows repeat; other
+columns are left alone, whatever their names. Ties of rank can't be: a pair's rank is that of one token; of equal pairs the leftmost goes
+first.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from itertools import chain, repeat
 
@@ -19,15 +22,15 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from arbordiff.llm.common import Shared, map_arrow, ranges
 
 NONE = np.int32(2**31 - 1)
 #: Most bytes of a row in each bucket.
 BUCKETS = (2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 14, 16, 20, 24, 32, 48, 64, 128, 256)
-#: Cuts, and chunks of cuts, that a worker remembers; cells of a matrix, and characters of a portion of a text.
-REMEMBERED, CELLS, PORTION = 400_000, 1 << 19, 1 << 19
+#: Cuts, and chunks of cuts, that a worker remembers at most, and their characters; cells of a matrix, and characters of a portion of a
+#: text.
+REMEMBERED, REMEMBERED_CHARACTERS, CELLS, PORTION = 200_000, 3_000_000, 1 << 18, 1 << 18
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -101,7 +104,7 @@ class _Runs:
         return self.ids[ranges(self.at[numbers], self.size[numbers])]
 
     def full(self) -> bool:
-        return len(self.number) > REMEMBERED or self.characters > 32 * REMEMBERED
+        return len(self.number) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS
 
 
 class Encoder:
@@ -263,22 +266,30 @@ class Encoder:
         return np.array([x for x in ids if x >= 0], np.int32)
 
 
+def _runs(batches, encoder: Encoder):
+    """(ids of the rows, sizes, values) for a few texts at a time: how many ids each text has, and the ids one after another."""
+    for b in batches:
+        texts = b.column(1)
+        for lo in range(0, len(texts), 64):
+            parts = encoder.encode([t or "" for t in texts.slice(lo, 64).to_pylist()])
+            size = np.array([sum(map(len, p)) for p in parts], np.int64)
+            yield b.column(0).slice(lo, 64), size, np.concatenate([np.zeros(0, np.int32), *(x for p in parts for x in p)])
+
+
+def _lists(size: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values, pa.int32()))
+
+
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, ids array<int>) for every row. vocabulary: path of a rank file, read on the driver (its size is that of the vocabulary)."""
     shared = Shared(docs.sparkSession, (read_ranks(vocabulary), pattern))
 
     def kernel(batches):
         encoder = shared.made(lambda value: Encoder(*value))
-        for b in batches:
-            texts = b.column(1)
-            for lo in range(0, len(texts), 64):
-                parts = encoder.encode([t or "" for t in texts.slice(lo, 64).to_pylist()])
-                size = [sum(map(len, p)) for p in parts]
-                values = np.concatenate([np.zeros(0, np.int32), *(x for p in parts for x in p)])
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(values, pa.int32()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 64), ids], [id_col, "ids"])
+        for rows, size, values in _runs(batches, encoder):
+            yield pa.RecordBatch.from_arrays([rows, _lists(size, values)], [id_col, "ids"])
 
-    return map_arrow(docs.select(id_col, text_col), kernel, f"{id_col} {dict(docs.dtypes)[id_col]}, ids array<int>")
+    return map_arrow(docs.select(id_col, text_col), kernel, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -297,7 +308,26 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: s
     return map_arrow(encoded.select(columns), kernel, f"{fields}, `{out_col}` binary")
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, ids, n_tokens, ids_sha256, decoded_sha256)."""
-    rows = decode(encode(docs, vocabulary, pattern, id_col, text_col), vocabulary)
-    return rows.select(id_col, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(id_col, ids if with_ids, n_tokens, ids_sha256, decoded_sha256) for every row. One pass in one worker: texts are encoded, and the
+    ids are written out and decoded where they are."""
+    shared = Shared(docs.sparkSession, (read_ranks(vocabulary), pattern))
+    names = [id_col, *["ids"] * with_ids, "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    def made(value):
+        encoder = Encoder(*value)
+        return encoder, [b"%d" % i for i in range(len(encoder.tokens))]
+
+    def kernel(batches):
+        encoder, decimals = shared.made(made)
+        for rows, size, values in _runs(batches, encoder):
+            written, decoded, at = [], [], 0
+            for n in size.tolist():
+                ids = values[at : at + n].tolist()
+                at += n
+                written.append(hashlib.sha256(b" ".join(map(decimals.__getitem__, ids))).hexdigest())
+                decoded.append(hashlib.sha256(b"".join(map(encoder.tokens.__getitem__, ids))).hexdigest())
+            yield pa.RecordBatch.from_arrays([rows, *[_lists(size, values)] * with_ids, pa.array(size), pa.array(written), pa.array(decoded)], names)
+
+    fields = "ids array<int>, " if with_ids else ""
+    return map_arrow(docs.select(id_col, text_col), kernel, f"`{id_col}` {dict(docs.dtypes)[id_col]}, {fields}n_tokens long, ids_sha256 string, decoded_sha256 string")

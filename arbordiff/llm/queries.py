@@ -23,8 +23,9 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    """Beside the columns for strings of 400 bytes: n_repeated_words, the words within strings of 51 words that occur more than once."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=400, words=51)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_repeated_words")
 
 
 #: Fixed values: (verdict, host, path).
@@ -46,7 +47,7 @@ def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN).drop("ids")
+    return bpe.digests(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, with_ids=False)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,7 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)
 """
 
 OP2_SQL = """
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, hex(encode(coalesce(text, ''))) AS h FROM documents),
 c AS (SELECT r, b, length(h) // 2 AS n, substr(h, CAST(400 * b + 1 AS BIGINT), 1198) AS piece FROM d, UNNEST(range(0, (length(h) // 2 + 199) // 200)) AS t(b)),
 w AS (SELECT r, 200 * b + i AS p, md5(substr(piece, CAST(2 * i + 1 AS BIGINT), 800)) AS m FROM c, UNNEST(range(0, 200)) AS t(i) WHERE 200 * b + i <= n - 400),
 s AS (SELECT r, p FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
@@ -97,10 +98,15 @@ g AS (SELECT r, p, sum(f) OVER (PARTITION BY r ORDER BY p) AS k FROM e),
 x AS (SELECT r, k, min(p) AS b, max(p) + 400 AS z FROM g GROUP BY r, k),
 n AS (SELECT r, count(*) AS spans, sum(z - b) AS removed, max(z) AS last FROM x GROUP BY r),
 o AS (SELECT r, k, b, coalesce(lag(z) OVER (PARTITION BY r ORDER BY k), 0) AS a FROM x),
-t AS (SELECT r, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY k) AS kept FROM o JOIN d USING (r) GROUP BY r)
+t AS (SELECT r, string_agg(substr(h, CAST(2 * a + 1 AS BIGINT), CAST(2 * (b - a) AS BIGINT)), '' ORDER BY k) AS kept FROM o JOIN d USING (r) GROUP BY r),
+l AS (SELECT r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+y AS (SELECT r, i, md5(array_to_string(ws[i:i + 50], ' ')) AS m FROM l, UNNEST(range(1, len(ws) - 49)) AS t(i)),
+z AS (SELECT r, i, least(51, coalesce(lead(i) OVER (PARTITION BY r ORDER BY i) - i, 51)) AS covers FROM y WHERE m IN (SELECT m FROM y GROUP BY m HAVING count(*) > 1)),
+v AS (SELECT r, sum(covers) AS words FROM z GROUP BY r)
 SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
-       sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
-FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+       sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256,
+       CAST(coalesce(words, 0) AS BIGINT) AS n_repeated_words
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r) LEFT JOIN v USING (r)
 """
 
 

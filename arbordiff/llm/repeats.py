@@ -1,17 +1,20 @@
-"""Removal of long repeated byte strings by interval expansion on a Burrows-Wheeler transform.
+"""Removal of long repeated strings by interval expansion on a Burrows-Wheeler transform: strings of bytes, of words, or both.
 
 1. Every string of `length` bytes is keyed by the least hash of the `gram`-byte strings within it, so that equal strings have equal keys.
    Neighbouring starts with one key are a run; strings of a key with a single run can't repeat (unless the text around is periodic).
-2. Runs with the same bytes are one class. A class of several members repeats as a whole. The text of one member of each class is
-   fetched for the keys with several classes.
+   A string of `words` words is keyed by the least hash of its pieces of half as many words in the same way.
+2. Runs with the same bytes (words) are one class. A class of several members repeats as a whole. The text of one member of each class
+   is fetched for the keys with several classes.
 3. The classes of a key meet in one block (many keys to a block, a very frequent key in many). The block is sorted by prefix doubling,
-   transformed, and the intervals of equal strings are extended backwards breadth first, one byte in each round: common prefixes come
-   in order of increasing length, intervals of one suffix are dropped, and the expansion stops at `length` bytes. What is left are the
-   strings that occur more than once. The sort by doubling knows the intervals of half that length already; expansion begins with those.
+   transformed, and the intervals of equal strings are extended backwards breadth first, one symbol in each round: common prefixes come
+   in order of increasing length, intervals of one suffix are dropped, and the expansion stops at the least length. What is left are
+   the strings that occur more than once. The sort by doubling knows the intervals of half that length already; expansion begins with
+   those. Symbols are bytes, or the words of the block.
 4. Blocks of a very frequent key exchange digests of their distinct strings, so that repeats across blocks count, too.
 
-Strings never cross rows. A null text is empty. Texts shorter than `length` can't repeat. Repeated rows repeat each other. The order of
-rows means nothing; extra columns are left alone. docs is read several times and must give the same rows each time, as files do.
+Strings never cross rows. A null text is empty. Texts shorter than the least length can't repeat. Repeated rows repeat each other. The
+order of rows means nothing, and an empty table gives an empty one; extra columns are left alone, whatever their names. Texts of any
+length are worked off whole. The texts are stored once with a number for each row, and all later steps read that table.
 """
 
 from __future__ import annotations
@@ -21,14 +24,13 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbordiff.llm.common import batch, map_arrow, ranges, utf8, written
+from arbordiff.llm.common import batch, map_arrow, numbered, own_name, pack, ranges, unpack, written
 
 #: Bytes of a block, and classes of a key beyond which it is dealt over blocks of that many classes.
-BLOCK, HOT = 1_000_000, 8_000
+BLOCK, HOT = 1_000_000, 500
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes whose hashes are worked out at once.
@@ -90,20 +92,58 @@ def runs_of(text: bytes, length: int, gram: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def repeated_starts(segments: list[bytes], length: int, seed: int = 0) -> list[np.ndarray]:
-    """For each segment, which of its strings of `length` bytes occur at several places of the segments (as booleans).
-    seed: expansion begins with the intervals of this length, rounded down to one that the sort passes through; 0 for half of `length`."""
+def word_runs(text: bytes, words: int) -> tuple[np.ndarray, ...]:
+    """Of the strings of `words` words of a text: keys, first words, numbers of strings and digests of the runs of strings whose least
+    piece of half the words is at the same place. What stands between words doesn't count."""
+    each = word_hashes(text)
+    n, gram = len(each) - words + 1, words // 2 + 1
+    powers = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(len(each), base, np.uint64)
+        p[0] = 1
+        powers.append(np.multiply.accumulate(p))
+    sums = np.zeros(len(each) + 1, np.uint64)
+    np.cumsum(each * powers[0], out=sums[1:])
+    grams = _mix((sums[gram:] - sums[:-gram]) * powers[1][: len(each) - gram + 1])
+    within = np.lib.stride_tricks.sliding_window_view(grams, words - gram + 1)
+    least = np.concatenate([within[i : i + _STEP].argmin(1) for i in range(0, n, _STEP)]) + np.arange(n)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
+    count = np.diff(np.concatenate([first, [n]]))
+    digest = _mix((sums[first + count + words - 1] - sums[first]) * powers[1][first])
+    return grams[least[first]], first, count, digest
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    found = text.split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
+def repeated_starts(segments: list[bytes | np.ndarray], length: int, seed: int = 0) -> list[np.ndarray]:
+    """For each segment (bytes, or an array of numbers), which of its strings of `length` symbols occur at several places of the segments
+    (as booleans). seed: expansion begins with the intervals of this length, rounded down to one that the sort passes through; 0 for half
+    of `length`."""
+    segments = [np.frombuffer(s, np.uint8) if isinstance(s, bytes) else s for s in segments]
     sizes = np.array([len(s) for s in segments])
-    text = np.frombuffer(b"".join([s + b"\0" for s in segments]), np.uint8).astype(np.int16) + np.int16(1)
+    joined = np.concatenate(segments)
+    if joined.dtype == np.uint8:
+        joined, bits = joined.astype(np.int32) + 1, 9
+    else:  # symbols are numbered
+        joined = np.unique(joined, return_inverse=True)[1].astype(np.int32) + 1
+        bits = max(9, int(joined.max(initial=0)).bit_length())
     ends = np.cumsum(sizes + 1) - 1
-    text[ends] = 0
-    n = len(text)
-    # Suffix array sorted by the first `length` symbols at least: 7 symbols of 9 bits, then doubling. Tables are of 4 bytes where they
-    # can be, as a block's memory is a worker's.
-    padded = np.concatenate([text, np.zeros(7, np.int16)])
+    n = len(joined) + len(sizes)
+    text = np.zeros(n, np.int32 if bits > 15 else np.int16)
+    inner = np.ones(n, bool)
+    inner[ends] = False
+    text[inner] = joined
+    del joined, inner
+    # Suffix array sorted by the first `length` symbols at least: as many symbols as 63 bits hold, then doubling. Tables are of 4 bytes
+    # where they can be, as a block's memory is a worker's.
+    at_once = 63 // bits
+    padded = np.concatenate([text, np.zeros(at_once, text.dtype)])
     key = np.zeros(n, np.int64)
-    for i in range(7):
-        key <<= 9
+    for i in range(at_once):
+        key <<= bits
         key |= padded[i : i + n]
     depth, seeded, seed_depth = 0, None, 0
     seed = seed or length // 2 + length // 8
@@ -112,7 +152,7 @@ def repeated_starts(segments: list[bytes], length: int, seed: int = 0) -> list[n
         key = key[sa]
         number = np.zeros(n, np.int32)
         np.cumsum(key[1:] != key[:-1], out=number[1:])
-        depth = depth * 2 or 7
+        depth = depth * 2 or at_once
         rank = np.empty(n, np.int32)
         rank[sa] = number
         if seeded is None or depth <= seed:
@@ -125,7 +165,7 @@ def repeated_starts(segments: list[bytes], length: int, seed: int = 0) -> list[n
     del key, number, rank
     if seed_depth > length:
         raise ValueError("strings are too short for this method")
-    bwt = text[sa - 1].astype(np.uint16)
+    bwt = text[sa - 1]
     lf = np.empty(n, np.int32)
     lf[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
     run = np.zeros(n, np.int32)
@@ -142,14 +182,14 @@ def repeated_starts(segments: list[bytes], length: int, seed: int = 0) -> list[n
         low_a, size_a = low[alike], size[alike]
         keep = bwt[low_a] > 0
         parts = [(lf[low_a[keep]], size_a[keep])]
-        if not alike.all():  # the bytes before differ: an interval for each of them
+        if not alike.all():  # the symbols before differ: an interval for each of them
             rows = ranges(low[~alike], size[~alike])
-            code = np.repeat(np.arange(len(low) - len(low_a)), size[~alike]) << 9 | bwt[rows]
+            code = np.repeat(np.arange(len(low) - len(low_a)), size[~alike]) << bits | bwt[rows]
             order = np.argsort(code, kind="stable")
             code, rows = code[order], rows[order]
             first = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1])
             many = np.diff(np.concatenate([first, [len(code)]]))
-            keep = (many > 1) & (code[first] & 511 > 0)
+            keep = (many > 1) & (code[first] & ((1 << bits) - 1) > 0)
             parts.append((lf[rows[first[keep]]], many[keep]))
         low, size = (np.concatenate(x) for x in zip(*parts, strict=True))
         if not len(low):
@@ -168,67 +208,80 @@ def _spans(found: np.ndarray) -> list[dict]:
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("count", pa.int64())]))
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, text_col: str = "text") -> DataFrame:
-    """(row, starts array<struct<first, count>>) of the rows of docs, numbered by monotonically_increasing_id, in which a string of
-    `length` bytes starts that starts elsewhere, too: count such starts from byte `first` on."""
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
+def repeated_spans(texts: DataFrame, length: int, gram: int, words: int, row: str, text_col: str) -> DataFrame:
+    """texts: a stored table of row numbers and packed texts. (_r, starts, word_starts), both array<struct<first, count>>, of the rows in
+    which a string starts that starts elsewhere, too: count such starts from byte (word) `first` on. words: 0 for strings of bytes only."""
+    texts = texts.select(F.col(row).alias("row"), F.col(text_col).alias("packed")).where("packed is not null")
     schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("count", pa.int32()), ("row", pa.int64()), ("first", pa.int64()), ("recurs", pa.bool_())])
+    # a key's lowest bit tells its kind: symbols in a string, bytes of a symbol
+    kinds = {0: (length, 1), 1: (words, 8)}
 
     def find_runs(batches):
         for b in batches:
             parts = []
-            for row, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+            for number, text in zip(b.column(0).to_pylist(), unpack(b.column(1)), strict=True):
                 if len(text) >= length:
                     keys, first, count, digest, recurs = runs_of(text, length, gram)
-                    parts.append((keys.view(np.int64), digest.view(np.int64), count.astype(np.int32), np.full(len(keys), row), first, recurs))
+                    parts.append((keys & ~np.uint64(1), digest, count, number, first, recurs))
+                if words and len(text) >= 2 * words - 1 and len(text.split(None, words)) >= words:  # a byte for each word and space
+                    keys, first, count, digest = word_runs(text, words)
+                    parts.append((keys | np.uint64(1), digest, count, number, first, np.zeros(len(keys), bool)))
             if parts:
-                yield batch(schema, [np.concatenate(x) for x in zip(*parts, strict=True)])
+                columns = [(k.view(np.int64), d.view(np.int64), c.astype(np.int32), np.full(len(k), r), f, x) for k, d, c, r, f, x in parts]
+                yield batch(schema, [np.concatenate(x) for x in zip(*columns, strict=True)])
 
-    runs = written(map_arrow(texts.where(F.octet_length("text") >= length), find_runs, "key long, digest long, count int, row long, first long, recurs boolean"), "runs")
+    runs = written(map_arrow(texts, find_runs, "key long, digest long, count int, row long, first long, recurs boolean"), "runs")
     often = runs.groupBy("key").agg(F.count("*").alias("n"), F.max("recurs").alias("r")).where("n > 1 or r").select("key")
-    members = written(runs.join(often, "key", "left_semi"), "members")
+    members = written(runs.join(often, "key", "left_semi"), "members", instead_of=runs)
     classes = members.groupBy("key", "digest", "count").agg(F.count("*").alias("members"), F.min(F.struct("row", "first")).alias("rep"), F.max("recurs").alias("recurs"))
     classes = written(classes, "classes")
     per_key = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max("recurs").alias("r"))
     mixed = per_key.where("classes > 1 or r").select("key", F.when(F.col("classes") > HOT, F.ceil(F.col("classes") / HOT)).otherwise(1).cast("int").alias("blocks"))
     wanted = classes.join(mixed, "key").select("key", "digest", "count", F.col("rep.row").alias("row"), F.col("rep.first").alias("first"), (F.pmod(F.xxhash64("digest"), F.col("blocks"))).cast("int").alias("block"), "blocks")
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "digest", "count", "first", "block", "blocks")).alias("asked"))
-    packed = pack(texts.where(F.octet_length("text") >= length))
     fields = [("key", pa.int64()), ("digest", pa.int64()), ("count", pa.int32()), ("block", pa.int32()), ("blocks", pa.int32())]
-    segment_schema = pa.schema([*fields, ("bytes", pa.binary())])
+    segment_schema = pa.schema([*fields, ("symbols", pa.binary())])
 
     def cut(batches):
         for b in batches:
-            for text, asks in zip(b.column(0), b.column(1), strict=True):
-                whole = zstandard.decompress(text.as_py())
-                rows = asks.as_py()
-                yield batch(segment_schema, [*([r[f] for r in rows] for f, _ in fields), [whole[r["first"] : r["first"] + r["count"] + length - 1] for r in rows]])
-
-    segments = map_arrow(packed.join(asked, "row").select("packed", "asked"), cut, "key long, digest long, count int, block int, blocks int, bytes binary")
+            for whole, asks in zip(b.column(0), b.column(1).to_pylist(), strict=True):
+                [text] = unpack(pa.array([whole.as_py()], pa.binary()))
+                sources = [text, word_hashes(text).tobytes() if any(r["key"] & 1 for r in asks) else b""]
+                out = []
+                for r in asks:
+                    n, width = kinds[r["key"] & 1]
+                    out.append(sources[r["key"] & 1][width * r["first"] : width * (r["first"] + r["count"] + n - 1)])
+                for lo in range(0, len(asks), 2048):
+                    yield batch(segment_schema, [*([r[f] for r in asks[lo : lo + 2048]] for f, _ in fields), out[lo : lo + 2048]])
+
+    segments = map_arrow(texts.join(asked, "row").select("packed", "asked"), cut, "key long, digest long, count int, block int, blocks int, symbols binary")
     dealt = segments.repartition("key", "block").sortWithinPartitions("key", "block")
     result_schema = pa.schema([("key", pa.int64()), ("digest", pa.int64()), ("count", pa.int32()), ("spans", _SPANS), ("strings", pa.list_(pa.binary())), ("at", pa.list_(pa.int32()))])
 
     def expand(batches):
-        held, size, last = [], 0, None
+        held: dict[int, list] = {0: [], 1: []}
+        size, last = {0: 0, 1: 0}, None
         for b in batches:
             for r in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
-                if size >= BLOCK and (r[0], r[3]) != last:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(r)
-                size += len(r[5])
+                kind = r[0] & 1
+                if size[kind] >= BLOCK and (r[0], r[3]) != last:
+                    yield solve(held[kind], *kinds[kind])
+                    held[kind], size[kind] = [], 0
+                held[kind].append(r)
+                size[kind] += len(r[5])
                 last = r[0], r[3]
-        if held:
-            yield solve(held)
+        for kind, rows in held.items():
+            if rows:
+                yield solve(rows, *kinds[kind])
 
-    def solve(rows):
-        found = repeated_starts([r[5] for r in rows], length)
+    def solve(rows, n, width):
+        found = repeated_starts([r[5] if width == 1 else np.frombuffer(r[5], np.uint64) for r in rows], n)
         strings, at, told = [], [], set()
         for r, f in zip(rows, found, strict=True):
             own, places = [], []
             if r[4] > 1:  # blocks of one key: each distinct string once, and every string that is alone in its block
                 for i in range(len(f)):
-                    d = hashlib.blake2b(r[5][i : i + length], digest_size=16).digest()
+                    d = hashlib.blake2b(r[5][width * i : width * (i + n)], digest_size=16).digest()
                     if not f[i] or (r[0], d) not in told:
                         told.add((r[0], d))
                         own.append(d)
@@ -245,25 +298,19 @@ def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 200, text_col
     whole = classes.where("members > 1").select("key", "digest", "count", F.lit(0).cast("long").alias("first"), F.col("count").cast("long").alias("n"))
     of_class = spans.join(whole.select("key", "digest", "count"), ["key", "digest", "count"], "left_anti").unionByName(whole)
     of_class = of_class.groupBy("key", "digest", "count").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
-    of_row = members.join(of_class, ["key", "digest", "count"]).select("row", F.transform("spans", lambda s: F.struct((F.col("first") + s["first"]).alias("first"), s["n"].alias("count"))).alias("spans"))
-    return of_row.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("starts"))
-
+    of_row = members.join(of_class, ["key", "digest", "count"]).select("row", (F.col("key") % 2 != 0).alias("w"), F.transform("spans", lambda s: F.struct((F.col("first") + s["first"]).alias("first"), s["n"].alias("count"))).alias("spans"))
+    both = [F.flatten(F.collect_list(F.when(F.col("w") == kind, F.col("spans")))).alias(name) for kind, name in ((False, "starts"), (True, "word_starts"))]
+    return of_row.groupBy(F.col("row").alias("_r")).agg(*both)
 
-def pack(texts: DataFrame) -> DataFrame:
-    """(row, packed): texts as compressed bytes, to be shuffled."""
-
-    def kernel(batches):
-        pressed = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pressed.compress(t) for t in utf8(b.column(1))], pa.binary())], ["row", "packed"])
 
-    return map_arrow(texts.select("row", "text"), kernel, "row long, packed binary")
+def covered(starts: list[dict] | None, length: int) -> list[list[int]]:
+    """Maximal runs (begin, end) of what strings at the given starts cover."""
+    return _joined([s["first"], s["first"] + s["count"] - 1 + length] for s in starts or ())
 
 
-def covered(starts: list[dict] | None, length: int) -> list[list[int]]:
-    """Maximal runs (begin, end) of the bytes that strings at the given starts cover."""
+def _joined(runs) -> list[list[int]]:
     out: list[list[int]] = []
-    for begin, end in sorted((s["first"], s["first"] + s["count"] - 1 + length) for s in starts or ()):
+    for begin, end in sorted(runs):
         if out and begin <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
@@ -271,6 +318,16 @@ def covered(starts: list[dict] | None, length: int) -> list[list[int]]:
     return out
 
 
+def in_bytes(text: bytes, runs: list[list[int]]) -> list[list[int]]:
+    """Runs of words as runs of bytes, from the first byte of the first word to the end of the last."""
+    if not runs:
+        return []
+    space = np.isin(np.frombuffer(b" " + text + b" ", np.uint8), np.frombuffer(b"\t\n\v\f\r ", np.uint8))
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    begins, ends = edge[::2], edge[1::2]
+    return [[int(begins[a]), int(ends[b - 1])] for a, b in runs]
+
+
 def remaining(text: bytes, gone: list[list[int]]) -> bytes:
     left, kept = 0, []
     for begin, end in gone:
@@ -279,115 +336,57 @@ def remaining(text: bytes, gone: list[list[int]]) -> bytes:
     return b"".join([*kept, text[left:]])
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_bytes, n_removed, n_spans, kept (remaining bytes), removed (begin and end of each run)."""
-    spans = repeated_spans(docs, length, gram, text_col)
-    kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    return _removed(rows, spans, length, kind).withColumnRenamed("id", id_col)
+def _with_spans(docs: DataFrame, length: int, gram: int, words: int, text_col: str) -> tuple[DataFrame, str]:
+    """docs, packed, with the column of spans (null where there are none), and that column's name. The row numbers are gone again."""
+    row = own_name(docs, "_r")
+    stored = numbered(pack(docs, text_col), row, "texts")
+    spans = repeated_spans(stored, length, gram, words, row, text_col)
+    name = own_name(docs, "_spans")
+    spans = spans.select(F.col("_r").alias(row), F.struct("starts", "word_starts").alias(name))
+    return stored.join(spans, row, "left").drop(row), name
 
 
-def _removed(rows: DataFrame, spans: DataFrame, length: int, kind: str) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, words: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of docs: id, n_bytes, n_removed, n_spans, kept (remaining bytes), removed (begin and end of each run) by the
+    repeated strings of `length` bytes; n_repeated_words: words within repeated strings of `words` words (0: not looked for)."""
+    rows, name = _with_spans(docs.select(id_col, text_col), length, gram, words, text_col)
     run = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
-    def press(batches):
-        pressed = zstandard.ZstdCompressor(level=1)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([pressed.compress(t) for t in utf8(b.column(2))], pa.binary())], ["id", "row", "packed"])
-
     def remove(batches):
         for b in batches:
-            sizes, kept, gone = [], [], []
-            for packed, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                text = zstandard.decompress(packed)
-                runs = covered(starts, length)
+            sizes, kept, gone, covers = [], [], [], []
+            for text, spans in zip(unpack(b.column(1)), b.column(2).to_pylist(), strict=True):
+                runs = covered(spans and spans["starts"], length)
                 sizes.append(len(text))
                 kept.append(remaining(text, runs))
                 gone.append([{"begin": x, "end": y} for x, y in runs])
+                covers.append(sum(y - x for x, y in covered(spans and spans["word_starts"], words)))
             removed = [sum(g["end"] - g["begin"] for g in x) for x in gone]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(x) for x in gone], pa.int64()), pa.array(kept, pa.binary()), pa.array(gone, run)], ["id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
-
-    packed = map_arrow(rows, press, f"id {kind}, row long, packed binary")
-    return map_arrow(packed.join(spans, "row", "left").select("id", "packed", "starts"), remove, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<begin:long,end:long>>")
+            columns = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array([len(x) for x in gone], pa.int64()), pa.array(kept, pa.binary()), pa.array(gone, run), pa.array(covers, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], [id_col, "n_bytes", "n_removed", "n_spans", "kept", "removed", "n_repeated_words"])
 
+    kind = dict(docs.dtypes)[id_col]
+    return map_arrow(rows.select(id_col, text_col, name), remove, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, removed array<struct<begin:long,end:long>>, n_repeated_words long")
 
-def word_runs(text: bytes, words: int) -> tuple[np.ndarray, ...]:
-    """Of the strings of `words` words of a text: keys, first (as the number of its first word) and number of the runs of strings whose
-    least piece of half the words is the same one; then hash, first byte and end of every string. Spaces between words don't count."""
-    space = np.isin(np.frombuffer(b" " + text + b" ", np.uint8), np.frombuffer(b"\t\n\v\f\r ", np.uint8))
-    edge = np.flatnonzero(space[1:] != space[:-1])
-    begins, ends = edge[::2], edge[1::2]
-    n, gram = len(begins) - words + 1, words // 2 + 1
-    if n < 1:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
-    each = np.fromiter(map(xxhash.xxh64_intdigest, text.split()), np.uint64, len(begins))
-    powers = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        p = np.full(len(each), base, np.uint64)
-        p[0] = 1
-        powers.append(np.multiply.accumulate(p))
-    sums = np.zeros(len(each) + 1, np.uint64)
-    np.cumsum(each * powers[0], out=sums[1:])
-    grams, strings = (_mix((sums[k:] - sums[:-k]) * powers[1][: len(each) - k + 1]) for k in (gram, words))
-    within = np.lib.stride_tricks.sliding_window_view(grams, words - gram + 1)
-    least = np.concatenate([within[i : i + _STEP].argmin(1) for i in range(0, n, _STEP)]) + np.arange(n)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
-    count = np.diff(np.concatenate([first, [n]]))
-    return grams[least[first]].view(np.int64), first, count, strings.view(np.int64), begins[:n], ends[words - 1 :]
-
-
-def repeated_words(docs: DataFrame, words: int, text_col: str = "text") -> DataFrame:
-    """(row, begin, end) of every string of `words` words that occurs more than once. Equal strings have equal least pieces, so only
-    strings of keys with several places are hashed as a whole and counted."""
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).alias("text"))
-    run_schema = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("first", pa.int64()), ("count", pa.int64())])
-    schema = pa.schema([("string", pa.int64()), ("row", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
-
-    def find_runs(batches):
-        for b in batches:
-            for row, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
-                keys, first, count, *_ = word_runs(text, words)
-                if len(keys):
-                    yield batch(run_schema, [keys, np.full(len(keys), row), first, count])
-
-    runs = written(map_arrow(texts, find_runs, "key long, row long, first long, count long"), "word-runs")
-    often = runs.groupBy("key").count().where("count > 1").select("key")
-    asked = runs.join(often, "key", "left_semi").groupBy("row").agg(F.collect_list("first").alias("first"), F.collect_list("count").alias("count"))
 
-    def hash_strings(batches):
-        for b in batches:
-            for row, packed, first, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                *_, strings, begins, ends = word_runs(zstandard.decompress(packed), words)
-                at = ranges(np.asarray(first.values), np.asarray(count.values))
-                yield batch(schema, [strings[at], np.full(len(at), row), begins[at], ends[at]])
-
-    # at least one byte for each word and space
-    packed = pack(texts.where(F.octet_length("text") >= 2 * words - 1))
-    strings = written(map_arrow(packed.join(asked, "row").select("row", "packed", "first", "count"), hash_strings, "string long, row long, begin long, end long"), "word-strings")
-    twice = strings.groupBy("string").count().where("count > 1").select("string")
-    return strings.join(twice, "string", "left_semi").select("row", "begin", "end")
-
-
-def drop_repeats(docs: DataFrame, length: int = 400, gram: int = 200, text_col: str = "text", size_col: str = "n_chars", words: int = 0) -> DataFrame:
-    """docs with the repeated strings (of `length` bytes, and of `words` words if not 0) taken out of the texts; size_col, where there is one, follows the text. A character of which only
-    some bytes go goes wholly. Rows of which nothing is left go; rows without repeats stay as they are."""
-    spans = repeated_spans(docs, length, gram, text_col)
-    if words:  # as spans that end where the words do
-        more = repeated_words(docs, words, text_col).groupBy("row").agg(F.collect_list(F.struct(F.col("begin").alias("first"), (F.col("end") - F.col("begin") - length + 1).alias("count"))).alias("starts"))
-        spans = spans.unionByName(more).groupBy("row").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(spans.withColumnRenamed("row", "_row").withColumnRenamed("starts", "_starts"), "_row", "left").drop("_row")
+def drop_repeats(docs: DataFrame, length: int = 400, gram: int = 200, words: int = 0, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with the repeated strings (of `length` bytes, and of `words` words if not 0) taken out of the texts; size_col, where there is
+    one, follows the text. A character of which only some bytes go goes wholly. Rows of which nothing is left go; rows without repeats
+    stay as they are."""
+    rows, name = _with_spans(docs, length, gram, words, text_col)
+    text_type = pa.large_string() if docs.sparkSession.conf.get("spark.sql.execution.arrow.useLargeVarTypes", "false") == "true" else pa.string()
 
     def kernel(batches):
         for b in batches:
-            at = b.schema.get_field_index(text_col)
-            starts = b.column(b.schema.get_field_index("_starts")).to_pylist()
-            b = b.drop_columns(["_starts"])
-            texts = b.column(at).cast(pa.binary()).to_pylist()
-            new = [t if not s else remaining(t, covered(s, length)).decode("utf8", "ignore").encode() for t, s in zip(texts, starts, strict=True)]
+            at, spans = b.schema.get_field_index(text_col), b.column(b.schema.get_field_index(name)).to_pylist()
+            b = b.drop_columns([name])
+            nulls = b.column(at).is_null().to_pylist()
+            old = unpack(b.column(at))
+            new = [t if s is None else remaining(t, _joined([*covered(s["starts"], length), *in_bytes(t, covered(s["word_starts"], words))])).decode("utf8", "ignore").encode() for t, s in zip(old, spans, strict=True)]
             if (n := b.schema.get_field_index(size_col)) >= 0:
-                sizes = [x if not s else len(t.decode()) for x, t, s in zip(b.column(n).to_pylist(), new, starts, strict=True)]
+                sizes = [x if s is None else len(t.decode()) for x, t, s in zip(b.column(n).to_pylist(), new, spans, strict=True)]
                 b = b.set_column(n, b.schema.field(n), pa.array(sizes, b.schema.field(n).type))
-            b = b.set_column(at, b.schema.field(at), pa.array(new, pa.binary()).cast(b.schema.field(at).type))
-            yield b.filter(pa.array([not s or bool(t) for t, s in zip(new, starts, strict=True)], pa.bool_()))
+            b = b.set_column(at, text_col, pa.array([None if x else t for t, x in zip(new, nulls, strict=True)], pa.binary()).cast(text_type))
+            yield b.filter(pa.array([s is None or bool(t) for t, s in zip(new, spans, strict=True)], pa.bool_()))
 
     return map_arrow(rows, kernel, docs.schema)

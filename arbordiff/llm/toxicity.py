@@ -1,12 +1,13 @@
 """Toxicity by weak supervision.
 
 Voters: lexicon words, patterns (how a word begins) and style patterns; which words and beginnings vote is read off a bounded sample of
-labelled rows. A generative label model takes every document's votes as drawn given its hidden class: expectation maximisation
+labelled rows: all that lean to label 1 beyond chance, however many they are. A generative label model takes every document's votes as drawn given its hidden class: expectation maximisation
 estimates how accurate each voter is, the remaining correlation of voters given the class is measured, and voters that go together
 share one vote. A linear classifier is then trained on the posteriors of the label model.
 
 Empty and null texts get no votes; their score is that of a text without votes. Without a labelled row of both classes every score is
-the share of label 1 (0 without any label). Repeated rows repeat; other columns are left alone.
+the share of label 1 (0 without any label). Texts are read whole, however long. An empty table gives an empty one, repeated rows repeat,
+a tie of voters goes to the longer string; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,15 +16,14 @@ from collections import Counter
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from arbordiff.llm.common import fold_of, map_arrow
-from arbordiff.llm.labelled import SAMPLE_ROWS, training_sample
+from arbordiff.llm.common import Shared, fold_of, map_arrow
+from arbordiff.llm.labelled import SAMPLE_ROWS, Sample, training_sample
 
-#: Lengths of word beginnings that may vote, most lexical voters, and the chance below which a word's lean is no accident.
-BEGINNINGS, MOST_VOTERS, CHANCE = (3, 4, 5, 6, 7, 8), 400, 1e-6
+#: Lengths of word beginnings that may vote, and the chance below which a word's lean is no accident.
+BEGINNINGS, CHANCE = (3, 4, 5, 6, 7, 8), 1e-6
 
 
 def _log_tail(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
@@ -37,7 +37,7 @@ def words_of(text: str) -> set[str]:
     return set("".join(c if c.isalnum() else " " for c in text.lower()).split())
 
 
-def mine_voters(sample: pd.DataFrame) -> list[tuple[str, bool]]:
+def mine_voters(sample: Sample) -> list[tuple[str, bool]]:
     """(string, whole word?) of the lexical voters: words and beginnings that lean to label 1 beyond chance. Of several nested ones the
     one that leans most clearly stands for all, at a tie the longest."""
 
@@ -49,11 +49,11 @@ def mine_voters(sample: pd.DataFrame) -> list[tuple[str, bool]]:
 
     # only what some rows of label 1 have is counted among the others, so that memory follows the rows of label 1
     seen: tuple[Counter, Counter] = (Counter(), Counter())
-    for text in sample.text[sample.label == 1]:
+    for text in sample.texts(np.flatnonzero(sample.label == 1)):
         seen[1].update(keys_of(text))
     for k in [k for k, n in seen[1].items() if n < 3]:
         del seen[1][k]
-    for text in sample.text[sample.label != 1]:
+    for text in sample.texts(np.flatnonzero(sample.label != 1)):
         seen[0].update(k for k in keys_of(text) if k in seen[1])
     base = min(max(float(sample.label.mean()), 1e-3), 1 - 1e-3)
     keys = list(seen[1])
@@ -65,7 +65,7 @@ def mine_voters(sample: pd.DataFrame) -> list[tuple[str, bool]]:
     for _, (s, whole) in sorted(good, key=lambda g: (g[0], -len(g[1][0]), g[1])):
         if not any(s.startswith(k) or k.startswith(s) for k, _ in kept):
             kept.append((s, whole))
-    return kept[:MOST_VOTERS]
+    return kept
 
 
 class Votes:
@@ -100,7 +100,7 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
     """Posterior of class 1 for each row, P(vote | class) as (2, voters), and each voter's weight: 1 / (1 + sum of its correlations with
     others given the class). votes: 0 or 1. start: the labels of the training rows, which are the first posteriors and then a voter
     whose accuracy is estimated like any other's."""
-    votes = np.column_stack([votes, start])
+    votes = np.column_stack([votes, start.astype(votes.dtype)])
     posterior = np.clip(start.astype(float), 0.02, 0.98)
     weight = np.ones(votes.shape[1])
     rate = np.zeros((2, votes.shape[1]))
@@ -108,13 +108,19 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 30) -> tuple
         share = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
         rate[1] = (posterior @ votes + 0.1) / (posterior.sum() + 1)
         rate[0] = ((1 - posterior) @ votes + 0.01) / ((1 - posterior).sum() + 1)
-        rest = votes - (np.outer(posterior, rate[1]) + np.outer(1 - posterior, rate[0]))
-        spread = rest.std(0) + 1e-9
-        related = np.clip((rest.T @ rest) / len(rest) / np.outer(spread, spread), 0, 1)
+        both, total = np.zeros((votes.shape[1],) * 2), np.zeros(votes.shape[1])
+        for lo in range(0, len(votes), 1024):  # what the class doesn't explain, a part of the rows at a time
+            p = posterior[lo : lo + 1024, None]
+            rest = votes[lo : lo + 1024] - (p * rate[1] + (1 - p) * rate[0])
+            both += rest.T @ rest
+            total += rest.sum(0)
+        spread = np.sqrt(np.maximum(np.diag(both) / len(votes) - (total / len(votes)) ** 2, 0)) + 1e-9
+        related = np.clip(both / len(votes) / np.outer(spread, spread), 0, 1)
         np.fill_diagonal(related, 0)
         weight = 1 / (1 + np.where(related > 0.3, related, 0).sum(1))
         weight[-1] = 1.0
-        odds = votes @ (weight * np.log(rate[1] / rate[0])) + (1 - votes) @ (weight * np.log((1 - rate[1]) / (1 - rate[0])))
+        yes, no = weight * np.log(rate[1] / rate[0]), weight * np.log((1 - rate[1]) / (1 - rate[0]))
+        odds = votes @ (yes - no) + no.sum()
         posterior = 1 / (1 + np.exp(-np.clip(odds + np.log(share / (1 - share)), -30, 30)))
     return posterior, rate[:, :-1], weight[:-1]
 
@@ -125,8 +131,8 @@ def _linear(x: np.ndarray, y: np.ndarray, decay: float = 1e-3, rounds: int = 400
     step = 4 / (np.square(x).sum(1).max() + 1)
     vw, vb = w.copy(), b
     for k in range(rounds):
-        g = 1 / (1 + np.exp(-np.clip(x @ vw + vb, -30, 30))) - y
-        nw, nb = vw - step * (x.T @ g / len(y) + decay * vw), vb - step * g.mean()
+        g = 1 / (1 + np.exp(-np.clip(x @ vw.astype(x.dtype) + vb, -30, 30))) - y
+        nw, nb = vw - step * (x.T @ g.astype(x.dtype) / len(y) + decay * vw), vb - step * g.mean()
         vw, vb = nw + k / (k + 3) * (nw - w), nb + k / (k + 3) * (nb - b)
         w, b = nw, nb
     return w, b
@@ -141,29 +147,29 @@ class Model:
         return lambda text: float(1 / (1 + np.exp(-np.clip(np.log1p(votes.count(text)) @ self.w + self.b, -30, 30))))
 
 
-def fit(sample: pd.DataFrame) -> Model:
-    if not len(sample) or sample.label.nunique() < 2:
+def fit(sample: Sample) -> Model:
+    if len(np.unique(sample.label)) < 2:
         share = float(np.clip(sample.label.mean(), 1e-6, 1 - 1e-6)) if len(sample) else 1e-6
         return Model([], np.zeros(Votes.MORE), float(np.log(share / (1 - share))))
     voters = mine_voters(sample)
     votes = Votes(voters)
-    counts = np.stack([votes.count(t) for t in sample.text])
-    posterior, _, _ = label_model((counts > 0).astype(float), sample.label.to_numpy())
-    return Model(voters, *_linear(np.log1p(counts), posterior))
+    counts = np.stack([votes.count(t).astype(np.float32) for t in sample.texts()])
+    posterior, _, _ = label_model((counts > 0).astype(np.float32), sample.label)
+    return Model(voters, *_linear(np.log1p(counts, out=counts), posterior))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out: int = 0) -> DataFrame:
     """(id_col, held_out, score, predicted) for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
 
     def kernel(batches):
-        of = shared.value.scorer()
+        of = shared.made(Model.scorer)
         for b in batches:
             scores = np.array([of(t or "") for t in b.column(2).to_pylist()], float)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [id_col, "held_out", "score", "predicted"])
 
     rows = docs.select(id_col, (fold_of(id_col) == held_out).alias("held_out"), text_col)
-    return map_arrow(rows, kernel, f"{id_col} {dict(docs.dtypes)[id_col]}, held_out boolean, score double, predicted int")
+    return map_arrow(rows, kernel, f"`{id_col}` {dict(docs.dtypes)[id_col]}, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -172,10 +178,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Dat
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, rows: int = SAMPLE_ROWS, text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose score is below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(training_sample(docs, labels, "toxic", rows=rows)))
+    shared = Shared(docs.sparkSession, fit(training_sample(docs, labels, "toxic", rows=rows, text_col=text_col)))
 
     def kernel(batches):
-        of = shared.value.scorer()
+        of = shared.made(Model.scorer)
         for b in batches:
             yield b.filter(pa.array([of(t or "") < threshold for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], pa.bool_()))
 

@@ -42,7 +42,6 @@ def test_near_copies(spark):
             root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
     assert apart > 10
     docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS).repartition(3)
-    docs = docs.localCheckpoint()
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
     assert got == dict(enumerate(root))
     kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
@@ -53,6 +52,6 @@ def test_near_copies_of_a_large_group(spark):
     r = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join(base)] + [" ".join(f"x{r.random()}" if i == at else w for i, w in enumerate(base)) for at in r.choices(range(120), k=400)]
-    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS).localCheckpoint()
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS)
     assert [r.doc_id for r in near_copies.drop_near_copies(docs).collect()] == [0]
     assert near_copies.drop_near_copies(docs.limit(0)).count() == 0
