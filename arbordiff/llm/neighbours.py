@@ -2,27 +2,32 @@
 
 The tree is fitted on a bounded sample and every row is filed under a leaf. A query walks the tree through a priority queue (the child
 whose centre has the largest inner product first) and visits leaves until the calibrated number is reached and enough rows are met.
-The number is calibrated on the sample: the fewest visits that find the wanted share of the true neighbours.
-
-Null, zero and non-finite vectors, vectors of another length than most, and null ids take no part; repeated rows of an id count once.
-Of equal vectors only those of the k+1 smallest ids can be among a query's k nearest (ties go to the smaller id), so that only they are
-filed; no result changes by that. Fewer than k candidates: all of them. Other columns are left alone.
+The number is calibrated on the sample: the fewest visits that find the wanted share of the true neighbours. Leaves that are neighbours
+in the tree form groups of bounded size; a query is sent once to each group in which it visits leaves, with these leaves, and its
+nearest rows of the whole group come back.
+
+Null, zero and non-finite vectors and null ids take no part. Inner products are between vectors of one length: each length that occurs
+is searched by itself. Equal rows (id and vector) count once; of several vectors of one id each is a row and, if the id is a query's,
+a query of its own. Of equal vectors only those of the k+1 smallest ids can be among a query's k nearest (ties go to the smaller id), so
+that only they are filed; no result changes by that. Fewer than k candidates: all of them. An empty table gives an empty one; other
+columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbordiff.llm.common import map_arrow, written
+from arbordiff.llm.common import map_arrow, numbered, written
 
-#: Rows that the tree is fitted on, leaves aimed at and least rows of one, children of a node, rows and queries that meet in one task at
-#: once. The number of leaves doesn't grow with the table, nor do the partial results of a query: k for each leaf that it visits.
-SAMPLE, LEAVES, LEAST_ROWS, BRANCHES, CHUNK = 20_000, 32, 100, 8, 32_768
+#: Rows that the tree is fitted on, rows of a leaf aimed at and least sampled rows of one, children of a node, rows and queries that meet
+#: in one task at once. The number of leaves grows with the table as far as the sample can tell leaves apart.
+SAMPLE, LEAF_ROWS, LEAST_SAMPLED, BRANCHES, CHUNK = 20_000, 100, 8, 8, 8_192
 
 
 def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
@@ -97,94 +102,140 @@ def calibrate(tree: Tree, sample: np.ndarray, k: int, recall: float, tests: int
     return int(np.quantile(places, recall, method="higher")) + 1 if places else 1
 
 
-def search(vectors: DataFrame, query_every: int = 20, k: int = 20, recall: float = 0.95, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, query_every: int = 20, k: int = 20, recall: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by query_every, its k nearest found by inner product."""
-    spark = vectors.sparkSession
     whole = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     whole = whole.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    usual = whole.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    out_schema = "query_id long, rank int, vec_id long, score double"
-    if usual is None:
-        return spark.createDataFrame([], out_schema)
-    dimensions = usual.n
-    whole = whole.where(F.size("v") == dimensions).groupBy("vec_id").agg(F.min("v").alias("v"))
-    whole = written(whole, "vectors")
-    first = Window.partitionBy("v").orderBy("vec_id")
+    whole = numbered(whole.distinct(), "row", "vectors")
+    found = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in whole.groupBy(F.size("v").alias("n")).count().orderBy("n").collect():
+        found = found.unionByName(_search(whole.where(F.size("v") == r.n), r.n, r["count"], query_every, k, recall))
+    return found
+
+
+def _groups(sizes: np.ndarray) -> np.ndarray:
+    """The group of each leaf: neighbouring leaves of about CHUNK rows together."""
+    before = np.cumsum(sizes) - sizes
+    return (before // CHUNK).astype(np.int32)
+
+
+def _search(whole: DataFrame, dimensions: int, total: int, query_every: int, k: int, recall: float) -> DataFrame:
+    """whole: (vec_id, v, row), a table of rows of one length."""
+    spark, kind = whole.sparkSession, dict(whole.dtypes)["v"]
+    first = Window.partitionBy("v").orderBy("vec_id", "row")
     rows = whole.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).drop("r")
-    total = whole.count()
-    sampled = whole.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, 0.9 * SAMPLE / total)))) if total > SAMPLE else whole
-    sample = np.array([r.v for r in sampled.orderBy("vec_id").limit(SAMPLE).collect()], float)
+    sampled = whole.where(F.pmod(F.xxhash64("row"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, 0.9 * SAMPLE / total)))) if total > SAMPLE else whole
+    sample = np.array([r.v for r in sampled.orderBy("row").limit(SAMPLE).collect()], float)
     if not len(sample):
         sample = np.array([r.v for r in whole.limit(1).collect()], float)
     distinct = np.unique(sample, axis=0)  # copies don't shape the tree, but count when it is calibrated
-    tree = Tree(distinct, max(8, int(max(LEAST_ROWS, total / LEAVES) * len(sample) / total)))
+    tree = Tree(distinct, max(LEAST_SAMPLED, LEAF_ROWS * len(sample) // total))
     visits = calibrate(tree, sample, k, recall)
     shared = spark.sparkContext.broadcast(tree)
 
     def file(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.file(_matrix(b.column(1), dimensions)), pa.int32())], ["vec_id", "v", "leaf"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.file(_matrix(b.column(1), dimensions)), pa.int32())], ["vec_id", "v", "row", "leaf"])
 
-    filed = written(map_arrow(rows, file, "vec_id long, v array<float>, leaf int"), "leaves")
-    held = {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}  # as many as the tree has leaves
-    counts = spark.sparkContext.broadcast(np.array([held.get(i, 0) for i in range(tree.leaves)]))
+    filed = written(map_arrow(rows, file, f"vec_id long, v {kind}, row long, leaf int"), "leaves")
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in filed.groupBy("leaf").count().collect():  # as many as the tree has leaves
+        sizes[r.leaf] = r["count"]
+    told = spark.sparkContext.broadcast((sizes, _groups(sizes)))
+    # a leaf of more rows than a task takes (close rows that the sample had few of) is cut into parts
+    parts = {g: -(-int(n) // CHUNK) for g, n in enumerate(np.bincount(told.value[1], sizes)) if n > 2 * CHUNK}
 
     def walk(batches):
+        sizes, groups = told.value
         for b in batches:
-            at, leaves = [], []
+            at, asked, leaves = [], [], []
             for i, q in enumerate(_matrix(b.column(1), dimensions)):
-                met = 0
+                met, wanted = 0, {}
                 for n, leaf in enumerate(shared.value.visit(q)):
                     if n >= visits and met > k:
                         break
-                    if counts.value[leaf]:
-                        at.append(i)
-                        leaves.append(leaf)
-                        met += counts.value[leaf]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), b.column(1).take(pa.array(at, pa.int64())), pa.array(leaves, pa.int32())], ["vec_id", "v", "leaf"])
-
-    asked = written(map_arrow(whole.where(F.col("vec_id") % query_every == 0), walk, "vec_id long, v array<float>, leaf int"), "visits")
-    asks = {r.leaf: r["count"] for r in asked.groupBy("leaf").count().collect()}
-
-    def parts(sizes: dict[int, int]):
-        """How many parts a leaf's rows or queries are cut into."""
-        many = {i: -(-n // CHUNK) for i, n in sizes.items() if n > CHUNK}
-        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in many.items() for x in kv]), F.col("leaf")), F.lit(1)) if many else F.lit(1)
+                    if sizes[leaf]:
+                        wanted.setdefault(int(groups[leaf]), []).append(leaf)
+                        met += sizes[leaf]
+                at += [i] * len(wanted)
+                asked += wanted
+                leaves += wanted.values()
+            taken = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(asked, pa.int32()), pa.array(leaves, pa.list_(pa.int32()))], ["vec_id", "v", "row", "group", "leaves"])
+
+    asked = written(map_arrow(whole.where(F.col("vec_id") % query_every == 0), walk, f"vec_id long, v {kind}, row long, group int, leaves array<int>"), "visits")
+    asks = {r.group: -(-r["count"] // CHUNK) for r in asked.groupBy("group").count().collect() if r["count"] > CHUNK}
+
+    def many(counts: dict[int, int]):
+        """Into how many parts a group's rows or queries are cut."""
+        return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]), F.col("group")), F.lit(1)) if counts else F.lit(1)
 
     def cut(df: DataFrame, own, other, names: list[str]) -> DataFrame:
-        """Each row in its own part of its leaf, and once for each part of the other side."""
-        df = df.withColumn(names[0], F.pmod(F.xxhash64("vec_id"), own).cast("int"))
+        """Each row in its own part of its group, and once for each part of the other side."""
+        df = df.withColumn(names[0], F.pmod(F.xxhash64("row"), own).cast("int"))
         return df.withColumn(names[1], F.explode(F.sequence(F.lit(0), (other - 1).cast("int"))))
 
-    left = cut(asked, parts(asks), parts(held), ["qpart", "part"]).groupBy("leaf", "part", "qpart")
-    right = cut(filed, parts(held), parts(asks), ["part", "qpart"]).groupBy("leaf", "part", "qpart")
-    schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    numbers = F.from_json(F.lit(json.dumps(told.value[1].tolist())), "array<int>")
+    grouped = filed.withColumn("group", F.element_at(numbers, F.col("leaf") + 1))
+    left = cut(asked, many(asks), many(parts), ["qpart", "part"]).groupBy("group", "part", "qpart")
+    right = cut(grouped, many(parts), many(asks), ["part", "qpart"]).groupBy("group", "part", "qpart")
+    nearest = pa.list_(pa.struct([("d", pa.float64()), ("vec_id", pa.int64()), ("row", pa.int64())]))
+    schema = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("best", nearest)])
 
     def meet(queries: pa.Table, rows: pa.Table) -> pa.Table:
         if not queries.num_rows or not rows.num_rows:
             return schema.empty_table()
-        ids = rows.column("vec_id").to_numpy()
-        order = np.argsort(ids)
-        ids, x = ids[order], _matrix(rows.column("v").combine_chunks(), dimensions)[order]
-        asked_ids, q = queries.column("vec_id").to_numpy(), _matrix(queries.column("v").combine_chunks(), dimensions)
-        found = []
-        for lo in range(0, len(q), 64):
-            part = asked_ids[lo : lo + 64]
-            scores = q[lo : lo + 64] @ x.T
-            scores[part[:, None] == ids[None, :]] = -np.inf
-            # a little below the k-th score, as the order of the sums above is the library's
-            edge = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(part), -np.inf)
-            r, c = np.nonzero(scores >= (edge - 1e-9 * np.abs(edge))[:, None])
-            real = np.isfinite(scores[r, c])
-            r, c = r[real], c[real]
-            exact = (q[lo + r] * x[c]).sum(1)  # the same sum whatever the batch
-            order = np.lexsort((ids[c], -exact, r))
-            r, c, exact = r[order], c[order], exact[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            top = place < k
-            found.append((part[r[top]], ids[c[top]], exact[top]))
-        return pa.table([pa.array(np.concatenate(a)) for a in zip(*found, strict=True)], schema=schema)
-
-    met = left.cogroup(right).applyInArrow(meet, "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id"))), 1, k).alias("best"))
+        leaf, ids, own = (rows.column(c).to_numpy() for c in ("leaf", "vec_id", "row"))
+        order = np.lexsort((own, ids, leaf))
+        leaf, ids, own = leaf[order], ids[order], own[order]
+        x = _matrix(rows.column("v").combine_chunks(), dimensions)[order]
+        edges = np.flatnonzero(np.diff(leaf, prepend=-1, append=-1))
+        place = {int(leaf[b]): (b, e) for b, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
+        q, asker = _matrix(queries.column("v").combine_chunks(), dimensions), queries.column("row").to_numpy()
+        # the queries of each leaf, and what each query has found so far: its k best scores
+        wanted = queries.column("leaves").combine_chunks()
+        at = np.repeat(np.arange(len(q)), np.diff(wanted.offsets.to_numpy()))
+        flat = wanted.flatten().to_numpy()
+        order = np.argsort(flat, kind="stable")
+        at, flat = at[order], flat[order]
+        edges = np.flatnonzero(np.diff(flat, prepend=-1, append=-1))
+        scores, rows_met = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
+        for b, e in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if int(flat[b]) not in place:
+                continue
+            lo, hi = place[int(flat[b])]
+            for c in range(b, e, 1024):
+                who = at[c : min(e, c + 1024)]
+                for low in range(lo, hi, 4096):
+                    part = slice(low, min(hi, low + 4096))
+                    # what is near by the library's product is summed again, so that scores are the same whatever the batch
+                    new = q[who] @ x[part].T
+                    new[asker[who][:, None] == own[part][None, :]] = -np.inf
+                    edge = scores[who].min(1, keepdims=True)
+                    near = np.flatnonzero((new >= edge - 1e-9 * np.abs(np.where(np.isfinite(edge), edge, 0))).any(1))
+                    if not len(near):
+                        continue
+                    r, col = np.nonzero(new[near] >= edge[near] - 1e-9 * np.abs(np.where(np.isfinite(edge[near]), edge[near], 0)))
+                    r = near[r]
+                    real = np.isfinite(new[r, col])
+                    r, col = r[real], col[real]
+                    exact = (q[who[r]] * x[low + col]).sum(1)
+                    # old and new together: of each query the k best, ties to the smaller id
+                    all_q = np.concatenate([r, np.repeat(np.arange(len(who)), k)])
+                    all_s = np.concatenate([exact, scores[who].ravel()])
+                    all_r = np.concatenate([low + col, rows_met[who].ravel()])
+                    kept = all_r >= 0
+                    all_q, all_s, all_r = all_q[kept], all_s[kept], all_r[kept]
+                    order = np.lexsort((own[all_r], ids[all_r], -all_s, all_q))
+                    all_q, all_s, all_r = all_q[order], all_s[order], all_r[order]
+                    rank = np.arange(len(all_q)) - np.searchsorted(all_q, all_q)
+                    top = rank < k
+                    fresh_s, fresh_r = np.full((len(who), k), -np.inf), np.full((len(who), k), -1)
+                    fresh_s[all_q[top], rank[top]], fresh_r[all_q[top], rank[top]] = all_s[top], all_r[top]
+                    scores[who], rows_met[who] = fresh_s, fresh_r
+        best = [[{"d": -s, "vec_id": int(ids[r]), "row": int(own[r])} for s, r in zip(ss, rr, strict=True) if r >= 0] for ss, rr in zip(scores.tolist(), rows_met.tolist(), strict=True)]
+        return pa.table([queries.column("vec_id"), queries.column("row"), pa.array(best, nearest)], schema=schema)
+
+    met = left.cogroup(right).applyInArrow(meet, "query_id long, query long, best array<struct<d:double,vec_id:long,row:long>>")
+    best = met.groupBy("query_id", "query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("i", "b")).select("query_id", (F.col("i") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.d")).alias("score"))

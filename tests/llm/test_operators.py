@@ -325,6 +325,20 @@ def test_neighbours(spark, monkeypatch, n, chunk):
     assert neighbours.search(frame.limit(0)).count() == 0
 
 
+def test_neighbours_of_each_length(spark):
+    """Vectors of several lengths, and several vectors of one id, all take part."""
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=3 + i % 2).tolist()) for i in range(90)] + [(20, rng.normal(size=3).tolist()), (7, rng.normal(size=4).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r.query_id, r.vec_id, r.score) for r in neighbours.search(frame, 20, 5, recall=1.0).collect())
+    want = Counter()
+    for n, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, (i, w) in enumerate(rows) if m != n and len(w) == len(v))
+            want.update((q, i, s) for s, i in ((-s, i) for s, i in near[:5]))
+    assert Counter((q, i, round(s, 9)) for (q, i, s), c in got.items() for _ in range(c)) == Counter((q, i, round(s, 9)) for (q, i, s), c in want.items() for _ in range(c))
+
+
 # 10
 
 
