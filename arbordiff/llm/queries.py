@@ -32,14 +32,18 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(url, bad) of the pages whose path ends with the number of a labelled document: bad if that is of low quality or toxic."""
+    marks = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"([0-9]{1,18})[^0-9]*$", 1)
+    numbered = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id")).where("doc_id is not null")
+    return numbered.join(marks.where("bad is not null"), "doc_id").select("url", "bad")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page is labelled by the document whose number ends its path (bad: low quality or toxic), or by a seed word in its host."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("marked"))
-    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"([0-9]{1,18})[^0-9]*$", 1)
-    numbered = pages.select("url", F.when(number != "", number.cast("long")).alias("doc_id"), url_filter.seeded(F.col("url")).alias("seeded"))
-    labelled = numbered.join(marks, "doc_id", "left").where("seeded or marked is not null").select("url", F.expr("seeded or coalesce(marked, false)").alias("bad"))
-    return url_filter.filter_urls(pages, labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    found = url_filter.filter_urls(pages, page_labels(pages, table(spark, sf_dir, "labels")), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,29 +1,32 @@
 """URL filtering by explicit host and path rules and by mined association rules; DataFrame and SQL functions only.
 
-Explicit rules: a rule fits its host and all subdomains if the url's path starts with the rule's path; the longest wins.
-Mined rules: FP-growth finds frequent combinations of URL tokens among labelled urls. A combination that is frequent together with the
-label 'bad' (support) and mostly has it (confidence) is a rule, unless a part of it is a rule that is at least as confident. Rules are
-looked up through an inverted index: each is filed under one of its tokens, so that a url meets only rules that share a token with it.
-
-Null urls and urls without '://' have an empty host and path and no tokens: no rule fits and the verdict is allow. Repeated rows
-repeat, the order of rows means nothing, and other columns are left alone. No labelled url: no mined rules.
+Explicit rules: a rule fits its host and all subdomains if the url's path starts with the rule's path; the longest wins (two rules of one
+length that fit have the same host and path; block is stronger than allow).
+Mined rules: FP-growth finds the combinations of up to MOST_TOKENS URL tokens that are frequent among the bad urls (support); their share
+of bad urls among all labelled ones is then counted. A combination that mostly is bad (confidence) is a rule, unless a part of it is a
+rule that is at least as confident. Rules are looked up through an inverted index: each is filed under one of its tokens, so that a url
+meets only rules that share a token with it.
+
+Null urls and urls without '://' have an empty host and path and no tokens: no rule fits and the verdict is allow. Urls are read whole,
+however long. Repeated rows repeat (and count as often among the labels), the order of rows means nothing, an empty table gives an empty
+one, and other columns are left alone, whatever their names. No labelled url: no mined rules.
 """
 
 from __future__ import annotations
 
 import json
+from itertools import combinations
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbordiff.llm.common import own_name, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Item that marks a bad url among its tokens.
-BAD = "=bad"
-#: Most tokens of a rule. With a least support s there are at most C(tokens of a url, 3) / s combinations, however many urls there are.
-MOST_TOKENS = 3
-#: Words in host names that mark a url as bad where no label is at hand.
-SEED_WORDS = ("spam", "casino", "pills", "adult", "bets", "ads", "porn", "viagra", "warez", "malware", "phishing")
+#: Most tokens of a rule, and tokens that a transaction of FP-growth has at most (a multiple of MOST_TOKENS): with these a transaction
+#: has at most 2 ** IN_TRANSACTION combinations, however long its url is.
+MOST_TOKENS, IN_TRANSACTION = 3, 12
 
 
 def host_of(url: Column) -> Column:
@@ -66,30 +69,54 @@ def explicit_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return F.array_max(F.transform(F.filter(found, lambda r: F.startswith(path, r["path"])), lambda r: F.struct(r["n"].alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
 
 
+def transactions(tokens: Column) -> Column:
+    """The tokens as one transaction, or, if they are more than IN_TRANSACTION, as several of so many, such that any MOST_TOKENS tokens
+    are together in one of them: the tokens are cut into small parts, and every three parts make a transaction."""
+    part = IN_TRANSACTION // MOST_TOKENS
+    parts = F.ceil(F.size(tokens) / part).cast("int")
+
+    def piece(i: Column) -> Column:
+        return F.slice(tokens, i * part + 1, F.lit(part))
+
+    def third(i: Column, j: Column) -> Column:
+        return F.transform(F.sequence(j + 1, parts - 1), lambda k: F.concat(piece(i), piece(j), piece(k)))
+
+    def second(i: Column) -> Column:
+        return F.flatten(F.transform(F.sequence(i + 1, parts - 2), lambda j: third(i, j)))
+
+    cut = F.flatten(F.transform(F.sequence(F.lit(0), parts - 3), second))
+    return F.when(F.size(tokens) <= IN_TRANSACTION, F.array(tokens)).otherwise(cut)
+
+
 def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_count: int = 10, min_confidence: float = 0.9) -> list[dict]:
-    """labelled: (tokens array<string>, bad boolean). Rules as dicts of tokens, count, confidence. Their number is bounded (MOST_TOKENS)."""
-    labelled = labelled.where(F.size("tokens") > 0)
-    items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    total = items.count()
-    if not total:
-        return []
+    """labelled: (tokens array<string>, bad boolean). Rules as dicts of tokens, count, confidence: at least max(min_count, min_support of
+    all labelled urls) bad urls have the tokens, and of the urls that have them at least min_confidence are bad. The number of rules is
+    bounded: a url has at most C(its tokens, MOST_TOKENS) combinations, and min_support of the urls must have one."""
+    labelled = written(labelled.where(F.size("tokens") > 0).select("tokens", F.coalesce("bad", F.lit(False)).alias("bad")), "labelled")
+    total = labelled.count()
     count = max(min_count, min_support * total)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, count / total)).fit(items)
-    sets = model.freqItemsets.select(F.array_sort("items").alias("items"), "freq").where(F.size("items") <= MOST_TOKENS + 1)
-    with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_remove("items", BAD).alias("items"), F.col("freq").alias("bad_freq"))
-    rules = with_bad.join(sets, "items").where(F.col("bad_freq") >= min_confidence * F.col("freq"))
-    found = [{"tokens": r["items"], "count": r.freq, "confidence": r.bad_freq / r.freq} for r in rules.collect()]
-    kept: list[dict] = []
-    for r in sorted(found, key=lambda r: (len(r["tokens"]), r["tokens"])):
-        if not any(set(k["tokens"]) < set(r["tokens"]) and k["confidence"] >= r["confidence"] for k in kept):
-            kept.append(r)
-    return kept
+    items = written(labelled.where("bad").select(F.explode(transactions(F.col("tokens"))).alias("items")), "transactions")
+    if not (n := items.count()):
+        return []
+    # A combination is in at least as many transactions as urls, so that none is missed; what it really counts comes next.
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, count / n)).fit(items)
+    sets = model.freqItemsets.where(F.size("items") <= MOST_TOKENS).select(F.array_sort("items").alias("items")).collect()
+    met = labelled.select("bad", F.explode(matches(F.col("tokens"), [{"tokens": r["items"]} for r in sets])).alias("rule"))
+    counted = met.groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+    counted = counted.where((F.col("bad") >= count) & (F.col("bad") >= min_confidence * F.col("n")))
+    found = {tuple(r.rule): (r.n, r.bad / r.n) for r in counted.collect()}
+    kept: dict[tuple, tuple] = {}
+    for tokens in sorted(found, key=lambda t: (len(t), t)):
+        parts = (p for size in range(1, len(tokens)) for p in combinations(tokens, size))
+        if not any(p in kept and kept[p][1] >= found[tokens][1] for p in parts):
+            kept[tokens] = found[tokens]
+    return [{"tokens": [*t], "count": n, "confidence": c} for t, (n, c) in kept.items()]
 
 
 def matches(tokens: Column, rules: list[dict]) -> Column:
-    """The mined rules that hold for the tokens, as strings 'a & b'."""
+    """The rules that hold for the tokens: of each its tokens."""
     if not rules:
-        return F.array().cast("array<string>")
+        return F.array().cast("array<array<string>>")
     often: dict[str, int] = {}
     for r in rules:
         for t in r["tokens"]:
@@ -99,19 +126,14 @@ def matches(tokens: Column, rules: list[dict]) -> Column:
         index.setdefault(min(r["tokens"], key=lambda t: (often[t], t)), []).append(r["tokens"])
     filed = F.from_json(F.lit(json.dumps(index)), "map<string, array<array<string>>>")
     met = F.flatten(F.filter(F.transform(tokens, lambda t: F.element_at(filed, t)), lambda x: x.isNotNull()))
-    return F.transform(F.filter(met, lambda r: F.size(F.array_except(r, tokens)) == 0), lambda r: F.array_join(r, " & "))
-
-
-def seeded(url: Column) -> Column:
-    """Whether a word of the host name is one of SEED_WORDS."""
-    return F.arrays_overlap(F.split(host_of(url), r"[.\-]"), F.array(*map(F.lit, SEED_WORDS)))
+    return F.filter(met, lambda r: F.size(F.array_except(r, tokens)) == 0)
 
 
 def filter_urls(urls: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", min_support: float = 0.001, min_confidence: float = 0.9) -> DataFrame:
     """urls with host, path, rule, verdict and mined (the mined rules that hold) added; columns of these names are replaced.
     labels: (url, bad)."""
     mined = mine_rules(labels.select(tokens_of(F.col("url")).alias("tokens"), "bad"), min_support, min_confidence=min_confidence)
-    url = F.col(url_col)
-    out = urls.withColumns({"host": host_of(url), "path": path_of(url), "mined": matches(tokens_of(url), mined), "_fits": explicit_rule(host_of(url), path_of(url), rules)})
-    verdict = F.coalesce(F.col("_fits.verdict"), F.when(F.size("mined") > 0, "block").otherwise("allow"))
-    return out.withColumns({"rule": F.col("_fits.rule"), "verdict": verdict}).drop("_fits")
+    url, fits = F.col(url_col), own_name(urls, "_fits")
+    out = urls.withColumn(fits, explicit_rule(host_of(url), path_of(url), rules)).withColumns({"host": host_of(url), "path": path_of(url), "mined": F.transform(matches(tokens_of(url), mined), lambda r: F.array_join(r, " & "))})
+    verdict = F.coalesce(F.col(f"{fits}.verdict"), F.when(F.size("mined") > 0, "block").otherwise("allow"))
+    return out.withColumns({"rule": F.col(f"{fits}.rule"), "verdict": verdict}).drop(fits)

@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +16,7 @@ import pytest
 import tiktoken
 import xxhash
 
-from arbordiff.llm import bpe, decontaminate, language_model, neighbours, quality, repeats, simhash, token_counts, toxicity, url_filter
+from arbordiff.llm import bpe, decontaminate, language_model, neighbours, quality, queries, repeats, simhash, token_counts, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
@@ -154,6 +155,41 @@ def test_url_filter(spark):
     none = spark.createDataFrame([], "url string, bad boolean")
     assert {r.verdict for r in url_filter.filter_urls(frame.limit(3), none, rules).collect()} == {"allow"}
     assert url_filter.filter_urls(frame.limit(0), labels, rules).count() == 0
+    clash = frame.withColumnRenamed("host", "_fits").withColumnRenamed("path", "mined")
+    assert url_filter.filter_urls(clash, labels, rules).columns == ["page_id", "url", "_fits", "mined", "rule", "host", "path", "verdict"]
+
+
+def test_mined_rules(spark):
+    """All rules of up to three tokens, against counting every combination."""
+    rng = random.Random(7)
+    rows = []
+    for _ in range(400):
+        tokens = sorted(rng.sample("abcdefgh", rng.randint(0, 6)))
+        rows.append((tokens, {"a", "b"} <= set(tokens) or "c" in tokens and "d" in tokens and "e" in tokens or rng.random() < 0.02))
+    rows += [([f"s{i}" for i in range(25)], True)] * 30 + [(["x", *(f"s{i}" for i in range(1, 25))], False)] * 30  # long urls, many times
+    got = {tuple(r["tokens"]): (r["count"], r["confidence"]) for r in url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean"))}
+    n, bad = Counter(), Counter()
+    for tokens, is_bad in rows:
+        for size in (1, 2, 3):
+            for c in combinations(sorted(tokens), size):
+                n[c] += 1
+                bad[c] += is_bad
+    want = {}
+    for c in sorted(n, key=lambda c: (len(c), c)):
+        if bad[c] >= 10 and bad[c] >= 0.9 * n[c]:
+            if not any(p in want and want[p][1] >= bad[c] / n[c] for size in range(1, len(c)) for p in combinations(c, size)):
+                want[c] = (n[c], bad[c] / n[c])
+    assert got == want and ("a", "b") in got and ("s0",) in got and ("s1",) not in got
+
+
+def test_page_labels(spark):
+    """A host whose pages' documents are bad is blocked."""
+    pages = spark.createDataFrame([(i, f"http://{'ill' if i % 3 == 0 else 'well'}.example.net/en/{i}?a=1") for i in range(90)] + [(900, None), (901, "http://ill.example.net/x")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 3 != 0), 0) for i in range(60)] + [(1, None, None), (2, None, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    marked = queries.page_labels(pages, labels)
+    assert Counter((r.url.split(".")[0][7:], r.bad) for r in marked.collect()) == {("ill", True): 20, ("well", False): 40}
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, marked, []).collect()}
+    assert got == {i: "block" if i % 3 == 0 else "allow" for i in range(90)} | {900: "allow", 901: "block"}
 
 
 # 4
