@@ -5,7 +5,9 @@ Training words stream through it; at each word the longest match that ends there
 `window` words holds a whole window of some item, and a shorter item matches as a whole.
 
 Nulls: a null text, in either table, has no words; a null item_id counts as ''. Repeated rows give repeated results;
-repeated items are one item for each id. Other columns are left alone, whatever their names.
+repeated items are one item for each id; of several items with one passage all are named. Texts are read whole, however
+long. An empty table of documents gives an empty one, an empty benchmark hits nothing. Other columns are left alone,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbordiff.llm.common import Shared, map_arrow, utf8
+from arbordiff.llm.common import Shared, map_arrow, own_name, utf8, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Bytes of item text in one automaton; a larger benchmark is worked off in blocks of this size.
@@ -141,10 +143,6 @@ class Automaton:
                 s = self.short_link[link[s]]
 
 
-def _automaton(shared: Shared, window: int) -> Automaton:
-    return shared.made(lambda block: Automaton([(i, WORD.findall(t.lower())) for i, t in block], window))
-
-
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
     """The items in blocks of at most BLOCK_BYTES (or one item)."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.col("text").cast("binary").alias("t")).where("t is not null")
@@ -159,45 +157,53 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, bytes]]]:
         yield block
 
 
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+
+class _Block:
+    """Looks for the items of one block."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        self.automaton = Automaton([(i, WORD.findall(t.lower())) for i, t in items], window)
+        self.get = self.automaton.vocabulary.get
+
+    def find(self, words: list[bytes]) -> list[tuple[int, int, set[str]]]:
+        return self.automaton.scan(np.fromiter(map(self.get, words, repeat(0)), np.int64, len(words)))
+
+
 def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_words, n_hit, spans (first word and end of each maximal hit run), longest (words in the
-    longest run), items (sorted), items_sha256, contaminated. No shuffle while the benchmark fits one block; more blocks are joined by row."""
-    spark = docs.sparkSession
+    longest run), items (sorted), items_sha256, contaminated. No shuffle. Of a benchmark of several blocks each goes over the texts in
+    turn, and what is found so far is stored with them in between, so that one automaton is in memory at a time."""
     kind = dict(docs.dtypes)[id_col]
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    schema = f"id {kind}, row long, n_words long, spans array<struct<first:long,end:long>>, items array<string>"
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.array().cast("array<struct<first:long,end:long>>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    found_schema = "n_words long, spans array<struct<first:long,end:long>>, items array<string>"
 
-    def kernel_of(shared):
+    def kernel_of(shared: Shared, last: bool):
         def kernel(batches):
-            automaton = _automaton(shared, window)
-            get = automaton.vocabulary.get
+            block = shared.made(lambda items: _Block(items, window))
             for b in batches:
                 counts, spans, items = [], [], []
-                for text in utf8(b.column(1)):
+                for text, old, met in zip(utf8(b.column(1)), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                     words = WORD.findall(text.lower())
+                    found = block.find(words)
                     counts.append(len(words))
-                    found = automaton.scan(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
-                    spans.append([{"first": f, "end": e} for f, e in _union((f, e) for f, e, _ in found)])
-                    items.append(sorted(set().union(*(i for _, _, i in found))) if found else [])
-                span = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))], ["id", "row", "n_words", "spans", "items"])
+                    spans.append([{"first": f, "end": e} for f, e in _union([*((x["first"], x["end"]) for x in old), *((f, e) for f, e, _ in found)])])
+                    items.append(sorted(set(met).union(*(i for _, _, i in found))))
+                results = [pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
+                if last:
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), *results], ["id", "n_words", "spans", "items"])
+                else:
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *results], ["id", "text", "spans", "items"])
 
         return kernel
 
-    parts = [map_arrow(rows, kernel_of(Shared(spark, x)), schema) for x in _blocks(benchmark)]
-    if len(parts) == 1:
-        found = parts[0]
-    else:
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        merged = F.aggregate(
-            F.array_sort("spans"),
-            F.array().cast("array<struct<first:bigint,end:bigint>>"),
-            lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["first"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
-        )
-        found = found.withColumn("spans", merged)
+    before = None
+    for items, last in _with_last(_blocks(benchmark)):
+        shared = Shared(docs.sparkSession, items)
+        if not last:
+            before = rows = written(map_arrow(rows, kernel_of(shared, False), rows.schema), "matched", instead_of=before)
+    found = map_arrow(rows, kernel_of(shared, True), f"id {kind}, {found_schema}")
     size = F.transform("spans", lambda s: s["end"] - s["first"])
     return found.select(
         F.col("id").alias(id_col), "n_words", F.aggregate(size, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_hit"), F.size("items").cast("long").alias("n_items"),
@@ -206,6 +212,15 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_
     )
 
 
+def _with_last(xs: Iterator) -> Iterator[tuple]:
+    """Each of xs, and whether it is the last."""
+    held = next(xs)
+    for x in xs:
+        yield held, False
+        held = x
+    yield held, True
+
+
 def _union(spans) -> list[list[int]]:
     out: list[list[int]] = []
     for f, e in sorted(spans):
@@ -216,51 +231,112 @@ def _union(spans) -> list[list[int]]:
     return out
 
 
+def _without(text: bytes, spans: list[list[int]]) -> bytes:
+    """The text without the spans of words and what stands within them."""
+    places = [m.span() for m in WORD.finditer(text.lower())]
+    left, kept = 0, []
+    for f, e in spans:
+        kept.append(text[left : places[f][0]])
+        left = places[e - 1][1]
+    return b" ".join([*kept, text[left:]])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
-    """docs without benchmark passages: every hit span goes from the text (words and what stands between them), until no window is
-    left; a document of which more than max_coverage of the words are hit goes altogether. Other rows and columns stay as they are;
-    size_col, where there is one, follows the text. Blocks of a larger benchmark are applied one after another."""
-    spark = docs.sparkSession
-    for block in _blocks(benchmark):
-        shared = Shared(spark, block)
-
-        def kernel(batches, shared=shared):
-            automaton = _automaton(shared, window)
-            get = automaton.vocabulary.get
+    """docs without benchmark passages: every hit span goes from the text (words and what stands between them), and again, until no window
+    is left in what remains; a document of which more than max_coverage of the words are hit, over all rounds, goes altogether. Other
+    rows and columns stay as they are; size_col, where there is one, follows the text. A benchmark of several blocks gives the same: in
+    each round all blocks are looked for before anything goes, over texts that are stored between blocks."""
+    blocks = _blocks(benchmark)
+    first, one = next(_with_last(blocks))
+    if one:
+        shared = Shared(docs.sparkSession, first)
+        return map_arrow(docs, _cleaner(text_col, size_col, max_coverage, lambda: shared.made(lambda items: _Block(items, window)).find), docs.schema)
+    return _by_blocks(docs, benchmark, window, max_coverage, text_col, size_col)
+
+
+def _cleaner(text_col: str, size_col: str, max_coverage: float, finder):
+    """The kernel for a benchmark of one block."""
+
+    def kernel(batches):
+        find = finder()
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            keep, texts = [], []
+            for i, before in enumerate(b.column(at).cast(pa.binary()).to_pylist()):
+                text, total, hit = before, 0, 0
+                while text and (found := find(words := WORD.findall(text.lower()))):
+                    total = total or len(words)
+                    spans = _union((f, e) for f, e, _ in found)
+                    hit += sum(e - f for f, e in spans)
+                    if hit > max_coverage * total:
+                        break
+                    text = _without(text, spans)
+                if hit <= max_coverage * total:
+                    keep.append(i)
+                    texts.append((text, before is not text))
+            if keep:
+                yield _changed(b.take(pa.array(keep, pa.int64())), [t for t, _ in texts], [x for _, x in texts], text_col, size_col)
+
+    return kernel
+
+
+def _changed(b: pa.RecordBatch, texts: list[bytes | None], changed: list[bool], text_col: str, size_col: str) -> pa.RecordBatch:
+    """b with the texts that have changed, and their sizes."""
+    if not any(changed):
+        return b
+    at = b.schema.get_field_index(text_col)
+    b = b.set_column(at, b.schema.field(at), pa.array(texts, pa.binary()).cast(b.schema.field(at).type))
+    if (n := b.schema.get_field_index(size_col)) >= 0:
+        sizes = [len(t.decode()) if x else s for t, x, s in zip(texts, changed, b.column(n).to_pylist(), strict=True)]
+        b = b.set_column(n, b.schema.field(n), pa.array(sizes, b.schema.field(n).type))
+    return b
+
+
+def _by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, max_coverage: float, text_col: str, size_col: str) -> DataFrame:
+    """Rounds over all blocks. With each row goes a state: words of the whole text, words hit so far, the spans of this round."""
+    name = own_name(docs, "_state")
+    state = pa.struct([("total", pa.int64()), ("hit", pa.int64()), ("spans", _SPANS)])
+    fresh = F.struct(F.lit(-1).cast("long").alias("total"), F.lit(0).cast("long").alias("hit"), F.array().cast("array<struct<first:long,end:long>>").alias("spans"))
+    rows = table = written(docs.withColumn(name, fresh), "rounds")
+
+    def states(b):
+        return b.schema.get_field_index(name), b.column(b.schema.get_field_index(name)).to_pylist()
+
+    def look_of(shared: Shared, first: bool):
+        def kernel(batches):
+            block = shared.made(lambda items: _Block(items, window))
             for b in batches:
-                at = b.schema.get_field_index(text_col)
-                keep, texts = [], []
-                for i, text in enumerate(b.column(at).cast(pa.binary()).to_pylist()):
-                    before, total = text, None
-                    hit = 0
-                    while text:
+                n, own = states(b)
+                for text, x in zip(utf8(b.column(b.schema.get_field_index(text_col))), own, strict=True):
+                    if text and (first or x["hit"]):  # texts in which the first round found nothing are done
                         words = WORD.findall(text.lower())
-                        found = automaton.scan(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
-                        if not found:
-                            break
-                        total = total or len(words)
-                        spans = _union((f, e) for f, e, _ in found)
-                        hit += sum(e - f for f, e in spans)
-                        if hit > max_coverage * total:
-                            break
-                        places = [m.span() for m in WORD.finditer(text.lower())]
-                        left, kept = 0, []
-                        for f, e in spans:
-                            kept.append(text[left : places[f][0]])
-                            left = places[e - 1][1]
-                        text = b" ".join([*kept, text[left:]])
-                    if total is None or hit <= max_coverage * total:
-                        keep.append(i)
-                        texts.append((text, before is not text))
-                if keep:
-                    rest = b.take(pa.array(keep, pa.int64()))
-                    if any(x for _, x in texts):
-                        rest = rest.set_column(at, rest.schema.field(at), pa.array([t for t, _ in texts], pa.binary()).cast(b.schema.field(at).type))
-                        if (n := rest.schema.get_field_index(size_col)) >= 0:
-                            sizes = rest.column(n).to_pylist()
-                            rest = rest.set_column(n, rest.schema.field(n), pa.array([len(t.decode()) if changed else s for (t, changed), s in zip(texts, sizes, strict=True)], rest.schema.field(n).type))
-                    yield rest
-
-        docs = map_arrow(docs, kernel, docs.schema)
-    return docs
+                        x["total"] = len(words) if x["total"] < 0 else x["total"]
+                        x["spans"] = [{"first": f, "end": e} for f, e in _union([*((s["first"], s["end"]) for s in x["spans"]), *((f, e) for f, e, _ in block.find(words))])]
+                yield b.set_column(n, name, pa.array(own, state))
+
+        return kernel
 
+    def cut(batches):
+        for b in batches:
+            at, (n, own) = b.schema.get_field_index(text_col), states(b)
+            keep, texts, changed, left = [], [], [], []
+            for i, (text, x) in enumerate(zip(b.column(at).cast(pa.binary()).to_pylist(), own, strict=True)):
+                spans = [[s["first"], s["end"]] for s in x["spans"]]
+                hit = x["hit"] + sum(e - f for f, e in spans)
+                if hit <= max_coverage * max(0, x["total"]):
+                    keep.append(i)
+                    texts.append(_without(text, spans) if spans else text)
+                    changed.append(bool(spans))
+                    left.append({"total": max(0, x["total"]), "hit": hit, "spans": []})
+            if keep:
+                b = b.take(pa.array(keep, pa.int64()))
+                yield _changed(b.set_column(n, name, pa.array(left, state)), texts, changed, text_col, size_col)
+
+    first = True
+    while True:
+        for items in _blocks(benchmark):
+            table = rows = written(map_arrow(rows, look_of(Shared(docs.sparkSession, items), first), rows.schema), "rounds", instead_of=table)
+        first = False
+        if rows.where(F.size(f"{name}.spans") > 0).isEmpty():
+            return rows.drop(name)
+        table = rows = written(map_arrow(rows, cut, rows.schema), "rounds", instead_of=table)

@@ -81,6 +81,46 @@ def test_decontamination(spark, monkeypatch, block):
     assert decontaminate.decontaminate(clashing(spark, texts), empty).count() == len(texts)
 
 
+def cleaned_brute(text, items, window, most):
+    """Rounds over all items together; None if the document goes."""
+    total = hit = 0
+    while True:
+        places = [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))]
+        words = [low(text)[a:b] for a, b in places]
+        total = total or len(words)
+        hits = set()
+        for _, t in items:
+            ws = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(t))
+            k = min(window, len(ws))
+            wins = {tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)} if k else set()
+            hits.update(q for p in range(len(words) - k + 1) if k and tuple(words[p : p + k]) in wins for q in range(p, p + k))
+        hit += len(hits)
+        if hit > most * total:
+            return None
+        if not hits:
+            return text
+        spans, left, kept = decontaminate._union((q, q + 1) for q in hits), 0, []
+        for a, b in spans:
+            kept.append(text[left : places[a][0]])
+            left = places[b - 1][1]
+        text = " ".join([*kept, text[left:]])
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_coverage_counts_all_blocks_together(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rng = random.Random(3)
+    items = [(1, "one two three four five six seven eight nine ten"), (2, "red blue green pink grey black white gold brown lime"), (3, "a b a b"), (4, "c"), (5, None)]
+    word = [f"w{i}" for i in range(50)]
+    texts = [items[0][1] + " " + " ".join(word[:15]) + " " + items[1][1], items[0][1] + " " + " ".join(word[:15]), *TEXTS]
+    texts += [" ".join(rng.choices(["a", "b", *word[:3]], k=25)) + rng.choice(["", " " + items[0][1], " c"]) for _ in range(30)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.text for r in decontaminate.decontaminate(docs(spark, texts), bench, window=10, max_coverage=0.5).collect()}
+    want = {i: t and cleaned_brute(t, items, 10, 0.5) for i, t in enumerate(texts)}
+    assert got == {i: t for i, t in want.items() if t is not None or texts[i] is None}
+    assert 0 not in got and 1 in got
+
+
 # 2
 
 
