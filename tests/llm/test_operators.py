@@ -239,6 +239,7 @@ def test_language_model(spark):
     rng = random.Random(4)
     tongues = [["aa", "ab", "ac", "ad"], ["ba", "bb", "bc", "bd"]]
     texts = [*TEXTS, *(" ".join(rng.choices(tongues[k % 2], k=rng.randint(5, 60))) for k in range(200))]
+    texts += ["w" * 100 + " " + "v" * 64 + " u" * k for k in range(9)] + [" ".join(rng.choices("pqrs", k=30_000))]  # long words, a long text
     got = language_model.score(docs(spark, texts)).collect()
     counts: Counter = Counter()
     words = lambda t: [*(w for w in re.split(r"[\x20\x09-\x0d]+", low(t)) if w), ""]
@@ -257,6 +258,23 @@ def test_language_model(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert language_model.score(docs(spark, [])).count() == 0
     assert language_model.score(clashing(spark, TEXTS)).count() == len(TEXTS)
+    for kind in ("int", "string"):
+        again = language_model.score(docs(spark, texts).withColumn("doc_id", language_model.F.col("doc_id").cast(kind)))
+        assert dict(again.dtypes)["doc_id"] == kind and {(int(r.doc_id), r.n_tokens, r.n_known) for r in again.collect()} == {(r.doc_id, r.n_tokens, r.n_known) for r in got}
+
+
+@pytest.mark.parametrize("sent", [3, 1 << 17])
+def test_vocabulary_has_a_bound(spark, monkeypatch, sent):
+    """However many words there are of one count, as many go to the workers as have room; what they count doesn't change."""
+    monkeypatch.setattr(language_model, "SENT", sent)
+    texts = [f"{a}{b} {a}{b}" for a in "abcdefgh" for b in "uvwxyz"]
+    got = language_model.score(docs(spark, texts)).collect()
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    n, v = 3 * len(train), len(train) + 1
+    for r in got:
+        c = [2 * (texts[r.doc_id] in train)] * 2 + [len(train)]
+        assert r.n_known == 2 * (texts[r.doc_id] in train) + 1
+        assert r.base_score == pytest.approx(sum(math.log10((x + 0.5) / (n + 0.5 * (v + 1))) for x in c))
 
 
 def test_language_model_gives_probabilities():
