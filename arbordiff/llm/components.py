@@ -20,7 +20,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        edges = written(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges", instead_of=edges)
         after = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if after == before:
             break

@@ -4,8 +4,13 @@ Bits that go together form a partition; partition i gets a threshold t_i (-1: no
 fingerprints within tau bits agree within t_i in some partition i. A dynamic programme picks the thresholds with the fewest expected
 candidates. Every fingerprint probes the values within t_i of its own; what meets is verified on all 64 bits.
 
+A key with many fingerprints is refined by further bits, and where even that leaves very many (fingerprints all around a centre), those
+within floor(tau/2) and ceil(tau/2) bits of a value meet at that value: all that meet with one of the first kind are linked, so that a
+minimum per value gives the links whatever the number.
+
 Nulls and empty texts have no shingles: fingerprint zero, linked like any other. A null id never is a component's smallest unless it
-has no other. Repeated rows are repeated in the result. Other columns are left alone, whatever their names.
+has no other. Texts are read whole, however long. An empty table gives an empty one, repeated rows are repeated in the result, a tie of
+bits (set in just half the hashes) is 0. Other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbordiff.llm.common import batch, map_arrow, utf8, written
+from arbordiff.llm.common import batch, map_arrow, numbered, own_name, utf8, written
 from arbordiff.llm.components import components
 
-#: Fingerprints under one key beyond which the key is refined by further bits.
-REFINE = 2048
+#: Fingerprints under one key beyond which the key is refined by further bits, and under a refined key beyond which balls are met.
+REFINE, DENSE = 2048, 50_000
 #: Fingerprints from which the expected candidates are estimated; the estimate steers cost only, never results.
 ESTIMATE = 3000
 
@@ -46,8 +51,8 @@ def fingerprint(text: bytes, words_in_shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(id_col, row, fp) for every row; row tells repeated rows apart."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_shingle: int = 3, seed: int = 42, row_col: str | None = None) -> DataFrame:
+    """(id_col, row, fp) for every row; row (row_col, or else a number given here) tells repeated rows apart."""
     kind = dict(docs.dtypes)[id_col]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,8 +60,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.array([fingerprint(t, words_in_shingle, seed) for t in utf8(b.column(2))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints)], [id_col, "row", "fp"])
 
-    rows = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("row"), F.col(text_col))
-    return map_arrow(rows, kernel, f"{id_col} {kind}, row long, fp long")
+    rows = docs.select(F.col(id_col), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"), F.col(text_col))
+    return map_arrow(rows, kernel, f"`{id_col}` {kind}, row long, fp long")
 
 
 def _bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -199,18 +204,25 @@ def _linked(rows: DataFrame, tau: int) -> DataFrame:
                     yield batch(schema, [a.view(np.int64), b.view(np.int64)])
 
     def kernel(batches):
-        held = None
+        held, size = [], 0
         for b in batches:
             new = [np.asarray(b.column(i)) if i != 3 else b.column(3).to_numpy(zero_copy_only=False) for i in range(5)]
-            held = new if held is None else [np.concatenate(p) for p in zip(held, new, strict=True)]
-            # all but the last key are whole
-            last = np.flatnonzero(np.any([held[k] != held[k][-1] for k in range(3)], axis=0))
-            if len(last) and len(held[4]) >= 50_000:
-                cut = int(last[-1]) + 1
-                yield from solve([h[:cut] for h in held[:3]], held[3][:cut], held[4][:cut])
-                held = [h[cut:] for h in held]
-        if held is not None and len(held[4]):
-            yield from solve(held[:3], held[3], held[4])
+            if size >= 50_000 and len(new[4]):
+                # all but the last key are whole; what came before the new batch is worked off up to where that key begins
+                whole = [np.concatenate(p) for p in zip(*held, strict=True)]
+                last = np.flatnonzero(np.any([whole[k] != whole[k][-1] for k in range(3)], axis=0))
+                held = [whole]
+                if len(last):
+                    cut = int(last[-1]) + 1
+                    yield from solve([h[:cut] for h in whole[:3]], whole[3][:cut], whole[4][:cut])
+                    held = [[h[cut:] for h in whole]]
+                size = len(held[0][4]) // 2  # a large key is put together again only when it has doubled
+            held.append(new)
+            size += len(new[4])
+        if held:
+            whole = [np.concatenate(p) for p in zip(*held, strict=True)]
+            if len(whole[4]):
+                yield from solve(whole[:3], whole[3], whole[4])
 
     return rows.select("part", "key", "sub", "home", "fp").mapInArrow(kernel, "a long, b long")
 
@@ -235,13 +247,40 @@ def links(prints: DataFrame, tau: int = 3) -> DataFrame:
         each = [F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(c - (1 << 64) if c >> 63 else c).cast("long"))) for j, c in enumerate(cs)]
         subs = F.when(F.col("part") == i, F.array(*each)).otherwise(subs)
     rows = rows.withColumn("sub", F.explode(F.when(F.col("hot"), subs).otherwise(F.array(F.lit(0).cast("long")))))
-    rows = rows.select("part", "key", "sub", "home", "fp").repartition("part", "key", "sub").sortWithinPartitions("part", "key", "sub")
-    return _linked(rows, tau)
+    dense = rows.where("hot").groupBy("part", "key", "sub").count().where(F.col("count") > DENSE).select("part", "key", "sub", F.lit(True).alias("dense"))
+    dense = written(dense, "dense")
+    if dense.isEmpty():
+        return _linked(_dealt(rows), tau)
+    rows = rows.join(dense, ["part", "key", "sub"], "left")
+    return _linked(_dealt(rows.where("dense is null")), tau).unionByName(_ball_links(rows.where("dense").select("fp").distinct(), tau))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.select("part", "key", "sub", "home", "fp").repartition("part", "key", "sub").sortWithinPartitions("part", "key", "sub")
+
+
+def _ball_links(prints: DataFrame, tau: int) -> DataFrame:
+    """prints: distinct (fp). Links that join all within tau bits. Each fingerprint is filed under the values within floor(tau/2) bits and
+    looks under those within ceil(tau/2) bits: what is filed under a value is within tau bits of all that looks there."""
+    flips = np.array([sum(1 << b for b in c) for k in range((tau + 1) // 2 + 1) for c in combinations(range(64), k)], np.uint64)
+    filed = np.bitwise_count(flips) <= tau // 2
+    schema = pa.schema([("value", pa.int64()), ("fp", pa.int64()), ("filed", pa.bool_())])
+
+    def kernel(batches):
+        for b in batches:
+            x = np.asarray(b.column(0)).view(np.uint64)
+            for lo in range(0, len(x), 64):
+                part = x[lo : lo + 64]
+                yield batch(schema, [(part[:, None] ^ flips).ravel().view(np.int64), np.repeat(part, len(flips)).view(np.int64), np.tile(filed, len(part))])
+
+    met = prints.mapInArrow(kernel, "value long, fp long, filed boolean")
+    centres = met.where("filed").groupBy("value").agg(F.min("fp").alias("a"))
+    return met.join(centres, "value").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 3, words_in_shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 3, words_in_shingle: int = 3, row_col: str | None = None) -> DataFrame:
     """(id_col, row, fp, fingerprint, component_id, first): component_id is the smallest id that links reach, first marks one row of each component."""
-    prints = written(fingerprints(docs, id_col, text_col, words_in_shingle), "prints")
+    prints = written(fingerprints(docs, id_col, text_col, words_in_shingle, row_col=row_col), "prints")
     classes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "row")).alias("head")), "classes")
     roots = components(links(classes.select("fp"), tau))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
@@ -250,7 +289,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select(id_col, "row", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("first"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 3) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tau: int = 3, words_in_shingle: int = 3) -> DataFrame:
     """The rows of docs that are the first of their component: the smallest id, and of repeated rows one."""
-    found = near_duplicates(docs, id_col, text_col, tau).where("first").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(found, "_row", "left_semi").drop("_row")
+    row = own_name(docs, "_r")
+    stored = numbered(docs, row, "documents")
+    found = near_duplicates(stored, id_col, text_col, tau, words_in_shingle, row).where("first").select(F.col("row").alias(row))
+    return stored.join(found, row, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

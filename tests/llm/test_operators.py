@@ -20,7 +20,7 @@ from arbordiff.llm import bpe, decontaminate, language_model, neighbours, qualit
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASH = "doc_id long, text string, row string, id string, fp int, key string, packed int, starts int, n_chars long, label int, leaf int, v string"
+CLASH = "doc_id long, text string, _r string, _spans string, _state int, _row string, row int, starts int, n_chars long, label int, leaf int, v string"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -486,10 +486,11 @@ def test_simhash(spark):
     assert simhash.drop_near_duplicates(twice).count() == 1
 
 
-@pytest.mark.parametrize("refine", [2048, 2])
-def test_links_of_close_fingerprints(spark, monkeypatch, refine):
+@pytest.mark.parametrize("refine,dense", [(2048, 50_000), (2, 50_000), (2, 6)])
+def test_links_of_close_fingerprints(spark, monkeypatch, refine, dense):
     """Many fingerprints around a few centres: whatever the partitions, the components are those of all pairs."""
     monkeypatch.setattr(simhash, "REFINE", refine)
+    monkeypatch.setattr(simhash, "DENSE", dense)
     rng = random.Random(refine)
     prints = set()
     for _ in range(12):
