@@ -231,12 +231,14 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, words: int, row: st
                 yield batch(schema, [np.concatenate(x) for x in zip(*columns, strict=True)])
 
     runs = written(map_arrow(texts, find_runs, "key long, digest long, count int, row long, first long, recurs boolean"), "runs")
-    often = runs.groupBy("key").agg(F.count("*").alias("n"), F.max("recurs").alias("r")).where("n > 1 or r").select("key")
+    # What a join by a frequent key asks for is stored first: both sides then are dealt anew, and Spark can split the frequent key.
+    often = written(runs.groupBy("key").agg(F.count("*").alias("n"), F.max("recurs").alias("r")).where("n > 1 or r").select("key"), "often")
     members = written(runs.join(often, "key", "left_semi"), "members", instead_of=runs)
     classes = members.groupBy("key", "digest", "count").agg(F.count("*").alias("members"), F.min(F.struct("row", "first")).alias("rep"), F.max("recurs").alias("recurs"))
     classes = written(classes, "classes")
     per_key = classes.groupBy("key").agg(F.count("*").alias("classes"), F.max("recurs").alias("r"))
     mixed = per_key.where("classes > 1 or r").select("key", F.when(F.col("classes") > HOT, F.ceil(F.col("classes") / HOT)).otherwise(1).cast("int").alias("blocks"))
+    mixed = written(mixed, "mixed")
     wanted = classes.join(mixed, "key").select("key", "digest", "count", F.col("rep.row").alias("row"), F.col("rep.first").alias("first"), (F.pmod(F.xxhash64("digest"), F.col("blocks"))).cast("int").alias("block"), "blocks")
     asked = wanted.groupBy("row").agg(F.collect_list(F.struct("key", "digest", "count", "first", "block", "blocks")).alias("asked"))
     fields = [("key", pa.int64()), ("digest", pa.int64()), ("count", pa.int32()), ("block", pa.int32()), ("blocks", pa.int32())]
@@ -292,12 +294,13 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, words: int, row: st
 
     solved = written(map_arrow(dealt, expand, "key long, digest long, count int, spans array<struct<first:long,count:long>>, strings array<binary>, at array<int>"), "solved")
     told = solved.where(F.size("strings") > 0).select("key", "digest", "count", F.explode(F.arrays_zip("strings", "at")).alias("x")).select("key", "digest", "count", F.col("x.strings").alias("string"), F.col("x.at").alias("at"))
-    across = told.join(told.groupBy("string").count().where("count > 1").select("string"), "string", "left_semi").where(F.col("at") >= 0)
+    twice = written(told.groupBy("string").count().where("count > 1").select("string"), "twice")
+    across = told.join(twice, "string", "left_semi").where(F.col("at") >= 0)
     spans = solved.select("key", "digest", "count", F.explode("spans").alias("s")).select("key", "digest", "count", "s.first", F.col("s.count").alias("n"))
     spans = spans.unionByName(across.select("key", "digest", "count", F.col("at").cast("long").alias("first"), F.lit(1).cast("long").alias("n")))
     whole = classes.where("members > 1").select("key", "digest", "count", F.lit(0).cast("long").alias("first"), F.col("count").cast("long").alias("n"))
     of_class = spans.join(whole.select("key", "digest", "count"), ["key", "digest", "count"], "left_anti").unionByName(whole)
-    of_class = of_class.groupBy("key", "digest", "count").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    of_class = written(of_class.groupBy("key", "digest", "count").agg(F.collect_list(F.struct("first", "n")).alias("spans")), "spans")
     of_row = members.join(of_class, ["key", "digest", "count"]).select("row", (F.col("key") % 2 != 0).alias("w"), F.transform("spans", lambda s: F.struct((F.col("first") + s["first"]).alias("first"), s["n"].alias("count"))).alias("spans"))
     both = [F.flatten(F.collect_list(F.when(F.col("w") == kind, F.col("spans")))).alias(name) for kind, name in ((False, "starts"), (True, "word_starts"))]
     return of_row.groupBy(F.col("row").alias("_r")).agg(*both)

@@ -284,7 +284,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(prints.groupBy("fp").agg(F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), "row")).alias("head")), "classes")
     roots = components(links(classes.select("fp"), tau))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
-    heads = rooted.groupBy("root").agg(F.min("head").alias("least"))
+    rooted = written(rooted, "rooted")
+    heads = written(rooted.groupBy("root").agg(F.min("head").alias("least")), "least")  # stored, so that a frequent root can be split
     named = rooted.join(heads, "root").select("fp", "least")
     return prints.join(named, "fp").select(id_col, "row", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least.id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("first"))
 
