@@ -14,17 +14,17 @@ def parse_trees(df: DataFrame, text_col: str, grammar: str) -> DataFrame:
     return kernels.add_columns(df, [text_col], {"ast": "string", "height": "int", "n_nodes": "int", "parse_error": "string"}, lambda s, t: kernels.parse_row(s, grammar, t))
 
 
-def tree_nodes(df: DataFrame, text_col: str, grammar: str) -> DataFrame:
-    """The node table: a row for each node of each tree, with df's other columns. Texts without a tree have no rows."""
-    out = kernels.add_columns(df, [text_col], {"nodes": kernels.nodes_type(), "parse_error": "string"}, lambda s, t: kernels.nodes_row(s, grammar, t))
-    kept = [c for c in df.columns if c not in (text_col, "nodes", "parse_error")]
-    return out.select(*kept, F.explode("nodes").alias("n")).select(*kept, "n.*")
+def tree_nodes(df: DataFrame, text_col: str, grammar: str, columns: list[str] | None = None) -> DataFrame:
+    """The node table: a row for each node of each tree, with df's other columns. Texts without a tree have no rows. columns: those of
+    kernels.NODE that are wanted (None: all); digests cost the most."""
+    return kernels.node_table(df, text_col, grammar, columns or [*kernels.NODE])
 
 
-def diff_pairs(df: DataFrame, source_col: str, target_col: str, grammar: str, min_height: int = 1, mode: str = "nonest", global_scope: bool = False) -> DataFrame:
-    """df with status, error, patch, n_changes, n_copies, nm, patch_cost, cost, operations, secs and result."""
-    options = Options(min_height, mode, global_scope)
-    return kernels.add_columns(df, [source_col, target_col], kernels.DIFF, lambda s, a, b: kernels.diff_row(s, grammar, a, b, options))
+def diff_pairs(df: DataFrame, source_col: str, target_col: str, grammar: str, min_height: int = 1, mode: str = "nonest", global_scope: bool = False, seconds: float = 0, max_nodes: int = 0) -> DataFrame:
+    """df with status, error, patch, n_changes, n_copies, nm, patch_cost, cost, operations, secs and result. A row that takes longer than
+    `seconds` (0: no limit) has the status timeout, one of more than max_nodes nodes (0: no limit) too-large."""
+    options = Options(min_height, mode, global_scope, max_nodes)
+    return kernels.add_columns(df, [source_col, target_col], kernels.DIFF, lambda s, a, b: kernels.diff_row(s, grammar, a, b, options), seconds)
 
 
 def apply_patches(df: DataFrame, patch_col: str, text_col: str, grammar: str) -> DataFrame:
@@ -37,11 +37,16 @@ def compose_chain(df: DataFrame, versions_col: str, grammar: str, min_height: in
     return kernels.add_columns(df, [versions_col], kernels.CHAIN, lambda s, v: kernels.chain_row(s, grammar, v, options))
 
 
-def merge_triples(df: DataFrame, a_col: str, o_col: str, b_col: str, grammar: str, expected_col: str | None = None, min_height: int = 1, mode: str = "nonest", global_scope: bool = False) -> DataFrame:
-    """df with status, error, merged, labels and conflicts."""
-    options = Options(min_height, mode, global_scope)
+def composable(df: DataFrame, second_col: str, first_col: str) -> DataFrame:
+    """df with composes: whether the patch second_col can follow the patch first_col; null where either isn't a patch."""
+    return kernels.add_columns(df, [second_col, first_col], {"composes": "boolean", "parse_error": "string"}, kernels.composes_row)
+
+
+def merge_triples(df: DataFrame, a_col: str, o_col: str, b_col: str, grammar: str, expected_col: str | None = None, min_height: int = 1, mode: str = "nonest", global_scope: bool = False, seconds: float = 0, max_nodes: int = 0) -> DataFrame:
+    """df with status, error, merged, labels and conflicts. seconds and max_nodes: as for diff_pairs."""
+    options = Options(min_height, mode, global_scope, max_nodes)
     columns = [a_col, o_col, b_col, *([expected_col] if expected_col else [])]
-    return kernels.add_columns(df, columns, kernels.MERGE, lambda s, a, o, b, m=None: kernels.merge_row(s, grammar, a, o, b, m, options))
+    return kernels.add_columns(df, columns, kernels.MERGE, lambda s, a, o, b, m=None: kernels.merge_row(s, grammar, a, o, b, m, options), seconds)
 
 
 def write_conflict_labels(merged: DataFrame, path: str) -> None:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import signal
+import threading
 import time
 from collections.abc import Callable, Iterator
-from dataclasses import asdict
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from arbordiff.operators import alignment, merging, patches
 from arbordiff.operators.patches import Options
-from arbordiff.operators.terms import Space, encode, node_rows, render
+from arbordiff.operators.terms import Space, encode, node_columns, render
 from arbordiff.sources.grammars import ParseError, grammar, install, registry, unparser
 
 #: Rows of a batch in a kernel; trees are small, but a text may be long.
@@ -26,8 +28,51 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def add_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], work: Callable[..., dict]) -> DataFrame:
-    """df with columns that work(space, *inputs) gives for each row; columns of these names are replaced. No shuffle; one space a row."""
+class OutOfTime(Exception):
+    pass
+
+
+@contextmanager
+def budget(seconds: float):
+    """OutOfTime after so many seconds of a row's work (0: never). Off the main thread, where no alarm can be set, there is no limit."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def over(*_):
+        raise OutOfTime
+
+    before = signal.signal(signal.SIGALRM, over)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def guarded(work: Callable[..., dict], outputs: dict[str, str], seconds: float) -> Callable[..., dict]:
+    """work with whatever goes wrong in a row as its result, where the outputs have a place for it: a status, or a parse error."""
+
+    def run(*args) -> dict:
+        try:
+            with budget(seconds):
+                return work(*args)
+        except OutOfTime:
+            found, why = "timeout", f"more than {seconds:g} seconds"
+        except Exception as e:  # a row's fault is its result, never the task's
+            if "status" not in outputs and "parse_error" not in outputs:
+                raise
+            found, why = "error", f"{type(e).__name__}: {e}".encode(errors="replace").decode()
+        return {"status": found, "error": why} if "status" in outputs else {"parse_error": why}
+
+    return run
+
+
+def add_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], work: Callable[..., dict], seconds: float = 0) -> DataFrame:
+    """df with columns that work(space, *inputs) gives for each row; columns of these names are replaced. No shuffle; one space a row.
+    seconds: after which a row's status is timeout."""
+    work = guarded(work, outputs, seconds)
     bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in outputs]
     schema = ", ".join([f"`{c}` {t}" for c, t in df.select(kept).dtypes] + [f"`{c}` {t}" for c, t in outputs.items()])
@@ -38,7 +83,7 @@ def add_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], work:
         install(*registered)
         for b in batches:
             rows = [work(Space(), *r.values()) for r in b.column(len(kept)).to_pylist()]
-            arrays = [pa.array([r.get(c) for r in rows], ARROW.get(t, None) or arrow_type(t)) for c, t in outputs.items()]
+            arrays = [pa.array([r.get(c) for r in rows], ARROW[t]) for c, t in outputs.items()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *arrays], [*kept, *outputs])
 
     return source.mapInArrow(kernel, schema)
@@ -48,16 +93,6 @@ ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double":
 NODE = {"node_id": "int", "parent_id": "int", "ord": "int", "depth": "int", "last_id": "int", "kind": "string", "dtype": "string", "con": "string", "prim_type": "string", "prim_val": "string", "height": "int", "size": "int", "digest": "string"}
 
 
-def arrow_type(t: str) -> pa.DataType:
-    if t == nodes_type():
-        return pa.list_(pa.struct([(k, ARROW[v]) for k, v in NODE.items()]))
-    raise KeyError(t)
-
-
-def nodes_type() -> str:
-    return f"array<struct<{','.join(f'{k}:{v}' for k, v in NODE.items())}>>"
-
-
 def _parsed(space: Space, name: str, *texts: str | None):
     parse = grammar(name)
     return [parse(space, t) if t is not None else _missing() for t in texts]
@@ -75,12 +110,42 @@ def parse_row(space: Space, name: str, text: str | None) -> dict:
     return {"ast": encode(t), "height": t.height, "n_nodes": t.size}
 
 
-def nodes_row(space: Space, name: str, text: str | None) -> dict:
-    try:
-        [t] = _parsed(space, name, text)
-    except ParseError as e:
-        return {"parse_error": str(e)}
-    return {"nodes": [asdict(n) for n in node_rows(t)]}
+def node_table(df: DataFrame, text_col: str, name: str, columns: list[str]) -> DataFrame:
+    """A row for each node of each tree, with the other columns of df; texts without a tree have none."""
+    bounded_batches(df.sparkSession)
+    kept = [c for c in df.columns if c != text_col and c not in columns]
+    schema = ", ".join([f"`{c}` {t}" for c, t in df.select(kept).dtypes] + [f"{c} {NODE[c]}" for c in columns])
+    registered, wanted = registry(), frozenset(columns)
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        install(*registered)
+        for b in batches:
+            rows, found = [], {c: [] for c in columns}
+            for i, text in enumerate(b.column(len(kept)).to_pylist()):
+                try:
+                    [t] = _parsed(Space(), name, text)
+                    nodes = node_columns(t, wanted)
+                except Exception:  # a row's fault is that it has no nodes; parse_trees tells why
+                    continue
+                rows.append((i, t.size))
+                for c, values in nodes.items():
+                    found[c] += values
+                if len(rows) and sum(n for _, n in rows) > 100_000:
+                    yield flushed(b, rows, found)
+                    rows, found = [], {c: [] for c in columns}
+            if rows:
+                yield flushed(b, rows, found)
+
+    def flushed(b: pa.RecordBatch, rows: list, found: dict) -> pa.RecordBatch:
+        at = pa.array([i for i, n in rows for _ in range(n)], pa.int64())
+        return pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(kept))), *(pa.array(found[c], ARROW[NODE[c]]) for c in columns)], [*kept, *columns])
+
+    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`")).mapInArrow(kernel, schema)
+
+
+def _too_large(options: Options, *trees) -> dict | None:
+    n = sum(t.size for t in trees)
+    return {"status": "too-large", "error": f"{n} nodes"} if options.max_nodes and n > options.max_nodes else None
 
 
 def diff_row(space: Space, name: str, source: str | None, target: str | None, options: Options) -> dict:
@@ -89,6 +154,8 @@ def diff_row(space: Space, name: str, source: str | None, target: str | None, op
         a, b = _parsed(space, name, source, target)
     except ParseError as e:
         return {"status": "parse-error", "error": str(e)}
+    if large := _too_large(options, a, b):
+        return large
     began = time.process_time()
     try:
         patch = patches.diff(space, a, b, options)
@@ -114,6 +181,8 @@ def merge_row(space: Space, name: str, a: str | None, o: str | None, b: str | No
         want = _parsed(space, name, expected)[0] if expected is not None else None
     except ParseError as e:
         return {"status": "parse-error", "error": str(e)}
+    if large := _too_large(options, a, o, b):
+        return large
     try:
         status, merged, found = merging.merge3(space, a, o, b, options, want)
     except ValueError as e:
@@ -163,6 +232,12 @@ def apply_row(space: Space, name: str, patch: str | None, text: str | None) -> d
 APPLY = {"status": "string", "error": "string", "result": "string"}
 
 
+def composes_row(space: Space, second: str | None, first: str | None) -> dict:
+    if second is None or first is None:
+        return {"parse_error": "there is no patch"}
+    return {"composes": patches.patch_composes(space, patches.decode_patch(space, second), patches.decode_patch(space, first))}
+
+
 def lcs_length(a: list, b: list) -> int:
     """Length of the longest common subsequence: bit-parallel, one big integer operation for each element of b."""
     places: dict = {}

@@ -32,9 +32,12 @@ class Spine:
 
 @dataclass(frozen=True)
 class Options:
+    """max_nodes: nodes of a row's trees together beyond which it isn't worked on (0: no limit)."""
+
     min_height: int = 1
     mode: str = "nonest"
     global_scope: bool = False
+    max_nodes: int = 0
 
 
 def fold(tree, leaf, prim, node):
@@ -386,11 +389,16 @@ def compose(space: Space, q, p):
     return None if both is None else close(both)
 
 
+def patch_composes(space: Space, q, p) -> bool:
+    """Whether q can follow p."""
+    return compose(space, q, p) is not None
+
+
 # Text
 
 
 def show_change(c: Change) -> str:
-    return f"{{- {render(c.delete)} -}} {{+ {render(c.insert)} +}}" if c.delete is not c.insert else render(c.delete)
+    return f"{{{{- {render(c.delete)} -}} {{+ {render(c.insert)} +}}}}"
 
 
 def show(patch, leaf=show_change) -> str:

@@ -11,10 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import sys
-from dataclasses import dataclass
-
-sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 ROLL, PRIM, HOLE = "R", "P", "H"
 
@@ -133,41 +129,36 @@ def digests(t: Term) -> dict[int, str]:
             continue
         if ready or not x.kids:
             own = x.con if x.kind == PRIM else f"{x.dtype}\0{x.con}\0" + "".join([out[id(k)] for k in x.kids])
-            out[id(x)] = hashlib.sha256(str(own).encode()).hexdigest()
+            out[id(x)] = hashlib.sha256(str(own).encode("utf8", "surrogatepass")).hexdigest()
         else:
             stack.append((x, True))
             stack.extend((k, False) for k in x.kids)
     return out
 
 
-@dataclass(frozen=True)
-class NodeRow:
-    node_id: int
-    parent_id: int | None
-    ord: int
-    depth: int
-    last_id: int
-    kind: str
-    dtype: str | None
-    con: str | None
-    prim_type: str | None
-    prim_val: str | None
-    height: int
-    size: int
-    digest: str
-
-
-def node_rows(t: Term) -> list[NodeRow]:
-    """The node table of a tree: numbers in preorder, and the last number of each subtree."""
-    digest, out, stack = digests(t), [], [(t, None, 0, 0)]
+def node_columns(t: Term, wanted: frozenset) -> dict[str, list]:
+    """The node table of a tree, as lists: numbers in preorder, the last number of each subtree, and so on. What isn't wanted isn't
+    worked out."""
+    terms, parents, places, depths = [], [], [], []
+    stack = [(t, None, 0, 0)]
     while stack:
         x, parent, place, depth = stack.pop()
-        n = len(out)
-        name = {ROLL: "roll", PRIM: "prim", HOLE: "hole"}[x.kind]
-        roll = x.kind == ROLL
-        out.append(NodeRow(n, parent, place, depth, n + x.size - 1, name, x.dtype if roll else None, x.con if roll else None, None if roll else x.dtype, None if roll else str(x.con), x.height, x.size, digest[id(x)]))
-        stack.extend((k, n, i, depth + 1) for i, k in reversed(list(enumerate(x.kids))))
-    return out
+        n = len(terms)
+        terms.append(x)
+        parents.append(parent)
+        places.append(place)
+        depths.append(depth)
+        for i in range(len(x.kids) - 1, -1, -1):
+            stack.append((x.kids[i], n, i, depth + 1))
+    digest = digests(t) if "digest" in wanted else {}
+    names = {ROLL: "roll", PRIM: "prim", HOLE: "hole"}
+    given = {
+        "node_id": lambda: [*range(len(terms))], "parent_id": lambda: parents, "ord": lambda: places, "depth": lambda: depths, "last_id": lambda: [n + x.size - 1 for n, x in enumerate(terms)],
+        "kind": lambda: [names[x.kind] for x in terms], "dtype": lambda: [x.dtype if x.kind == ROLL else None for x in terms], "con": lambda: [x.con if x.kind == ROLL else None for x in terms],
+        "prim_type": lambda: [None if x.kind == ROLL else x.dtype for x in terms], "prim_val": lambda: [None if x.kind == ROLL else str(x.con) for x in terms],
+        "height": lambda: [x.height for x in terms], "size": lambda: [x.size for x in terms], "digest": lambda: [digest[id(x)] for x in terms],
+    }
+    return {c: f() for c, f in given.items() if c in wanted}
 
 
 def render(t: Term) -> str:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from arbordiff.operators.patches import MODES
 #: Results that a merge can end with, beside those that count as other.
 RESULTS = ("success", "mdiff", "conf", "apply-fail", "other")
 LEGS = ("O-A", "O-B", "O-M", "A-B")
+#: Seconds that a difference and a merge may take in an experiment.
+DIFF_SECONDS, MERGE_SECONDS = 30, 45
 
 
 def config_grid(spark: SparkSession, languages: list[str], heights: tuple[int, ...] = (1, 6), modes: tuple[str, ...] = MODES) -> DataFrame:
@@ -27,6 +32,12 @@ def stage_pivot(unmerged: DataFrame, key: str = "path") -> DataFrame:
     return out.select(key, F.col("1").alias("o"), F.col("2").alias("a"), F.col("3").alias("b"))
 
 
+def of_languages(paths: DataFrame, languages: list[str], path_col: str = "path") -> DataFrame:
+    """The paths of each of the languages, with `language`, one list after another."""
+    out = [of_language(paths, x, path_col).withColumn("language", F.lit(x)) for x in languages]
+    return reduce(DataFrame.unionByName, out)
+
+
 def of_language(paths: DataFrame, language: str, path_col: str = "path") -> DataFrame:
     """Paths whose second dot-separated field is the language."""
     return paths.where(F.get(F.split(path_col, r"\."), F.lit(1)) == language)
@@ -38,17 +49,26 @@ def datapoints(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return triples.where(whole), triples.where(~whole)
 
 
-def four_diffs(triples: DataFrame, grammar: str, **options) -> DataFrame:
+def diff_grid(pairs: DataFrame, grammar: str, heights: tuple[int, ...] = (1, 6), modes: tuple[str, ...] = MODES, scopes: tuple[str, ...] = ("local", "global"), seconds: float = DIFF_SECONDS) -> DataFrame:
+    """Rows (src, dst and others) once for each configuration: height, mode, scope and diff_pairs' columns."""
+    out = []
+    for height, mode, scope in product(heights, modes, scopes):
+        found = diff_pairs(pairs, "src", "dst", grammar, height, mode, scope == "global", seconds)
+        out.append(found.withColumns({"height": F.lit(height), "mode": F.lit(mode), "scope": F.lit(scope)}))
+    return reduce(DataFrame.unionByName, out)
+
+
+def four_diffs(triples: DataFrame, grammar: str, seconds: float = DIFF_SECONDS, **options) -> DataFrame:
     """A row for each of O-A, O-B, O-M and A-B of a datapoint, with diff_pairs' columns. Legs without both sides are left out."""
     legs = F.array(*[F.struct(F.lit(leg).alias("leg"), F.col(leg[0].lower()).alias("src"), F.col(leg[2].lower()).alias("dst")) for leg in LEGS])
     rest = [c for c in triples.columns if c not in ("a", "o", "b", "m")]
     pairs = triples.select(*rest, F.explode(legs).alias("x")).select(*rest, "x.*").where("src is not null and dst is not null")
-    return diff_pairs(pairs, "src", "dst", grammar, **options)
+    return diff_pairs(pairs, "src", "dst", grammar, seconds=seconds, **options)
 
 
-def merge_experiment(triples: DataFrame, grammar: str, **options) -> DataFrame:
+def merge_experiment(triples: DataFrame, grammar: str, seconds: float = MERGE_SECONDS, **options) -> DataFrame:
     """triples with result: success, mdiff (not the expected m), conf, apply-fail, or another status as it is."""
-    merged = merge_triples(triples, "a", "o", "b", grammar, expected_col="m", **options)
+    merged = merge_triples(triples, "a", "o", "b", grammar, expected_col="m", seconds=seconds, **options)
     result = F.when(F.col("status") == "merge-diff", "mdiff").when(F.col("status") == "conflicting", "conf").otherwise(F.col("status"))
     return merged.withColumn("result", result)
 
@@ -79,9 +99,18 @@ def runtimes(results: DataFrame, min_size: int = 0, max_size: int = 0) -> DataFr
 
 
 def parse_log(lines: DataFrame, line_col: str = "value") -> DataFrame:
-    """prefix, height, mode, secs, nm and cost of lines like 'p 1 nonest time(s):0.5 n+m:12 cost:3'."""
-    fields = r"^(\S+) (\d+) (\S+) time\(s\):([0-9.]+) n\+m:(\d+) cost:(\d+)$"
-    kinds = (("prefix", "string"), ("height", "int"), ("mode", "string"), ("secs", "double"), ("nm", "long"), ("cost", "long"))
+    """prefix, height, mode, scope, secs, nm and cost of lines like 'p 1 nonest global time(s):0.5 n+m:12 cost:3'; a line without a
+    scope is local."""
+    fields = r"^(\S+) (\d+) (\S+) (?:(local|global) )?time\(s\):([0-9.]+) n\+m:(\d+) cost:(\d+)$"
+    kinds = (("prefix", "string"), ("height", "int"), ("mode", "string"), ("scope", "string"), ("secs", "double"), ("nm", "long"), ("cost", "long"))
+    out = lines.where(F.col(line_col).rlike(fields)).select(*[F.regexp_extract(line_col, fields, i).cast(t).alias(n) for i, (n, t) in enumerate(kinds, 1)])
+    return out.withColumn("scope", F.when(F.col("scope") == "", "local").otherwise(F.col("scope")))
+
+
+def parse_merge_log(lines: DataFrame, line_col: str = "value") -> DataFrame:
+    """prefix, height, mode, scope and result of lines like 'p 1 nonest local success'."""
+    fields = r"^(\S+) (\d+) (\S+) (local|global) (\S+)$"
+    kinds = (("prefix", "string"), ("height", "int"), ("mode", "string"), ("scope", "string"), ("result", "string"))
     return lines.where(F.col(line_col).rlike(fields)).select(*[F.regexp_extract(line_col, fields, i).cast(t).alias(n) for i, (n, t) in enumerate(kinds, 1)])
 
 

@@ -76,7 +76,8 @@ def _pair_nodes(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir)
     pairs = candidate_pairs(spark, sf_dir).withColumn("pair_id", F.concat_ws("-", "doc_id", "anchor_id"))
     sides = pairs.select("pair_id", F.lit("src").alias("side"), "doc_id").unionByName(pairs.select("pair_id", F.lit("dst").alias("side"), F.col("anchor_id").alias("doc_id")))
-    return api.tree_nodes(sides.join(docs, "doc_id").drop("doc_id"), "text", "lines")
+    wanted = ["node_id", "last_id", "kind", "dtype", "height", "size", "digest"]
+    return api.tree_nodes(sides.join(docs, "doc_id").drop("doc_id"), "text", "lines", wanted)
 
 
 def pair_sharing_map(spark, sf_dir):
@@ -279,7 +280,7 @@ FROM (SELECT case_id, mode, swapped, CASE WHEN mode = 'patience' THEN p ELSE e E
 def dyck_parse(spark, sf_dir):
     """Bracketed groups in event properties, from the node table."""
     events = table(spark, sf_dir, "events").select("event_id", "props").where("props is not null")
-    nodes = api.tree_nodes(events, "props", "dyck")
+    nodes = api.tree_nodes(events, "props", "dyck", ["con"])
     return nodes.groupBy("event_id").agg(F.count_if(F.col("con") == "Enclose").alias("groups"))
 
 
@@ -291,7 +292,7 @@ SELECT event_id, CAST(length(props) - length(replace(replace(replace(props, '{',
 def while_parse(spark, sf_dir):
     """Programs made of order and customer numbers; the numbers as the node table has them, and the size of the tree."""
     program = F.concat(F.lit("a := "), "o_orderkey", F.lit("; /* sum */ while not (a < "), "o_custkey", F.lit(") do { a := a - 2 * b; skip; } // end"))
-    nodes = api.tree_nodes(table(spark, sf_dir, "orders").select("o_orderkey", program.alias("text")), "text", "while")
+    nodes = api.tree_nodes(table(spark, sf_dir, "orders").select("o_orderkey", program.alias("text")), "text", "while", ["prim_type", "prim_val"])
     ints = F.array_sort(F.collect_list(F.when(F.col("prim_type") == "Integer", F.col("prim_val").cast("long"))))
     return nodes.groupBy("o_orderkey").agg(F.count("*").alias("n_nodes"), F.array_join(ints.cast("array<string>"), ",").alias("numbers"))
 
@@ -306,14 +307,14 @@ def _reader(name: str, template: tuple[str, str, str]):
 
     def query(spark, sf_dir):
         text = F.concat(F.lit(template[0]), F.col("p_partkey").cast("string"), F.lit(template[1]), F.col("p_size").cast("string"), F.lit(template[2]))
-        nodes = api.tree_nodes(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "text", name)
+        nodes = api.tree_nodes(table(spark, sf_dir, "part").select("p_partkey", text.alias("text")), "text", name, ["kind", "prim_val"])
         digits = F.when((F.col("kind") == "prim") & F.col("prim_val").rlike("^[0-9]+$"), F.col("prim_val").cast("long"))
         return nodes.groupBy("p_partkey").agg(F.sum(digits).alias("total"), F.count(digits).alias("numbers"))
 
     return query
 
 
-SQL |= {f"{n}_parse": "SELECT p_partkey, CAST(p_partkey + p_size AS BIGINT) AS total, CAST(2 AS BIGINT) AS numbers FROM part" for n in ("clj", "py", "json", "dyck_loc")}
+SQL |= {f"{n}_parse": "SELECT p_partkey, CAST(p_partkey + p_size AS BIGINT) AS total, CAST(2 AS BIGINT) AS numbers FROM part" for n in ("clj", "py", "json", "dyck_loc", "lua", "js", "java", "sh")}
 
 
 def stage_pivot(spark, sf_dir):
@@ -415,6 +416,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out["clj_parse"] = _reader("clj", ("(defn f [x] {:part ", " :size ", "})"))
     out["py_parse"] = _reader("py", ("x = [", ", ", "]"))
     out["json_parse"] = _reader("json", ('{"part": ', ', "size": [', "]}"))
+    out["lua_parse"] = _reader("lua", ("local t = {part = ", ", size = ", "} -- end"))
+    out["js_parse"] = _reader("js", ("var x = {part: ", ", size: [", "]};"))
+    out["java_parse"] = _reader("java", ("class A { int[] x = {", ", ", "}; }"))
+    out["sh_parse"] = _reader("sh", ("run ", " --size ", " > out"))
     out["dyck_loc_parse"] = _reader("dyck-loc", ("part( ", " )size[", "] { }"))
     return out
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import ast
 import json
 import re
+import sys
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from arbordiff.operators.terms import PRIM, Space, Term, preorder
 
@@ -14,6 +16,19 @@ class ParseError(ValueError):
     pass
 
 
+@contextmanager
+def deep(frames: int = 20_000):
+    """For parsers by recursive descent: so many frames may be open; a text that needs more has no tree."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, frames))
+    try:
+        yield
+    except RecursionError:
+        raise ParseError("nested too deeply") from None
+    finally:
+        sys.setrecursionlimit(before)
+
+
 def lines(space: Space, text: str) -> Term:
     """A statement of lines. A newline at the very end begins no further line; an empty text has none."""
     parts = text.split("\n")
@@ -275,7 +290,8 @@ class _While:
 
 
 def while_(space: Space, text: str) -> Term:
-    return _While(space, text).program()
+    with deep():
+        return _While(space, text).program()
 
 
 class _Clojure:
@@ -298,34 +314,60 @@ class _Clojure:
             self.at += 1
 
     def top(self) -> Term:
-        items = []
+        """All expressions of the text. Open brackets and prefixes are held on a stack; a prefix whose expression can't be read is a
+        name's first character instead."""
+        roll = self.space.roll
+        frames: list[tuple] = [("top", "", [])]
         self.blank()
-        while self.char():
-            items.append(self.expression())
-            self.blank()
-        out = self.space.roll("Expr", "Empty", [])
-        for x in reversed(items):
-            out = self.space.roll("Expr", "Seq", [x, out])
-        return out
-
-    def expression(self) -> Term:
-        roll, c = self.space.roll, self.char()
-        if c in self.SPECIAL and c:
-            begin = self.at
-            self.at += 1
+        while True:
+            kind, close, items = frames[-1]
+            value = None
             try:
-                return roll("Expr", "Special", [roll("FormTy", self.SPECIAL[c], []), self.expression()])
+                if kind == "top" and not self.char():
+                    out = roll("Expr", "Empty", [])
+                    for x in reversed(items):
+                        out = roll("Expr", "Seq", [x, out])
+                    return out
+                if kind in self.BRACKETS and self.char() == close:
+                    self.at += 1
+                    value = self.collection(*frames.pop())
+                elif kind in self.BRACKETS and not self.char():
+                    raise ParseError(f"{close} is missing")
+                else:
+                    value = self.begin(frames)
             except ParseError:
-                self.at = begin
-        if c == "#":
-            begin = self.at
+                while value is None:
+                    kind, begin, _ = frames.pop()
+                    if kind == "top":
+                        raise
+                    if kind == "prefix":
+                        self.at = begin
+                        try:
+                            value = roll("Expr", "Term", [self.tagged()])
+                        except ParseError:
+                            if not any(f[0] == "prefix" for f in frames):
+                                raise
+            while value is not None and frames[-1][0] == "prefix":
+                _, _, form = frames.pop()
+                value = roll("Expr", "Special", [roll("FormTy", form, []), value]) if form else roll("Expr", "Dispatch", [value])
+            if value is not None and frames[-1][0] == "top":
+                frames[-1][2].append(value)
+                self.blank()
+            elif value is not None:
+                frames[-1][2].append((value, self.separator()))
+
+    def begin(self, frames: list[tuple]) -> Term | None:
+        """The expression that begins here, or None if it goes on with what is in a new frame."""
+        roll, c = self.space.roll, self.char()
+        if c and (c in self.SPECIAL or c == "#"):
+            frames.append(("prefix", self.at, self.SPECIAL.get(c)))
             self.at += 1
-            try:
-                return roll("Expr", "Dispatch", [self.expression()])
-            except ParseError:
-                self.at = begin
-        if c in self.BRACKETS and c:
-            return self.collection(*self.BRACKETS[c])
+            return None
+        if c and c in self.BRACKETS:
+            frames.append((c, self.BRACKETS[c][0], []))
+            self.at += 1
+            self.blank()
+            return None
         if c == ";":
             end = self.text.find("\n", self.at)
             end = len(self.text) if end < 0 else end
@@ -350,20 +392,12 @@ class _Clojure:
             self.at += 1
         return roll("Term", "TaggedString", [roll("Tag", "Var", []), prim("Text", self.text[begin : self.at])])
 
-    def collection(self, close: str, name: str) -> Term:
-        roll, items = self.space.roll, []
-        self.at += 1
-        self.blank()
-        while self.char() != close:
-            if not self.char():
-                raise ParseError(f"{close} is missing")
-            x = self.expression()
-            items.append((x, self.separator()))
-        self.at += 1
+    def collection(self, kind: str, close: str, items: list) -> Term:
+        roll = self.space.roll
         out = roll("SepExprList", "Nil", [])
         for x, sep in reversed(items):
             out = roll("SepExprList", "Cons", [x, roll("Sep", sep, []), out])
-        return roll("Expr", "Collection", [roll("CollTy", name, []), out])
+        return roll("Expr", "Collection", [roll("CollTy", self.BRACKETS[kind][1], []), out])
 
     def separator(self) -> str:
         c = self.char()
@@ -390,19 +424,45 @@ def clojure(space: Space, text: str) -> Term:
     return _Clojure(space, text).top()
 
 
+def _bottom_up(root, kids_of, make) -> Term:
+    """make(x, terms of its kids) from the leaves on, without recursion."""
+    out: list[Term] = []
+    stack = [(root, False)]
+    while stack:
+        x, ready = stack.pop()
+        kids = kids_of(x)
+        if ready or not kids:
+            n = len(out) - len(kids)
+            out[n:] = [make(x, out[n:])]
+        else:
+            stack.append((x, True))
+            stack.extend((k, False) for k in reversed(kids))
+    return out[0]
+
+
+def _whole(text: str) -> str:
+    """The text, if it can be stored: half a surrogate pair can't."""
+    if not text.isascii() and any("\ud800" <= c <= "\udfff" for c in text):
+        raise ParseError("half a surrogate pair")
+    return text
+
+
 def python(space: Space, text: str) -> Term:
     """Python's own syntax trees without locations."""
 
-    def convert(x) -> Term:
+    def kids(x) -> list:
+        return [v for _, v in ast.iter_fields(x)] if isinstance(x, ast.AST) else x if isinstance(x, list) else []
+
+    def make(x, terms: list[Term]) -> Term:
         if isinstance(x, ast.AST):
-            kids = [convert(v) for f, v in ast.iter_fields(x)]
-            return space.roll(type(x).__mro__[1].__name__ if type(x).__mro__[1] is not ast.AST else type(x).__name__, type(x).__name__, kids)
+            base = type(x).__mro__[1]
+            return space.roll((type(x) if base is ast.AST else base).__name__, type(x).__name__, terms)
         if isinstance(x, list):
-            return space.list("node", [convert(v) for v in x])
-        return space.prim(type(x).__name__, repr(x) if not isinstance(x, str) else x)
+            return space.list("node", terms)
+        return space.prim(type(x).__name__, _whole(x) if isinstance(x, str) else repr(x))
 
     try:
-        return convert(ast.parse(text))
+        return _bottom_up(ast.parse(text), kids, make)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
         raise ParseError(str(e)) from None
 
@@ -410,21 +470,39 @@ def python(space: Space, text: str) -> Term:
 def json_(space: Space, text: str) -> Term:
     """JSON values; members of objects keep their order."""
 
-    def convert(x) -> Term:
+    def kids(x) -> list:
+        return [*x.values()] if isinstance(x, dict) else x if isinstance(x, list) else []
+
+    def make(x, terms: list[Term]) -> Term:
         if isinstance(x, dict):
-            return space.roll("Value", "Object", [space.list("Member", [space.roll("Member", "Member", [space.prim("String", k), convert(v)]) for k, v in x.items()])])
+            members = [space.roll("Member", "Member", [space.prim("String", _whole(k)), v]) for k, v in zip(x, terms, strict=True)]
+            return space.roll("Value", "Object", [space.list("Member", members)])
         if isinstance(x, list):
-            return space.roll("Value", "Array", [space.list("Value", [convert(v) for v in x])])
-        return space.roll("Value", "Scalar", [space.prim("Null" if x is None else type(x).__name__, json.dumps(x, ensure_ascii=False))])
+            return space.roll("Value", "Array", [space.list("Value", terms)])
+        return space.roll("Value", "Scalar", [space.prim("Null" if x is None else type(x).__name__, _whole(json.dumps(x, ensure_ascii=False)))])
 
     try:
-        return convert(json.loads(text))
+        return _bottom_up(json.loads(text), kids, make)
     except (ValueError, RecursionError) as e:
         raise ParseError(str(e)) from None
 
 
 Parser = Callable[[Space, str], Term]
+
+
+def _language(name: str) -> Parser:
+    """A parser of the module languages, which is loaded when it is first used."""
+
+    def parse(space: Space, text: str) -> Term:
+        from arbordiff.sources import languages
+
+        return getattr(languages, name)(space, text)
+
+    return parse
+
+
 _parsers: dict[str, Parser] = {"while": while_, "lines": lines, "dyck": dyck, "dyck-loc": dyck_loc, "clj": clojure, "py": python, "json": json_, "rtree": rtree}
+_parsers |= {"java": _language("java"), "js": _language("javascript"), "lua": _language("lua"), "sh": _language("shell")}
 _unparsers: dict[str, Callable[[Term], str]] = {"lines": unparse_lines, "rtree": unparse_rtree}
 
 

@@ -158,5 +158,5 @@ def test_versions_of_a_stream(spark, tmp_path):
 
 def test_log_lines(spark):
     rows = spark.createDataFrame([("p 1 nonest time(s):0.25 n+m:12 cost:3",), ("nonsense",)], "value string")
-    assert experiments.parse_log(rows).collect() == [("p", 1, "nonest", 0.25, 12, 3)]
+    assert experiments.parse_log(rows).collect() == [("p", 1, "nonest", "local", 0.25, 12, 3)]
     assert experiments.locate(spark.createDataFrame([("abc",), ("axc",)], "name string"), "a", "x").first().single

@@ -6,7 +6,7 @@ import pytest
 
 from arbordiff.operators import alignment, patches
 from arbordiff.operators.patches import MODES, Change, Options, apply, compose, diff, patch_equal
-from arbordiff.operators.terms import Space, encode, holes, node_rows, render
+from arbordiff.operators.terms import Space, encode, holes, node_columns, render
 
 
 def node(space, name, kids):
@@ -73,7 +73,7 @@ def test_long_lists_need_no_recursion():
     patch = diff(space, a, b)
     aligned, _ = alignment.align(space, patch)
     assert apply(space, patch, a) is b and alignment.patch_align_cost(aligned) > 0
-    assert len(node_rows(a)) == a.size == 60_001
+    assert len(node_columns(a, frozenset(["digest"]))["digest"]) == a.size == 60_001
 
 
 def test_composition_with_itself_need_not_be_defined():

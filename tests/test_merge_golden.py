@@ -5,45 +5,19 @@ import pytest
 from arbordiff.operators.merging import merge3
 from arbordiff.operators.patches import MODES, Options
 from arbordiff.operators.terms import Space
+from arbordiff.plans.golden import CASES
 from arbordiff.sources.grammars import rtree, unparse_rtree
 
-# number: (A, O, B, expected, expected in patience mode where it differs)
-CASES = {
-    1: ("a[b,c,d]", "a[b,d]", "a[b',d]", "a[b',c,d]"),
-    2: ("b[u[3],..]", "b[b[u[3],..],.]", "b[b[u[4],u[..]],.]", "b[u[4],u[..]]"),
-    3: ("x'[y,z]", "x[y,z]", "x[y']", "x'[y']"),
-    4: ("y", "x", "y", "y"),
-    5: ("x[k,u]", "x[u,k]", "x[y[u,k],u,k]", "x[y[k,u],k,u]", "x[u,y[u,k],k]"),
-    6: ("x[u]", "x[u,k]", "x[y[u,k],u,k]", "x[y[u],u]", None),
-    7: ("x[u[b],l]", "x[a,u[b],k,l]", "y[a,u[b],k,new,l]", "y[u[b],new,l]"),
-    8: ("x[k,u]", "x[u,k]", "x[u,a,k]", "x[k,a,u]"),
-    9: ("x[k,u]", "x[u,k]", "x[u',k]", "x[k,u']"),
-    10: ("x[u,a,k]", "x[u,k]", "x[u,b,k]", None),
-    11: ("x[u,a]", "x[u,b]", "x[u,c]", None),
-    12: ("f[j]", "f[a]", "e", None),
-    13: ("a", "d[i]", "a[j[i]]", None),
-    14: ("l", "k[b,l]", "f[k,b]", None),
-    15: ("g", "i[g,c]", "g[k,l]", None),
-    16: ("j", "g[f,j]", "e[a,a,f]", None),
-    17: ("j[f]", "e[f,f,m]", "j[g[c,c,h,f]]", "j[g[c,c,h,f]]"),
-    18: ("r[a,a]", "r[a,c]", "r[b,c]", "r[b,b]", "r[b,a]"),
-    19: ("c[c]", "c[m[a]]", "f[c,c,c,k]", "f[c,c,c,k]"),
-    21: ("x[A,N1,B,C,D,N2,E]", "x[A,B,C,D,E]", "x[B,C,D',E]", "x[N1,B,C,D',N2,E]"),
-    22: ("x[A,N1,C,B,D,N2,E]", "x[A,B,C,D,E]", "x[B,C,D',E]", "x[N1,C,B,D',N2,E]"),
-    23: ("x[N1,A,D[DN],C[CN],N2,B,E]", "x[A,B,C[CN],D[DN],E]", "x[A,CD[DN,CN],B,E]", None),
-    24: ("x[A,N1,C,B,D,N2,E]", "x[A,B,C,D,E]", "x[C,B,D',E]", "x[N1,C,B,D',N2,E]"),
-    25: ("x[A[a,c],b,B,C]", "x[A[a,b,c],B,C]", "x[A[a,c],B,b,C]", None),
-    26: ("x[C[c],D,A,B]", "x[A,B,C[c],D]", "x[C'[c],A,B,D,E]", None),
-    27: ("x[C,B,A]", "x[A,B,C]", "x[A',B',C']", "x[C',B',A']"),
-}
+# The fixed cases are in the module golden: number, A, O, B, expected, expected in patience mode.
+BY_NUMBER = {c[0]: c for c in CASES}
 
 
 @pytest.mark.parametrize("mode", MODES)
 @pytest.mark.parametrize("swap", [False, True])
-@pytest.mark.parametrize("case", CASES)
+@pytest.mark.parametrize("case", BY_NUMBER)
 def test_merge(case, swap, mode):
-    a, o, b, *expected = CASES[case]
-    want = expected[-1] if mode == "patience" else expected[0]
+    _, a, o, b, plain, patient = BY_NUMBER[case]
+    want = patient if mode == "patience" else plain
     space = Space()
     a, o, b = (rtree(space, x) for x in (a, o, b))
     if swap:
