@@ -203,6 +203,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_
         shared = Shared(docs.sparkSession, items)
         if not last:
             before = rows = written(map_arrow(rows, kernel_of(shared, False), rows.schema), "matched", instead_of=before)
+            shared.broadcast.unpersist()
     found = map_arrow(rows, kernel_of(shared, True), f"id {kind}, {found_schema}")
     size = F.transform("spans", lambda s: s["end"] - s["first"])
     return found.select(
@@ -335,7 +336,9 @@ def _by_blocks(docs: DataFrame, benchmark: DataFrame, window: int, max_coverage:
     first = True
     while True:
         for items in _blocks(benchmark):
-            table = rows = written(map_arrow(rows, look_of(Shared(docs.sparkSession, items), first), rows.schema), "rounds", instead_of=table)
+            shared = Shared(docs.sparkSession, items)
+            table = rows = written(map_arrow(rows, look_of(shared, first), rows.schema), "rounds", instead_of=table)
+            shared.broadcast.unpersist()
         first = False
         if rows.where(F.size(f"{name}.spans") > 0).isEmpty():
             return rows.drop(name)

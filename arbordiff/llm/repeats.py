@@ -306,15 +306,16 @@ def repeated_spans(texts: DataFrame, length: int, gram: int, words: int, row: st
     return of_row.groupBy(F.col("row").alias("_r")).agg(*both)
 
 
-def covered(starts: list[dict] | None, length: int) -> list[list[int]]:
-    """Maximal runs (begin, end) of what strings at the given starts cover."""
-    return _joined([s["first"], s["first"] + s["count"] - 1 + length] for s in starts or ())
+def covered(starts: list[dict] | None, length: int, touching: bool = True) -> list[list[int]]:
+    """Maximal runs (begin, end) of what strings at the given starts cover. touching: whether two that only touch are one run; what is
+    between two words is in no string if these are in two."""
+    return _joined(([s["first"], s["first"] + s["count"] - 1 + length] for s in starts or ()), touching)
 
 
-def _joined(runs) -> list[list[int]]:
+def _joined(runs, touching: bool = True) -> list[list[int]]:
     out: list[list[int]] = []
     for begin, end in sorted(runs):
-        if out and begin <= out[-1][1]:
+        if out and begin < out[-1][1] + touching:
             out[-1][1] = max(out[-1][1], end)
         else:
             out.append([begin, end])
@@ -385,7 +386,7 @@ def drop_repeats(docs: DataFrame, length: int = 400, gram: int = 200, words: int
             b = b.drop_columns([name])
             nulls = b.column(at).is_null().to_pylist()
             old = unpack(b.column(at))
-            new = [t if s is None else remaining(t, _joined([*covered(s["starts"], length), *in_bytes(t, covered(s["word_starts"], words))])).decode("utf8", "ignore").encode() for t, s in zip(old, spans, strict=True)]
+            new = [t if s is None else remaining(t, _joined([*covered(s["starts"], length), *in_bytes(t, covered(s["word_starts"], words, touching=False))])).decode("utf8", "ignore").encode() for t, s in zip(old, spans, strict=True)]
             if (n := b.schema.get_field_index(size_col)) >= 0:
                 sizes = [x if s is None else len(t.decode()) for x, t, s in zip(b.column(n).to_pylist(), new, spans, strict=True)]
                 b = b.set_column(n, b.schema.field(n), pa.array(sizes, b.schema.field(n).type))

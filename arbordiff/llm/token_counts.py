@@ -5,7 +5,8 @@ popped and the walk stands on the node of what is left: both the number popped a
 a word of n bytes takes O(n) steps and no piece is ever built.
 
 A word is a run without ASCII white space, with `marker` before it. A word of which some byte can't be matched counts as one unknown
-piece. Null and empty texts have no words. Repeated rows repeat; other columns are left alone.
+piece. Null and empty texts have no words; words and texts are read whole, however long. Of matches that begin at one place the longest
+wins, so there are no ties. An empty table gives an empty one, repeated rows repeat; other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -95,4 +96,4 @@ def count_pieces(docs: DataFrame, vocabulary: str, marker: bytes = b" ", id_col:
                 unknown.append(lost)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (words, pieces, unknown))], [id_col, "n_words", "n_pieces", "n_unknown"])
 
-    return map_arrow(docs.select(id_col, text_col), kernel, f"{id_col} {dict(docs.dtypes)[id_col]}, n_words long, n_pieces long, n_unknown long")
+    return map_arrow(docs.select(id_col, text_col), kernel, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_words long, n_pieces long, n_unknown long")
