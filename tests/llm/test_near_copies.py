@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 import corpus_pipeline
 from arbordiff.llm import near_copies, simhash
 
@@ -31,7 +33,9 @@ def planted():
     return texts
 
 
-def test_near_copies(spark):
+@pytest.mark.parametrize("group", [1000, 2])
+def test_near_copies(spark, monkeypatch, group):
+    monkeypatch.setattr(near_copies, "GROUP", group)
     texts = planted()
     root = list(range(len(texts)))
     apart = 0
@@ -48,7 +52,9 @@ def test_near_copies(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(root)
 
 
-def test_near_copies_of_a_large_group(spark):
+@pytest.mark.parametrize("group", [1000, 40])
+def test_near_copies_of_a_large_group(spark, monkeypatch, group):
+    monkeypatch.setattr(near_copies, "GROUP", group)
     r = random.Random(5)
     base = [f"w{i}" for i in range(120)]
     texts = [" ".join(base)] + [" ".join(f"x{r.random()}" if i == at else w for i, w in enumerate(base)) for at in r.choices(range(120), k=400)]
