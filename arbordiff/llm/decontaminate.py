@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from arbordiff.llm.common import Shared, map_arrow, own_name, utf8, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-#: Bytes of item text in one automaton; a larger benchmark is worked off in blocks of this size.
-BLOCK_BYTES = 16 << 20
+#: Bytes of item text in one automaton, which then takes about 230 MB of a worker; a larger benchmark is worked off in blocks of this size.
+BLOCK_BYTES = 2 << 20
 
 
 class Automaton:
