@@ -113,6 +113,27 @@ FROM ps, (VALUES ('src'), ('dst')) AS s(side) GROUP BY doc_id, anchor_id, side
 SQL |= {f"{m}_holes": HOLES for m in MODES}
 
 
+def mode_holes(spark, sf_dir):
+    """Trees of which a part is shared once more inside another shared part: each mode takes other holes."""
+    part = table(spark, sf_dir, "part")
+    inner = F.concat(F.lit("t"), "p_partkey")
+    outer = F.concat(F.lit("s"), "p_size", F.lit("["), inner, F.lit("]"))
+    trees = [(side, F.concat(F.lit("r["), a, F.lit(","), b, F.lit(f",{side}]"))) for side, a, b in (("src", outer, inner), ("dst", inner, outer))]
+    rows = [part.select(F.col("p_partkey").alias("pair_id"), F.lit(side).alias("side"), text.alias("text")) for side, text in trees]
+    nodes = api.tree_nodes(rows[0].unionByName(rows[1]), "text", "rtree", ["node_id", "last_id", "kind", "height", "digest"])
+    shares = sharing.sharing_map(nodes)
+    found = [sharing.extract_holes(nodes, shares, m).withColumn("mode", F.lit(m)) for m in MODES]
+    found = found[0].unionByName(found[1]).unionByName(found[2])
+    return found.groupBy("pair_id", "side", "mode").agg(F.count("*").alias("n_holes"), F.count_distinct("mv").alias("n_variables"))
+
+
+# Shared: s[t] once on each side, t twice on each side, once of these in s. proper: s occurs less often than what is in it; patience: t too often.
+SQL["mode_holes"] = """
+SELECT p_partkey AS pair_id, side, mode, n_holes, n_variables
+FROM part, (VALUES ('src'), ('dst')) AS s(side), (VALUES ('proper', CAST(2 AS BIGINT), CAST(1 AS BIGINT)), ('nonest', 2, 2), ('patience', 1, 1)) AS m(mode, n_holes, n_variables)
+"""
+
+
 def _edited(spark, sf_dir) -> DataFrame:
     """Documents as src, and as dst without their first line but with a new last one."""
     l = lines_of(F.col("text"))  # noqa: E741
@@ -415,7 +436,7 @@ SQL["parse_experiment"] = "SELECT count(*) FILTER (json_valid(props)) AS ok, cou
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
-        diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, alpha_equality,
+        diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality,
         lcs_lines, compose_chain_apply, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, four_diffs, golden_merge_rtree, dyck_parse, while_parse,
         stage_pivot, result_pivot, config_top3, config_grid, runtime_filter, language_filter, datapoint_rejects, parse_experiment,
     )
