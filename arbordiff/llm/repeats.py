@@ -375,8 +375,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 200, words: i
 
 def drop_repeats(docs: DataFrame, length: int = 400, gram: int = 200, words: int = 0, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
     """docs with the repeated strings (of `length` bytes, and of `words` words if not 0) taken out of the texts; size_col, where there is
-    one, follows the text. A character of which only some bytes go goes wholly. Rows of which nothing is left go; rows without repeats
-    stay as they are."""
+    one, follows the text. A character of which only some bytes go goes wholly. Rows of which no more than blanks are left go; rows
+    without repeats stay as they are."""
     rows, name = _with_spans(docs, length, gram, words, text_col)
     text_type = pa.large_string() if docs.sparkSession.conf.get("spark.sql.execution.arrow.useLargeVarTypes", "false") == "true" else pa.string()
 
@@ -391,6 +391,6 @@ def drop_repeats(docs: DataFrame, length: int = 400, gram: int = 200, words: int
                 sizes = [x if s is None else len(t.decode()) for x, t, s in zip(b.column(n).to_pylist(), new, spans, strict=True)]
                 b = b.set_column(n, b.schema.field(n), pa.array(sizes, b.schema.field(n).type))
             b = b.set_column(at, text_col, pa.array([None if x else t for t, x in zip(new, nulls, strict=True)], pa.binary()).cast(text_type))
-            yield b.filter(pa.array([s is None or bool(t) for t, s in zip(new, spans, strict=True)], pa.bool_()))
+            yield b.filter(pa.array([s is None or bool(t.strip()) for t, s in zip(new, spans, strict=True)], pa.bool_()))
 
     return map_arrow(rows, kernel, docs.schema)

@@ -41,7 +41,7 @@ def similar_brute(rows):
 
 
 def repeats_brute(texts, length=400, n=51):
-    """What is left of each text without strings of `length` bytes or n words that occur more than once; None where nothing is left."""
+    """What is left of each text without strings of `length` bytes or n words that occur more than once; None where only blanks are left."""
     raw = [(t or "").encode() for t in texts]
     places = [[m.span() for m in re.finditer(rb"[^ \t\n\r\x0b\x0c]+", t)] for t in raw]
     words = [[t[a:b] for a, b in p] for t, p in zip(raw, places, strict=True)]
@@ -58,7 +58,7 @@ def repeats_brute(texts, length=400, n=51):
                 a, b = p[i][0], p[i + n - 1][1]
                 gone[a:b] = b"\1" * (b - a)
         left = bytes(c for c, g in zip(t, gone, strict=True) if not g).decode("utf8", "ignore")
-        out.append(text if not any(gone) else left or None)
+        out.append(text if not any(gone) else left if left.strip() else None)
     return out, [o is None and t is not None for o, t in zip(out, texts, strict=True)]
 
 
