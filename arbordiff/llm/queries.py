@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordiff.llm import bpe, decontaminate, language_model, neighbours, quality, repeats, simhash, token_counts, toxicity, url_filter
+from arbordiff.llm import bpe, decontaminate, hard_negatives, language_model, neighbours, quality, repeats, simhash, token_alignment, token_counts, toxicity, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -74,6 +74,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh id's label is wrong on purpose, so that labels and vectors don't quite agree."""
+    wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", wrong), anchor_every=50, positives=5, negatives=3, least=50, most=95, scale=256)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return token_alignment.align(table(spark, sf_dir, "documents"), a, b, with_groups=False)
+
+
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = "regexp_extract_all(" + LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -113,12 +124,25 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed,
 FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r) LEFT JOIN v USING (r)
 """
 
+OP12_SQL = """
+WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT row_number() OVER (ORDER BY vec_id, v) AS r, * FROM e),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+      FROM r AS a JOIN r AS b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT a, anchor_id, b, other_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id, b) AS k FROM s WHERE same),
+n AS (SELECT p.a AS a, p.anchor_id AS anchor_id, positive_id, positive_score, s.other_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.other_id, s.b) AS rank
+      FROM p JOIN s ON p.a = s.a AND k <= 5 AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # at the top of the repository; it uses this package
 
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op3_url_filter, op4_language_model, op5_byte_bpe, op6_toxicity, op7_quality, op8_token_counts, op9_neighbours, op10_simhash)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op3_url_filter, op4_language_model, op5_byte_bpe, op6_toxicity, op7_quality, op8_token_counts, op9_neighbours, op10_simhash, op12_hard_negatives, op13_token_alignment)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_benchmark_decontamination": OP1_SQL, "op2_suffix_array_dedup": OP2_SQL}
+    return {"op1_benchmark_decontamination": OP1_SQL, "op2_suffix_array_dedup": OP2_SQL, "op12_hard_negatives": OP12_SQL}
