@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordiff.llm import bpe, decontaminate, hard_negatives, language_model, neighbours, quality, repeats, simhash, token_alignment, token_counts, toxicity, url_filter
+from arbordiff.llm import bpe, decontaminate, hard_negatives, language_model, neighbours, quality, quality_rules, repeats, simhash, token_alignment, token_counts, toxicity, url_filter
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -74,6 +74,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every seventh id's label is wrong on purpose, so that labels and vectors don't quite agree."""
     wrong = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -141,7 +146,7 @@ SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline  # at the top of the repository; it uses this package
 
-    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op3_url_filter, op4_language_model, op5_byte_bpe, op6_toxicity, op7_quality, op8_token_counts, op9_neighbours, op10_simhash, op12_hard_negatives, op13_token_alignment)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_benchmark_decontamination, op2_suffix_array_dedup, op3_url_filter, op4_language_model, op5_byte_bpe, op6_toxicity, op7_quality, op8_token_counts, op9_neighbours, op10_simhash, op11_quality_rules, op12_hard_negatives, op13_token_alignment)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
