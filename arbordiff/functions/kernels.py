@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from arbordiff.operators import alignment, merging, patches
 from arbordiff.operators.patches import Options
 from arbordiff.operators.terms import Space, encode, node_columns, render
-from arbordiff.sources.grammars import ParseError, grammar, install, registry, unparser
+from arbordiff.sources.grammars import ParseError, grammar, install, lines, registry, unparser
+from arbordiff.sources.line_trees import line_nodes
 
 #: Rows of a batch in a kernel; trees are small, but a text may be long.
 BATCH_ROWS = 256
@@ -90,7 +91,7 @@ def add_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], work:
 
 
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "map<string,long>": pa.map_(pa.string(), pa.int64())}
-NODE = {"node_id": "int", "parent_id": "int", "ord": "int", "depth": "int", "last_id": "int", "kind": "string", "dtype": "string", "con": "string", "prim_type": "string", "prim_val": "string", "height": "int", "size": "int", "digest": "string"}
+NODE = {"node_id": "int", "parent_id": "int", "ord": "int", "depth": "int", "last_id": "int", "kind": "string", "dtype": "string", "con": "string", "prim_type": "string", "prim_val": "string", "height": "int", "size": "int", "digest": "string", "kids": "array<string>"}
 
 
 def _parsed(space: Space, name: str, *texts: str | None):
@@ -111,7 +112,9 @@ def parse_row(space: Space, name: str, text: str | None) -> dict:
 
 
 def node_table(df: DataFrame, text_col: str, name: str, columns: list[str]) -> DataFrame:
-    """A row for each node of each tree, with the other columns of df; texts without a tree have none."""
+    """A row for each node of each tree, with the other columns of df; texts without a tree have none. Trees of lines need no parser."""
+    if grammar(name) is lines:
+        return line_nodes(df, text_col, columns)
     bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c != text_col and c not in columns]
     schema = ", ".join([f"`{c}` {t}" for c, t in df.select(kept).dtypes] + [f"{c} {NODE[c]}" for c in columns])

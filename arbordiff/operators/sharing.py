@@ -22,30 +22,36 @@ def sharing_map(nodes: DataFrame, min_height: int = 1) -> DataFrame:
     return both.withColumn("mv", F.row_number().over(Window.partitionBy("pair_id").orderBy("digest")) - 1)
 
 
-def extract_holes(nodes: DataFrame, shares: DataFrame, mode: str = "nonest", min_height: int = 1) -> DataFrame:
-    """(pair_id, side, node_id, mv) of the holes of a mode. Whether a shared node lies below another is read off the running maximum of
-    last_id in preorder: one sort of the candidates, no join of nodes with nodes."""
-    candidates = nodes.where((F.col("kind") == "roll") & (F.col("height") > min_height)).join(shares, ["pair_id", "digest"])
+def extract_holes(nodes: DataFrame, shares: DataFrame, mode: str = "nonest") -> DataFrame:
+    """(pair_id, side, node_id, height, mv) of the holes of a mode. nodes: one row for each node of each side of a pair."""
+    wanted = nodes.where("kind = 'roll'").select("pair_id", "side", "digest", "node_id", "last_id", "height")
+    return holes(wanted.join(shares.select("pair_id", "digest", "arity", "mv"), ["pair_id", "digest"]), mode)
+
+
+def holes(candidates: DataFrame, mode: str = "nonest") -> DataFrame:
+    """(pair_id, side, node_id, height, mv) of the holes of a mode. candidates: pair_id, side, node_id, last_id, height, arity, mv of the
+    nodes that both sides have. Whether a shared node lies below another is read off the running maximum of last_id in preorder: one sort
+    of the candidates, no join of nodes with nodes."""
     if mode == "patience":
         candidates = candidates.where("arity = 2")
     elif mode == "proper":
-        candidates = candidates.join(_below(nodes, shares), ["pair_id", "side", "node_id"], "left").where("arity >= coalesce(below, 0)")
+        candidates = _with_below(candidates).where("arity >= below")
     elif mode != "nonest":
         raise ValueError(f"no such mode: {mode}")
     before = Window.partitionBy("pair_id", "side").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
     top = candidates.withColumn("covered", F.max("last_id").over(before)).where("covered is null or covered < node_id")
-    top = top.select("pair_id", "side", "node_id", "mv")
+    top = top.select("pair_id", "side", "node_id", "height", "mv")
     if mode != "nonest":
         return top
-    sides = top.groupBy("pair_id", "mv").agg(F.count_distinct("side").alias("sides")).where("sides = 2")
-    return top.join(sides, ["pair_id", "mv"], "left_semi").select("pair_id", "side", "node_id", "mv")
+    sides = Window.partitionBy("pair_id", "mv")  # both sides of a variable, or it is no hole
+    met = top.withColumns({"_first": F.min("side").over(sides), "_last": F.max("side").over(sides)})
+    return met.where("_first <> _last").drop("_first", "_last")
 
 
-def _below(nodes: DataFrame, shares: DataFrame) -> DataFrame:
-    """(pair_id, side, node_id, below): the greatest arity of any shared subtree below each shared node. A group is one tree; from the
-    last node to the first, a node takes in what stands on the stack within its range, so that the work is linear in the tree."""
-    shared = nodes.where("kind = 'roll'").join(shares, ["pair_id", "digest"]).select("pair_id", "side", "node_id", "last_id", "arity")
-    key = dict(nodes.dtypes)["pair_id"]
+def _with_below(candidates: DataFrame) -> DataFrame:
+    """candidates with below: the greatest arity of any shared subtree below each (0: none). A group is one tree; from the last node to
+    the first, a node takes in what stands on the stack within its range, so that the work is linear in the tree."""
+    columns = [c for c in candidates.columns if c != "below"]
 
     def climb(tree: pa.Table) -> pa.Table:
         tree = tree.sort_by([("node_id", "descending")])
@@ -57,9 +63,10 @@ def _below(nodes: DataFrame, shares: DataFrame) -> DataFrame:
                 below = max(below, stack.pop()[1])
             out.append(below)
             stack.append((node, max(own, below)))
-        return pa.table({"pair_id": tree.column("pair_id"), "side": tree.column("side"), "node_id": tree.column("node_id"), "below": pa.array(out, pa.int64())})
+        return tree.append_column("below", pa.array(out, pa.int64()))
 
-    return shared.groupBy("pair_id", "side").applyInArrow(climb, f"pair_id {key}, side string, node_id int, below long")
+    schema = ", ".join(f"{c} {t}" for c, t in candidates.select(columns).dtypes)
+    return candidates.select(columns).groupBy("pair_id", "side").applyInArrow(climb, schema + ", below long")
 
 
 def collection_subtrees(nodes: DataFrame, min_height: int = 1) -> DataFrame:

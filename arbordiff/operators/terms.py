@@ -150,13 +150,14 @@ def node_columns(t: Term, wanted: frozenset) -> dict[str, list]:
         depths.append(depth)
         for i in range(len(x.kids) - 1, -1, -1):
             stack.append((x.kids[i], n, i, depth + 1))
-    digest = digests(t) if "digest" in wanted else {}
+    digest = digests(t) if wanted & {"digest", "kids"} else {}
     names = {ROLL: "roll", PRIM: "prim", HOLE: "hole"}
     given = {
         "node_id": lambda: [*range(len(terms))], "parent_id": lambda: parents, "ord": lambda: places, "depth": lambda: depths, "last_id": lambda: [n + x.size - 1 for n, x in enumerate(terms)],
         "kind": lambda: [names[x.kind] for x in terms], "dtype": lambda: [x.dtype if x.kind == ROLL else None for x in terms], "con": lambda: [x.con if x.kind == ROLL else None for x in terms],
         "prim_type": lambda: [None if x.kind == ROLL else x.dtype for x in terms], "prim_val": lambda: [None if x.kind == ROLL else str(x.con) for x in terms],
         "height": lambda: [x.height for x in terms], "size": lambda: [x.size for x in terms], "digest": lambda: [digest[id(x)] for x in terms],
+        "kids": lambda: [[digest[id(k)] for k in x.kids] for x in terms],
     }
     return {c: f() for c, f in given.items() if c in wanted}
 

@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from arbordiff import api
 from arbordiff.functions import kernels
-from arbordiff.operators import patches, sharing
+from arbordiff.operators import patches, sharing, store
 from arbordiff.operators.patches import MODES, Options
+from arbordiff.operators.store import Store
 from arbordiff.plans import experiments
 from arbordiff.plans.golden import CASES
 from arbordiff.sources.grammars import grammar
+from arbordiff.sources.line_trees import lines_of, shape
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +26,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
 
 
-def lines_of(text: Column) -> Column:
-    """The lines of a text; a newline at its end begins no further line."""
-    parts = F.split(text, "\n", -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
-
-
 def joined(lines: Column) -> Column:
     return F.array_join(lines, "\n")
 
@@ -39,16 +35,19 @@ DOCS = f"d AS (SELECT doc_id, {LINES} AS l FROM documents WHERE text IS NOT NULL
 
 
 def lines_tree_shape(spark, sf_dir):
-    out = api.parse_trees(documents(spark, sf_dir), "text", "lines")
-    return out.select("doc_id", F.col("n_nodes").cast("long").alias("n_nodes"), F.col("height").cast("long").alias("height"))
+    n_nodes, height = shape(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", n_nodes.cast("long").alias("n_nodes"), height.cast("long").alias("height"))
 
 
 SQL = {"lines_tree_shape": f"WITH {DOCS} SELECT doc_id, CAST(3 * len(l) + 2 AS BIGINT) AS n_nodes, CAST(len(l) + 2 AS BIGINT) AS height FROM d"}
 
 
+def _store(spark, sf_dir, with_content: bool = False) -> Store:
+    return store.build(documents(spark, sf_dir), "text", "lines", "doc_id", with_content)
+
+
 def corpus_shared_subtrees(spark, sf_dir):
-    nodes = api.tree_nodes(documents(spark, sf_dir).withColumnRenamed("doc_id", "tree_id"), "text", "lines")
-    found = sharing.collection_subtrees(nodes)
+    found = _store(spark, sf_dir).shared_subtrees()
     return found.groupBy("trees", "occurrences").agg(F.count("*").alias("n_subtrees"))
 
 
@@ -71,17 +70,30 @@ p AS (SELECT ln.doc_id AS doc_id, anchor_id, count(*) AS shared_lines FROM ln JO
 SQL["candidate_pairs"] = f"WITH {PAIRS} SELECT doc_id, anchor_id, shared_lines FROM p"
 
 
-def _pair_nodes(spark, sf_dir) -> DataFrame:
-    """Node tables of the candidate pairs: each document once for every pair that it is in, by a join on its id."""
-    docs = documents(spark, sf_dir)
-    pairs = candidate_pairs(spark, sf_dir).withColumn("pair_id", F.concat_ws("-", "doc_id", "anchor_id"))
-    sides = pairs.select("pair_id", F.lit("src").alias("side"), "doc_id").unionByName(pairs.select("pair_id", F.lit("dst").alias("side"), F.col("anchor_id").alias("doc_id")))
-    wanted = ["node_id", "last_id", "kind", "dtype", "height", "size", "digest"]
-    return api.tree_nodes(sides.join(docs, "doc_id").drop("doc_id"), "text", "lines", wanted)
+def distinct_subtrees(spark, sf_dir):
+    """The store's distinct subtrees by kind and height: each once, however many documents have it, with its children's digests."""
+    found = _store(spark, sf_dir, with_content=True).subtrees
+    return found.groupBy("dtype", "con", "height").agg(F.count("*").alias("n_subtrees"), F.sum(F.size("kids")).alias("n_kids"), F.max("size").cast("long").alias("size"))
+
+
+SQL["distinct_subtrees"] = f"""
+WITH {DOCS},
+s AS (SELECT DISTINCT '[Line]' AS dtype, ':' AS con, len(l) - i + 2 AS height, array_to_string(l[i:], chr(10)) AS t, 2 AS kids, 3 * (len(l) - i + 1) + 1 AS size FROM d, UNNEST(range(1, len(l) + 1)) AS x(i)
+      UNION ALL SELECT DISTINCT 'Stmt', 'Stmt', len(l) + 2, array_to_string(l, chr(10)), 1, 3 * len(l) + 2 FROM d
+      UNION ALL SELECT DISTINCT 'Line', 'Line', 1, x, 1, 2 FROM (SELECT unnest(l) AS x FROM d) AS q
+      UNION ALL SELECT DISTINCT NULL, NULL, 0, x, 0, 1 FROM (SELECT unnest(l) AS x FROM d) AS q
+      UNION ALL SELECT DISTINCT '[Line]', '[]', 1, '', 0, 1 FROM d)
+SELECT dtype, con, CAST(height AS INT) AS height, count(*) AS n_subtrees, CAST(sum(kids) AS BIGINT) AS n_kids, CAST(max(size) AS BIGINT) AS size FROM s GROUP BY dtype, con, height
+"""
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    pairs = candidate_pairs(spark, sf_dir)
+    return pairs.select(F.concat_ws("-", "doc_id", "anchor_id").alias("pair_id"), F.col("doc_id").alias("src_id"), F.col("anchor_id").alias("dst_id"))
 
 
 def pair_sharing_map(spark, sf_dir):
-    shares = sharing.sharing_map(_pair_nodes(spark, sf_dir))
+    shares = _store(spark, sf_dir).sharing(_pairs(spark, sf_dir))
     return shares.groupBy("pair_id").agg(F.count("*").alias("n_shared"), F.sum("arity").alias("arity"), F.max("mv").cast("long").alias("last_mv"))
 
 
@@ -97,9 +109,8 @@ SELECT CAST(doc_id AS VARCHAR) || '-' || CAST(anchor_id AS VARCHAR) AS pair_id,
 
 def _holes(mode: str):
     def query(spark, sf_dir):
-        nodes = _pair_nodes(spark, sf_dir)
-        found = sharing.extract_holes(nodes, sharing.sharing_map(nodes), mode)
-        found = found.join(nodes.select("pair_id", "side", "node_id", "height"), ["pair_id", "side", "node_id"])
+        trees = _store(spark, sf_dir)
+        found = sharing.holes(trees.candidates(trees.sharing(_pairs(spark, sf_dir))), mode)
         return found.groupBy("pair_id", "side").agg(F.count("*").alias("n_holes"), F.max("height").cast("long").alias("height"))
 
     return query
@@ -436,7 +447,7 @@ SQL["parse_experiment"] = "SELECT count(*) FILTER (json_valid(props)) AS ok, cou
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
-        diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality,
+        diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, distinct_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality,
         lcs_lines, compose_chain_apply, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, four_diffs, golden_merge_rtree, dyck_parse, while_parse,
         stage_pivot, result_pivot, config_top3, config_grid, runtime_filter, language_filter, datapoint_rejects, parse_experiment,
     )
