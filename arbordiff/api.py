@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbordiff.functions import kernels
+from arbordiff.operators import versions
 from arbordiff.operators.patches import Options
 
 
@@ -37,6 +38,16 @@ def compose_chain(df: DataFrame, versions_col: str, grammar: str, min_height: in
     return kernels.add_columns(df, [versions_col], kernels.CHAIN, lambda s, v: kernels.chain_row(s, grammar, v, options))
 
 
+def version_segments(rows: DataFrame, key_col: str, order_col: str, text_col: str, grammar: str, min_height: int = 1, mode: str = "nonest", seconds: float = 0) -> DataFrame:
+    """(key, level, index, status, error, patch): composed patches over rows of versions, for patches_between."""
+    return versions.segments(versions.numbered(rows, key_col, order_col, text_col), grammar, min_height, mode, seconds)
+
+
+def patches_between(segments: DataFrame, ranges: DataFrame, seconds: float = 0) -> DataFrame:
+    """ranges (key, begin, end, ...) with n_segments, status, error and the patch from version begin to version end (numbers from 0)."""
+    return versions.between(segments, ranges, seconds)
+
+
 def composable(df: DataFrame, second_col: str, first_col: str) -> DataFrame:
     """df with composes: whether the patch second_col can follow the patch first_col; null where either isn't a patch."""
     return kernels.add_columns(df, [second_col, first_col], {"composes": "boolean", "parse_error": "string"}, kernels.composes_row)

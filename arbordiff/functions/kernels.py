@@ -218,6 +218,36 @@ def chain_row(space: Space, name: str, versions: list, options: Options) -> dict
 CHAIN = {"status": "string", "error": "string", "patch": "string", "result": "string"}
 
 
+def patch_row(space: Space, name: str, source: str | None, target: str | None, options: Options) -> dict:
+    """The patch alone."""
+    try:
+        a, b = _parsed(space, name, source, target)
+    except ParseError as e:
+        return {"status": "parse-error", "error": str(e)}
+    return {"status": "success", "patch": patches.encode_patch(patches.diff(space, a, b, options))}
+
+
+def compose_row(space: Space, second: str | None, first: str | None) -> dict:
+    """The patch that does first, then second."""
+    if second is None or first is None:
+        return {"status": "no-patch"}
+    both = patches.compose(space, patches.decode_patch(space, second), patches.decode_patch(space, first))
+    return {"status": "compose-fail"} if both is None else {"status": "success", "patch": patches.encode_patch(both)}
+
+
+def chain_patches_row(space: Space, chain: list | None) -> dict:
+    """The patch that does what the patches of the chain do one after another."""
+    if chain is None or not chain:
+        return {"status": "no-such-version" if chain is None else "empty"}
+    if None in chain:
+        return {"status": "no-patch"}
+    whole = patches.decode_patch(space, chain[0])
+    for p in chain[1:]:
+        if (whole := patches.compose(space, patches.decode_patch(space, p), whole)) is None:
+            return {"status": "compose-fail"}
+    return {"status": "success", "patch": patches.encode_patch(whole)}
+
+
 def apply_row(space: Space, name: str, patch: str | None, text: str | None) -> dict:
     try:
         [t] = _parsed(space, name, text)

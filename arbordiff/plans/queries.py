@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from arbordiff import api
 from arbordiff.functions import kernels
-from arbordiff.operators import patches, sharing, store
+from arbordiff.operators import patches, sharing, store, versions
 from arbordiff.operators.patches import MODES, Options
 from arbordiff.operators.store import Store
 from arbordiff.plans import experiments
 from arbordiff.plans.golden import CASES
 from arbordiff.sources.grammars import grammar
 from arbordiff.sources.line_trees import lines_of, shape
+from arbordiff.sources.tables import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -240,6 +241,32 @@ def compose_chain_apply(spark, sf_dir):
 SQL["compose_chain_apply"] = "SELECT conv_id, 'success' AS status, regexp_replace(last(text ORDER BY turn, text), '\n$', '') AS result FROM conversations WHERE text IS NOT NULL GROUP BY conv_id"
 
 
+def version_ranges(spark, sf_dir):
+    """Patches over three ranges of each conversation's turns, from segments of composed patches: all of it, without the first turn, and
+    without the last; and what each makes of the text where it begins."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    numbered = stored(versions.numbered(turns, "conv_id", "turn", "text"), "turns")
+    made = versions.segments(numbered, "lines")
+    last = numbered.groupBy("key").agg(F.max("number").alias("last"))
+    ranges = F.array(*[F.struct(F.lit(name).alias("part"), b.alias("begin"), e.alias("end")) for name, b, e in (("all", F.lit(0).cast("long"), F.col("last")), ("rest", F.lit(1).cast("long"), F.col("last")), ("front", F.lit(0).cast("long"), F.col("last") - 1))])
+    asked = last.select("key", F.inline(ranges)).where("begin < end")
+    found = api.patches_between(made, asked)
+    at = numbered.select("key", F.col("number").alias("begin"), F.col("text").alias("src"))
+    out = api.apply_patches(found.drop("status", "error").join(at, ["key", "begin"]), "patch", "src", "lines")
+    return out.select(F.col("key").alias("conv_id"), "part", "begin", "end", "n_segments", "status", "result")
+
+
+SQL["version_ranges"] = """
+WITH v AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS n, text FROM conversations WHERE text IS NOT NULL),
+l AS (SELECT conv_id, max(n) AS last FROM v GROUP BY conv_id),
+r AS (SELECT conv_id, 'all' AS part, 0 AS b, last AS e FROM l UNION ALL SELECT conv_id, 'rest', 1, last FROM l UNION ALL SELECT conv_id, 'front', 0, last - 1 FROM l),
+p AS (SELECT conv_id, part, count(*) FILTER (a % 2 = 1) + count(*) FILTER (z % 2 = 1) AS k
+      FROM (SELECT conv_id, part, CAST(ceil(b / (2.0 ** i)) AS BIGINT) AS a, CAST(floor(e / (2.0 ** i)) AS BIGINT) AS z FROM r, UNNEST(range(0, 40)) AS t(i)) AS q WHERE a < z GROUP BY conv_id, part)
+SELECT conv_id, part, CAST(b AS BIGINT) AS begin, CAST(e AS BIGINT) AS end, k AS n_segments, 'success' AS status, regexp_replace(text, '\n$', '') AS result
+FROM r JOIN v USING (conv_id) JOIN p USING (conv_id, part) WHERE b < e AND n = e
+"""
+
+
 def _triples(spark, sf_dir, kind: str) -> DataFrame:
     """O is a document of three lines or more; A and B edit its first or last line."""
     docs = documents(spark, sf_dir).withColumn("l", lines_of(F.col("text"))).where(F.size("l") >= 3)
@@ -448,7 +475,7 @@ SQL["parse_experiment"] = "SELECT count(*) FILTER (json_valid(props)) AS ok, cou
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, distinct_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality,
-        lcs_lines, compose_chain_apply, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, four_diffs, golden_merge_rtree, dyck_parse, while_parse,
+        lcs_lines, compose_chain_apply, version_ranges, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, four_diffs, golden_merge_rtree, dyck_parse, while_parse,
         stage_pivot, result_pivot, config_top3, config_grid, runtime_filter, language_filter, datapoint_rejects, parse_experiment,
     )
     out = {f.__name__: f for f in plain}
