@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arbordiff.functions import kernels
-from arbordiff.operators import versions
+from arbordiff.operators import patch_index, versions
 from arbordiff.operators.patches import Options
 
 
@@ -38,6 +38,17 @@ def compose_chain(df: DataFrame, versions_col: str, grammar: str, min_height: in
     return kernels.add_columns(df, [versions_col], kernels.CHAIN, lambda s, v: kernels.chain_row(s, grammar, v, options))
 
 
+def canonical_patches(df: DataFrame, patch_col: str) -> DataFrame:
+    """df with patch_digest, edit_digests and edits: patches (and the changes in them that aren't copies) that differ in the names of
+    variables alone have equal digests, so that they meet by grouping; edits are the changes as text with canonical names."""
+    return kernels.add_columns(df, [patch_col], kernels.CANONICAL, kernels.canonical_row)
+
+
+def applicable_patches(changes: DataFrame, trees: DataFrame, grammar: str) -> DataFrame:
+    """(patch_id, tree_id, status, error, result) for all pairs of changes (patch_id, patch) and trees (tree_id, text) that fit."""
+    return patch_index.applicable(changes, trees, grammar)
+
+
 def version_segments(rows: DataFrame, key_col: str, order_col: str, text_col: str, grammar: str, min_height: int = 1, mode: str = "nonest", seconds: float = 0) -> DataFrame:
     """(key, level, index, status, error, patch): composed patches over rows of versions, for patches_between."""
     return versions.segments(versions.numbered(rows, key_col, order_col, text_col), grammar, min_height, mode, seconds)

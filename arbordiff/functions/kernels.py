@@ -271,6 +271,18 @@ def composes_row(space: Space, second: str | None, first: str | None) -> dict:
     return {"composes": patches.patch_composes(space, patches.decode_patch(space, second), patches.decode_patch(space, first))}
 
 
+def canonical_row(space: Space, patch: str | None) -> dict:
+    """Digests of the patch as one change and of each of its changes that isn't a copy, equal up to the names of variables."""
+    if patch is None:
+        return {"parse_error": "there is no patch"}
+    p = patches.decode_patch(space, patch)
+    changed = [c for c in patches.leaves(p) if c.delete is not c.insert]
+    return {"patch_digest": patches.change_digest(space, patches.distribute(space, p)), "edit_digests": [patches.change_digest(space, c) for c in changed], "edits": [patches.show_change(patches.canonical(space, c)) for c in changed]}
+
+
+CANONICAL = {"patch_digest": "string", "edit_digests": "array<string>", "edits": "array<string>", "parse_error": "string"}
+
+
 def lcs_length(a: list, b: list) -> int:
     """Length of the longest common subsequence: bit-parallel, one big integer operation for each element of b."""
     places: dict = {}

@@ -6,6 +6,7 @@ both trees have, with changes at its leaves.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import Counter
 from dataclasses import dataclass
@@ -290,6 +291,27 @@ def patch_equal(space: Space, p, q) -> bool:
     return change_equal(distribute(space, p), distribute(space, q))
 
 
+def canonical(space: Space, c: Change) -> Change:
+    """The change with its variables numbered by their first place, in the deletion and then in the insertion: changes that differ in
+    names alone become the same."""
+    number: dict[int, int] = {}
+    for h in (*holes(c.delete), *holes(c.insert)):
+        number.setdefault(h.con, len(number))
+
+    def named(h: Term) -> Term:
+        return space.hole(number[h.con], h.dtype)
+
+    return Change(space.replace(c.delete, named), space.replace(c.insert, named))
+
+
+def change_digest(space: Space, c: Change) -> str:
+    """SHA-256 of the canonical change: equal for changes that are equal up to names."""
+    from arbordiff.operators.terms import encode
+
+    c = canonical(space, c)
+    return hashlib.sha256(f"{encode(c.delete)}\0{encode(c.insert)}".encode("utf8", "surrogatepass")).hexdigest()
+
+
 class Clash(Exception):
     """Two terms have no common instance."""
 

@@ -221,6 +221,50 @@ def alpha_equality(spark, sf_dir):
 SQL["alpha_equality"] = f"WITH {DOCS} SELECT doc_id, true AS itself, true AS renamed FROM d"
 
 
+def distinct_edits(spark, sf_dir):
+    """How many distinct changes there are by the number of documents that have them and how often they occur."""
+    made = api.canonical_patches(api.diff_pairs(_edited(spark, sf_dir), "src", "dst", "lines").where("n_changes > 0").select("doc_id", "patch"), "patch")
+    edits = made.select("doc_id", F.explode("edit_digests").alias("edit"))
+    found = edits.groupBy("edit", "doc_id").agg(F.count("*").alias("n")).groupBy("edit").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"))
+    return found.groupBy("documents", "occurrences").agg(F.count("*").alias("n_edits"))
+
+
+# A line becomes the next one. Equal neighbours are copies. A text without lines gets one, with the list around it: always the same edit.
+SQL["distinct_edits"] = f"""
+WITH {DOCS},
+e AS (SELECT doc_id, l[i] AS x, coalesce(l[i + 1], 'the new last line') AS y FROM d, UNNEST(range(1, len(l) + 1)) AS t(i) UNION ALL SELECT doc_id, NULL, NULL FROM d WHERE len(l) = 0),
+g AS (SELECT x, y, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM e WHERE x IS DISTINCT FROM y OR x IS NULL GROUP BY x, y)
+SELECT documents, occurrences, count(*) AS n_edits FROM g GROUP BY documents, occurrences
+"""
+
+
+def equal_patches(spark, sf_dir):
+    """Documents whose edits are the same patch up to names, by the size of the class."""
+    made = api.canonical_patches(api.diff_pairs(_edited(spark, sf_dir), "src", "dst", "lines").select("doc_id", "patch"), "patch")
+    return made.groupBy("patch_digest").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_id")).select("first_id", "documents")
+
+
+# Every run of equal lines ends in an edit that names it, so that patches are the same for the same lines only.
+SQL["equal_patches"] = f"WITH {DOCS} SELECT min(doc_id) AS first_id, count(*) AS documents FROM d GROUP BY l"
+
+
+def applicable_patches(spark, sf_dir):
+    """Which edits of documents apply to which documents, each distinct one once, and what comes of it."""
+    docs = documents(spark, sf_dir).select("doc_id", joined(lines_of(F.col("text"))).alias("text")).where("text <> ''")
+    trees = stored(docs.groupBy("text").agg(F.min("doc_id").alias("tree_id")), "trees")
+    made = api.diff_pairs(_edited(spark, sf_dir).join(trees.select(F.col("tree_id").alias("doc_id")), "doc_id"), "src", "dst", "lines")
+    changes = stored(made.select(F.col("doc_id").alias("patch_id"), "patch"), "changes")
+    return api.applicable_patches(changes, trees, "lines").select("patch_id", "tree_id", "status", "result")
+
+
+SQL["applicable_patches"] = f"""
+WITH {DOCS}, t AS (SELECT min(doc_id) AS id, l FROM d WHERE array_to_string(l, chr(10)) <> '' GROUP BY l),
+p AS (SELECT id, l, list_transform(range(1, len(l) + 1), lambda i: coalesce(l[i + 1], 'the new last line')) AS n FROM t)
+SELECT p.id AS patch_id, t.id AS tree_id, 'success' AS status, array_to_string(list_transform(range(1, len(p.l) + 1), lambda i: CASE WHEN p.l[i] = p.n[i] THEN t.l[i] ELSE p.n[i] END), chr(10)) AS result
+FROM p JOIN t ON len(p.l) = len(t.l) AND p.l[-1] = t.l[-1] WHERE len(list_filter(range(1, len(p.l) + 1), lambda i: p.l[i] <> p.n[i] AND p.l[i] <> t.l[i])) = 0
+"""
+
+
 def lcs_lines(spark, sf_dir):
     def work(_, a, b):
         return {"n": kernels.lcs_length(a, b)}
@@ -474,7 +518,7 @@ SQL["parse_experiment"] = "SELECT count(*) FILTER (json_valid(props)) AS ok, cou
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
-        diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, distinct_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality,
+        diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, distinct_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality, distinct_edits, equal_patches, applicable_patches,
         lcs_lines, compose_chain_apply, version_ranges, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, four_diffs, golden_merge_rtree, dyck_parse, while_parse,
         stage_pivot, result_pivot, config_top3, config_grid, runtime_filter, language_filter, datapoint_rejects, parse_experiment,
     )
