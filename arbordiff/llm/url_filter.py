@@ -2,8 +2,8 @@
 
 Explicit rules: a rule fits its host and all subdomains if the url's path starts with the rule's path; the longest wins (two rules of one
 length that fit have the same host and path; block is stronger than allow).
-Mined rules: FP-growth finds the combinations of up to MOST_TOKENS URL tokens that are frequent among the bad urls (support); their share
-of bad urls among all labelled ones is then counted. A combination that mostly is bad (confidence) is a rule, unless a part of it is a
+Mined rules: single tokens are counted first, and what can't be in a larger rule goes; FP-growth then finds the combinations of up to
+MOST_TOKENS URL tokens that are frequent among the bad urls (support), and their share of bad urls among all labelled ones is counted. A combination that mostly is bad (confidence) is a rule, unless a part of it is a
 rule that is at least as confident. Rules are looked up through an inverted index: each is filed under one of its tokens, so that a url
 meets only rules that share a token with it.
 
@@ -18,10 +18,10 @@ import json
 from itertools import combinations
 
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arbordiff.llm.common import own_name, written
+from arbordiff.llm.common import numbered, own_name, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most tokens of a rule, and tokens that a transaction of FP-growth has at most (a multiple of MOST_TOKENS): with these a transaction
@@ -88,29 +88,48 @@ def transactions(tokens: Column) -> Column:
     return F.when(F.size(tokens) <= IN_TRANSACTION, F.array(tokens)).otherwise(cut)
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_count: int = 10, min_confidence: float = 0.9) -> list[dict]:
+def mine(labelled: DataFrame, min_support: float = 0.001, min_count: int = 10, min_confidence: float = 0.9) -> tuple[list[dict], dict[str, str]]:
     """labelled: (tokens array<string>, bad boolean). Rules as dicts of tokens, count, confidence: at least max(min_count, min_support of
     all labelled urls) bad urls have the tokens, and of the urls that have them at least min_confidence are bad. The number of rules is
-    bounded: a url has at most C(its tokens, MOST_TOKENS) combinations, and min_support of the urls must have one."""
-    labelled = written(labelled.where(F.size("tokens") > 0).select("tokens", F.coalesce("bad", F.lit(False)).alias("bad")), "labelled")
+    bounded: a url has at most C(its tokens, MOST_TOKENS) combinations, and min_support of the urls must have one.
+
+    Level by level: tokens alone are counted first. Rare ones among the bad urls are in no rule, and what only bad urls have is a rule that
+    no larger one can better; both go. Of tokens that are on exactly the same labelled urls the first stands for all; the second result
+    tells for each of the others which that is. What remains of the bad urls goes to FP-growth."""
+    labelled = numbered(labelled.where(F.size("tokens") > 0).select(F.array_distinct("tokens").alias("tokens"), F.coalesce("bad", F.lit(False)).alias("bad")), "row", "labelled")
     total = labelled.count()
     count = max(min_count, min_support * total)
-    items = written(labelled.where("bad").select(F.explode(transactions(F.col("tokens"))).alias("items")), "transactions")
-    if not (n := items.count()):
-        return []
-    # A combination is in at least as many transactions as urls, so that none is missed; what it really counts comes next.
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, count / n)).fit(items)
-    sets = model.freqItemsets.where(F.size("items") <= MOST_TOKENS).select(F.array_sort("items").alias("items")).collect()
-    met = labelled.select("bad", F.explode(matches(F.col("tokens"), [{"tokens": r["items"]} for r in sets])).alias("rule"))
-    counted = met.groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    counted = counted.where((F.col("bad") >= count) & (F.col("bad") >= min_confidence * F.col("n")))
-    found = {tuple(r.rule): (r.n, r.bad / r.n) for r in counted.collect()}
+    met = labelled.select("row", "bad", F.explode("tokens").alias("token"))
+    where = [F.sum(F.xxhash64("row", F.lit(k)).cast("decimal(38,0)")).alias(f"where{k}") for k in (0, 1)]  # on which urls a token is
+    known = met.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"), *where)
+    known = written(known.where(F.col("bad") >= count), "tokens")
+    single = known.where(F.col("bad") >= min_confidence * F.col("n")).select("token", "n", "bad").collect()
+    found = {(r.token,): (r.n, r.bad / r.n) for r in single}
+    same = Window.partitionBy("n", "bad", "where0", "where1")
+    open_ = written(known.where(F.col("bad") < F.col("n")).select("token", F.min("token").over(same).alias("first")), "open")
+    left = met.where("bad").join(open_.where(F.col("token") == F.col("first")), "token").groupBy("row").agg(F.sort_array(F.collect_set("token")).alias("items"))
+    items = written(left.select(F.explode(transactions(F.col("items"))).alias("items")), "transactions")
+    if n := items.count():
+        # A combination is in at least as many transactions as urls, so that none is missed; what it really counts comes next.
+        model = FPGrowth(itemsCol="items", minSupport=min(1.0, count / n)).fit(items)
+        sets = model.freqItemsets.where(F.size("items").between(2, MOST_TOKENS)).select(F.array_sort("items").alias("items")).collect()
+        held = labelled.select("bad", F.explode(matches(F.col("tokens"), [{"tokens": r["items"]} for r in sets])).alias("rule"))
+        counted = held.groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
+        counted = counted.where((F.col("bad") >= count) & (F.col("bad") >= min_confidence * F.col("n")))
+        found |= {tuple(r.rule): (r.n, r.bad / r.n) for r in counted.collect()}
     kept: dict[tuple, tuple] = {}
     for tokens in sorted(found, key=lambda t: (len(t), t)):
         parts = (p for size in range(1, len(tokens)) for p in combinations(tokens, size))
         if not any(p in kept and kept[p][1] >= found[tokens][1] for p in parts):
             kept[tokens] = found[tokens]
-    return [{"tokens": [*t], "count": n, "confidence": c} for t, (n, c) in kept.items()]
+    used = sorted({t for tokens in kept if len(tokens) > 1 for t in tokens})
+    others = open_.where(F.col("first").isin(used) & (F.col("token") != F.col("first"))).collect() if used else []
+    return [{"tokens": [*t], "count": n, "confidence": c} for t, (n, c) in kept.items()], {r.token: r.first for r in others}
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.001, min_count: int = 10, min_confidence: float = 0.9) -> list[dict]:
+    """The rules alone."""
+    return mine(labelled, min_support, min_count, min_confidence)[0]
 
 
 def matches(tokens: Column, rules: list[dict]) -> Column:
@@ -132,8 +151,12 @@ def matches(tokens: Column, rules: list[dict]) -> Column:
 def filter_urls(urls: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]], url_col: str = "url", min_support: float = 0.001, min_confidence: float = 0.9) -> DataFrame:
     """urls with host, path, rule, verdict and mined (the mined rules that hold) added; columns of these names are replaced.
     labels: (url, bad)."""
-    mined = mine_rules(labels.select(tokens_of(F.col("url")).alias("tokens"), "bad"), min_support, min_confidence=min_confidence)
+    mined, alike = mine(labels.select(tokens_of(F.col("url")).alias("tokens"), "bad"), min_support, min_confidence=min_confidence)
     url, fits = F.col(url_col), own_name(urls, "_fits")
-    out = urls.withColumn(fits, explicit_rule(host_of(url), path_of(url), rules)).withColumns({"host": host_of(url), "path": path_of(url), "mined": F.transform(matches(tokens_of(url), mined), lambda r: F.array_join(r, " & "))})
+    tokens = tokens_of(url)
+    if alike:
+        firsts = F.from_json(F.lit(json.dumps(alike)), "map<string, string>")
+        tokens = F.array_distinct(F.concat(tokens, F.array_compact(F.transform(tokens, lambda t: F.element_at(firsts, t)))))
+    out = urls.withColumn(fits, explicit_rule(host_of(url), path_of(url), rules)).withColumns({"host": host_of(url), "path": path_of(url), "mined": F.transform(matches(tokens, mined), lambda r: F.array_join(r, " & "))})
     verdict = F.coalesce(F.col(f"{fits}.verdict"), F.when(F.size("mined") > 0, "block").otherwise("allow"))
     return out.withColumns({"rule": F.col(f"{fits}.rule"), "verdict": verdict}).drop(fits)
