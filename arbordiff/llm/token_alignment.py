@@ -35,7 +35,7 @@ from arbordiff.llm.common import Shared, map_arrow, ranges, written
 
 #: Chunks that a worker remembers at most and their characters, the longest chunk remembered, transitions remembered, and characters of a
 #: portion of a text.
-REMEMBERED, REMEMBERED_CHARACTERS, LONGEST, TRANSITIONS, PORTION = 400_000, 8_000_000, 64, 1_000_000, 1 << 18
+REMEMBERED, REMEMBERED_CHARACTERS, LONGEST, TRANSITIONS, PORTION = 400_000, 8_000_000, 64, 1_000_000, 1 << 20
 #: Documents and distinct links of a block at most (a document is never cut).
 BLOCK_ROWS, BLOCK_LINKS = 2_048, 500_000
 #: Before a space or newline between two other characters. str.isspace() holds for all that either tokenizer takes for white space.
