@@ -110,14 +110,16 @@ def written(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> Da
     path = scratch(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     if instead_of is not None:
-        _remove(df.sparkSession, instead_of._path)
+        remove(instead_of)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._path = path
     return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+def remove(table: DataFrame) -> None:
+    """Removes a table that came from written() and isn't read any more."""
+    spark = table.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(table._path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
