@@ -17,8 +17,9 @@ def parse_trees(df: DataFrame, text_col: str, grammar: str) -> DataFrame:
 
 def tree_nodes(df: DataFrame, text_col: str, grammar: str, columns: list[str] | None = None) -> DataFrame:
     """The node table: a row for each node of each tree, with df's other columns. Texts without a tree have no rows. columns: those of
-    kernels.NODE that are wanted (None: all but kids, the children's digests); digests cost the most."""
-    return kernels.node_table(df, text_col, grammar, columns or [c for c in kernels.NODE if c != "kids"])
+    kernels.NODE that are wanted (None: kernels.PLAIN, all but kids, the children's digests, and parse_error); digests cost the most. With
+    parse_error a text without a tree has one row, which tells why."""
+    return kernels.node_table(df, text_col, grammar, columns or kernels.PLAIN)
 
 
 def diff_pairs(df: DataFrame, source_col: str, target_col: str, grammar: str, min_height: int = 1, mode: str = "nonest", global_scope: bool = False, seconds: float = 0, max_nodes: int = 0) -> DataFrame:

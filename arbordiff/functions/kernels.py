@@ -35,7 +35,8 @@ class OutOfTime(Exception):
 
 @contextmanager
 def budget(seconds: float):
-    """OutOfTime after so many seconds of a row's work (0: never). Off the main thread, where no alarm can be set, there is no limit."""
+    """OutOfTime after so many seconds of a row's work (0: never). Off the main thread, where no alarm can be set, there is no limit, and a
+    single call of C code (lcs_length's long integers) is over before the alarm is seen."""
     if not seconds or threading.current_thread() is not threading.main_thread():
         yield
         return
@@ -90,11 +91,37 @@ def add_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], work:
     return source.mapInArrow(kernel, schema)
 
 
+def add_rows(df: DataFrame, inputs: list[str], outputs: dict[str, str], works: Callable[..., list[Callable[[], dict]]], seconds: float = 0) -> DataFrame:
+    """df with columns as add_columns() makes them, and a row for each of the works that works(space, *inputs) prepares: what they share
+    is done once. Each has the limit of seconds and gets the status of its own; what goes wrong in preparing is the status of one row."""
+    bounded_batches(df.sparkSession)
+    kept = [c for c in df.columns if c not in outputs]
+    schema = ", ".join([f"`{c}` {t}" for c, t in df.select(kept).dtypes] + [f"`{c}` {t}" for c, t in outputs.items()])
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(inputs)]).alias("_in"))
+    registered = registry()
+
+    def each(*args) -> list[dict]:
+        found = guarded(lambda: {"works": works(*args)}, outputs, seconds)()
+        return [guarded(w, outputs, seconds)() for w in found["works"]] if "works" in found else [found]
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        install(*registered)
+        for b in batches:
+            rows = [each(Space(), *r.values()) for r in b.column(len(kept)).to_pylist()]
+            at = pa.array([i for i, found in enumerate(rows) for _ in found], pa.int64())
+            flat = [r for found in rows for r in found]
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(kept))), *(pa.array([r.get(c) for r in flat], ARROW[t]) for c, t in outputs.items())], [*kept, *outputs])
+
+    return source.mapInArrow(kernel, schema)
+
+
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "map<string,long>": pa.map_(pa.string(), pa.int64())}
-NODE = {"node_id": "int", "parent_id": "int", "ord": "int", "depth": "int", "last_id": "int", "kind": "string", "dtype": "string", "con": "string", "prim_type": "string", "prim_val": "string", "height": "int", "size": "int", "digest": "string", "kids": "array<string>"}
+NODE = {"node_id": "int", "parent_id": "int", "ord": "int", "depth": "int", "last_id": "int", "kind": "string", "dtype": "string", "con": "string", "prim_type": "string", "prim_val": "string", "height": "int", "size": "int", "digest": "string", "kids": "array<string>", "parse_error": "string"}
+#: What a node table has unless told otherwise.
+PLAIN = [c for c in NODE if c not in ("kids", "parse_error")]
 
 
-def _parsed(space: Space, name: str, *texts: str | None):
+def parsed(space: Space, name: str, *texts: str | None):
     parse = grammar(name)
     return [parse(space, t) if t is not None else _missing() for t in texts]
 
@@ -105,14 +132,15 @@ def _missing():
 
 def parse_row(space: Space, name: str, text: str | None) -> dict:
     try:
-        [t] = _parsed(space, name, text)
+        [t] = parsed(space, name, text)
     except ParseError as e:
         return {"parse_error": str(e)}
     return {"ast": encode(t), "height": t.height, "n_nodes": t.size}
 
 
 def node_table(df: DataFrame, text_col: str, name: str, columns: list[str]) -> DataFrame:
-    """A row for each node of each tree, with the other columns of df; texts without a tree have none. Trees of lines need no parser."""
+    """A row for each node of each tree, with the other columns of df; a text without a tree has none or, if parse_error is among the
+    columns, one that tells why and has no node. Trees of lines need no parser."""
     if grammar(name) is lines:
         return line_nodes(df, text_col, columns)
     bounded_batches(df.sparkSession)
@@ -126,13 +154,18 @@ def node_table(df: DataFrame, text_col: str, name: str, columns: list[str]) -> D
             rows, found = [], {c: [] for c in columns}
             for i, text in enumerate(b.column(len(kept)).to_pylist()):
                 try:
-                    [t] = _parsed(Space(), name, text)
+                    [t] = parsed(Space(), name, text)
                     nodes = node_columns(t, wanted)
-                except Exception:  # a row's fault is that it has no nodes; parse_trees tells why
+                except Exception as e:  # a row's fault is its result, never the task's
+                    if "parse_error" in wanted:
+                        why = str(e) if isinstance(e, ParseError) else f"{type(e).__name__}: {e}"
+                        rows.append((i, 1))
+                        for c in columns:
+                            found[c].append(why.encode(errors="replace").decode() if c == "parse_error" else None)
                     continue
                 rows.append((i, t.size))
-                for c, values in nodes.items():
-                    found[c] += values
+                for c in columns:
+                    found[c] += nodes[c] if c in nodes else [None] * t.size
                 if len(rows) and sum(n for _, n in rows) > 100_000:
                     yield flushed(b, rows, found)
                     rows, found = [], {c: [] for c in columns}
@@ -154,9 +187,13 @@ def _too_large(options: Options, *trees) -> dict | None:
 def diff_row(space: Space, name: str, source: str | None, target: str | None, options: Options) -> dict:
     """patch, counts, costs, CPU seconds of difference and alignment, and the text or tree that the patch makes of the source."""
     try:
-        a, b = _parsed(space, name, source, target)
+        a, b = parsed(space, name, source, target)
     except ParseError as e:
         return {"status": "parse-error", "error": str(e)}
+    return diff_trees(space, name, a, b, options)
+
+
+def diff_trees(space: Space, name: str, a, b, options: Options) -> dict:
     if large := _too_large(options, a, b):
         return large
     began = time.process_time()
@@ -180,8 +217,8 @@ DIFF = {"status": "string", "error": "string", "patch": "string", "n_changes": "
 
 def merge_row(space: Space, name: str, a: str | None, o: str | None, b: str | None, expected: str | None, options: Options) -> dict:
     try:
-        a, o, b = _parsed(space, name, a, o, b)
-        want = _parsed(space, name, expected)[0] if expected is not None else None
+        a, o, b = parsed(space, name, a, o, b)
+        want = parsed(space, name, expected)[0] if expected is not None else None
     except ParseError as e:
         return {"status": "parse-error", "error": str(e)}
     if large := _too_large(options, a, o, b):
@@ -200,7 +237,7 @@ MERGE = {"status": "string", "error": "string", "merged": "string", "labels": "a
 def chain_row(space: Space, name: str, versions: list, options: Options) -> dict:
     """The patches between neighbouring versions, composed from the left, applied to the first version."""
     try:
-        trees = _parsed(space, name, *versions) if versions else _missing()
+        trees = parsed(space, name, *versions) if versions else _missing()
     except (ParseError, TypeError) as e:
         return {"status": "parse-error", "error": str(e)}
     try:
@@ -221,7 +258,7 @@ CHAIN = {"status": "string", "error": "string", "patch": "string", "result": "st
 def patch_row(space: Space, name: str, source: str | None, target: str | None, options: Options) -> dict:
     """The patch alone."""
     try:
-        a, b = _parsed(space, name, source, target)
+        a, b = parsed(space, name, source, target)
     except ParseError as e:
         return {"status": "parse-error", "error": str(e)}
     return {"status": "success", "patch": patches.encode_patch(patches.diff(space, a, b, options))}
@@ -250,7 +287,7 @@ def chain_patches_row(space: Space, chain: list | None) -> dict:
 
 def apply_row(space: Space, name: str, patch: str | None, text: str | None) -> dict:
     try:
-        [t] = _parsed(space, name, text)
+        [t] = parsed(space, name, text)
         p = patches.decode_patch(space, patch) if patch is not None else _missing()
     except ParseError as e:
         return {"status": "parse-error", "error": str(e)}
@@ -295,20 +332,30 @@ def lcs_length(a: list, b: list) -> int:
     return len(a) - v.bit_count()
 
 
-def register_sql(spark: SparkSession) -> None:
+def register_sql(spark: SparkSession, seconds: float = 0) -> None:
     """tree_ast(grammar, text), tree_diff(grammar, a, b), tree_apply(grammar, patch, text), tree_merge(grammar, a, o, b) for Spark SQL.
-    Results are JSON but for tree_ast's s-expression."""
+    Results are JSON but for tree_ast's s-expression (null where there is none). seconds: limit of a row (0: none)."""
     options = Options()
 
     def ast_text(name, text):
         row = parse_row(space := Space(), name, text)
         return render(space.decode(row["ast"])) if "ast" in row else None
 
+    registered = registry()
+
+    def found(work, outputs: dict[str, str], *args) -> dict:
+        install(*registered)
+        return guarded(work, outputs, seconds)(Space(), *args)
+
+    def row(work, outputs: dict[str, str]):
+        """work's row as JSON; what goes wrong is its status."""
+        return lambda *args: json.dumps(found(work, outputs, *args))
+
     functions = {
-        "tree_ast": ast_text,
-        "tree_diff": lambda g, a, b: json.dumps(diff_row(Space(), g, a, b, options)),
-        "tree_apply": lambda g, p, t: json.dumps(apply_row(Space(), g, p, t)),
-        "tree_merge": lambda g, a, o, b: json.dumps(merge_row(Space(), g, a, o, b, None, options)),
+        "tree_ast": lambda name, text: found(lambda s: {"text": ast_text(name, text)}, {"status": "string"}).get("text"),
+        "tree_diff": row(lambda s, g, a, b: diff_row(s, g, a, b, options), DIFF),
+        "tree_apply": row(apply_row, APPLY),
+        "tree_merge": row(lambda s, g, a, o, b: merge_row(s, g, a, o, b, None, options), MERGE),
     }
     for name, f in functions.items():
         spark.udf.register(name, F.udf(f, "string", useArrow=True))

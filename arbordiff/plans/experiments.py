@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbordiff.api import diff_pairs, merge_triples, parse_trees
-from arbordiff.operators.patches import MODES
+from arbordiff.functions import kernels
+from arbordiff.operators.patches import MODES, Options
+from arbordiff.operators.terms import Space
+from arbordiff.sources.grammars import ParseError
 
 #: Results that a merge can end with, beside those that count as other.
 RESULTS = ("success", "mdiff", "conf", "apply-fail", "other")
@@ -50,12 +53,27 @@ def datapoints(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def diff_grid(pairs: DataFrame, grammar: str, heights: tuple[int, ...] = (1, 6), modes: tuple[str, ...] = MODES, scopes: tuple[str, ...] = ("local", "global"), seconds: float = DIFF_SECONDS) -> DataFrame:
-    """Rows (src, dst and others) once for each configuration: height, mode, scope and diff_pairs' columns."""
-    out = []
-    for height, mode, scope in product(heights, modes, scopes):
-        found = diff_pairs(pairs, "src", "dst", grammar, height, mode, scope == "global", seconds)
-        out.append(found.withColumns({"height": F.lit(height), "mode": F.lit(mode), "scope": F.lit(scope)}))
-    return reduce(DataFrame.unionByName, out)
+    """Rows (src, dst and others) once for each configuration: height, mode, scope and diff_pairs' columns. Each pair is read and parsed
+    once for all configurations; one without trees has one row, without a configuration."""
+    grid = [*product(heights, modes, scopes)]
+
+    def works(space: Space, source: str | None, target: str | None) -> list:
+        try:
+            a, b = kernels.parsed(space, grammar, source, target)
+        except ParseError as e:
+            failed = {"status": "parse-error", "error": str(e)}
+            return [lambda: failed]
+
+        def one(height: int, mode: str, scope: str) -> dict:
+            return kernels.diff_trees(space, grammar, a, b, Options(height, mode, scope == "global"))
+
+        def told(height: int, mode: str, scope: str):
+            run = kernels.guarded(one, kernels.DIFF, seconds)
+            return lambda: run(height, mode, scope) | {"height": height, "mode": mode, "scope": scope}
+
+        return [told(*g) for g in grid]
+
+    return kernels.add_rows(pairs, ["src", "dst"], {"height": "int", "mode": "string", "scope": "string"} | kernels.DIFF, works)
 
 
 def four_diffs(triples: DataFrame, grammar: str, seconds: float = DIFF_SECONDS, **options) -> DataFrame:
@@ -124,6 +142,6 @@ def candidate_pairs(docs: DataFrame, min_length: int = 20, id_col: str = "doc_id
 
 
 def locate(names: DataFrame, first: str, second: str, name_col: str = "name") -> DataFrame:
-    """The rows whose name has both fragments, and whether that is a single one."""
+    """The rows whose name has both fragments, and whether that is a single one (a subquery; nothing runs before the result is asked for)."""
     found = names.where(F.contains(F.col(name_col), F.lit(first)) & F.contains(F.col(name_col), F.lit(second)))
-    return found.withColumn("single", F.lit(found.limit(2).count() == 1))
+    return found.withColumn("single", found.limit(2).agg(F.count("*") == 1).scalar())

@@ -58,12 +58,12 @@ def shape(text: Column) -> tuple[Column, Column]:
 
 
 #: Columns of a node table that need no digests, and those that hold a string for each node.
-TYPES = {"node_id": "int", "parent_id": "int", "ord": "int", "depth": "int", "last_id": "int", "kind": "string", "dtype": "string", "con": "string", "prim_type": "string", "prim_val": "string", "height": "int", "size": "int", "digest": "string", "kids": "array<string>"}
+TYPES = {"node_id": "int", "parent_id": "int", "ord": "int", "depth": "int", "last_id": "int", "kind": "string", "dtype": "string", "con": "string", "prim_type": "string", "prim_val": "string", "height": "int", "size": "int", "digest": "string", "kids": "array<string>", "parse_error": "string"}
 
 
 def line_nodes(df: DataFrame, text_col: str, columns: list[str], lists_only: bool = False) -> DataFrame:
-    """df's other columns and the node table of its texts' trees, as the kernel gives it; null texts have no rows. lists_only: leaves out
-    the nodes of single lines, which are never higher than 1."""
+    """df's other columns and the node table of its texts' trees, as the kernel gives it; null texts have no rows or, with parse_error
+    among the columns, one. lists_only: leaves out the nodes of single lines, which are never higher than 1."""
     kept = [c for c in df.columns if c != text_col and c not in columns]
     own = "_lines" + "_" * max(map(len, df.columns))
     source = df.where(F.col(f"`{text_col}`").isNotNull()).select(*[F.col(f"`{c}`") for c in kept], lines_of(F.col(f"`{text_col}`")).alias(own))
@@ -101,4 +101,9 @@ def line_nodes(df: DataFrame, text_col: str, columns: list[str], lists_only: boo
         return F.array(node(**cell)) if lists_only else F.array(node(**cell), node(**line), node(**text))
 
     whole = F.concat(F.array(node(**root)), F.flatten(F.transform(lines, cells)), F.array(node(**empty)))
-    return source.select(*[F.col(f"`{c}`") for c in kept], F.inline(whole))
+    out = source.select(*[F.col(f"`{c}`") for c in kept], F.inline(whole))
+    if "parse_error" in columns:
+        missing = df.where(F.col(f"`{text_col}`").isNull())
+        why = [F.lit("there is no text" if c == "parse_error" else None).cast(TYPES[c]).alias(c) for c in columns]
+        out = out.unionByName(missing.select(*[F.col(f"`{c}`") for c in kept], *why))
+    return out

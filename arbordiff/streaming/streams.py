@@ -9,26 +9,29 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from arbordiff.functions.kernels import diff_row
+from arbordiff.functions.kernels import DIFF, diff_row, guarded
 from arbordiff.operators.patches import Options
 from arbordiff.operators.terms import Space
+from arbordiff.sources.grammars import install, registry
 
 
-def version_diffs(stream: DataFrame, key: str, order: str, text: str, grammar: str, idle_ms: int = 0, min_height: int = 1, mode: str = "nonest") -> DataFrame:
+def version_diffs(stream: DataFrame, key: str, order: str, text: str, grammar: str, idle_ms: int = 0, min_height: int = 1, mode: str = "nonest", seconds: float = 0) -> DataFrame:
     """(key, order, status, n_changes, cost, patch): each version of a key against the one before it, in the order of the column `order`
     within a batch and of arrival between batches; the first version of a key has status 'first'. State: one text for each key, dropped
-    after idle_ms milliseconds without a version (0: never)."""
+    after idle_ms milliseconds without a version (0: never). seconds: limit of a difference, as for diff_pairs."""
     kinds = dict(stream.dtypes)
     options = Options(min_height, mode)
+    compare, registered = guarded(lambda a, b: diff_row(Space(), grammar, a, b, options), DIFF, seconds), registry()
 
     def work(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
+        install(*registered)
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         before, out = (state.get[0] if state.exists else None), []
         for place, now in zip(rows[order], rows[text], strict=True):
-            found = {"status": "first"} if before is None else diff_row(Space(), grammar, before, now, options)
+            found = {"status": "first"} if before is None else compare(before, now)
             out.append((k[0], place, found["status"], found.get("n_changes"), found.get("cost"), found.get("patch")))
             before = now if now is not None else before
         if before is not None:
