@@ -19,6 +19,7 @@ summed and joined with the counts; a block's documents then meet their dictionar
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
 import os
@@ -86,58 +87,62 @@ class SideB:
 
 
 class Transducer:
-    """States: 0 (nothing left over) or the number of (does A lead, bytes by which it leads)."""
+    """States: 0 (nothing left over), n > 0 if A leads, and -n if B does, by the bytes of number n."""
 
     def __init__(self, a: list[bytes], b: list[bytes]):
         self.a, self.b = a, b
+        self.a_text, self.b_text = ([str(i) for i in range(len(side))] for side in (a, b))
         self._forget()
 
     def _forget(self) -> None:
-        self.number, self.states, self.moves = {}, [(False, b"")], {}
+        self.number, self.left, self.size = {}, [b""], 0
+        self.moves: dict[int, dict[int, int]] = {0: {}}  # state -> token -> state
 
     def _state(self, a_leads: bool, left: bytes) -> int:
         if not left:
             return 0
-        if (n := self.number.setdefault((a_leads, left), len(self.states))) == len(self.states):
-            self.states.append((a_leads, left))
-        return n
+        if (n := self.number.setdefault(left, len(self.left))) == len(self.left):
+            self.left.append(left)
+            self.moves[n], self.moves[-n] = {}, {}
+        return n if a_leads else -n
 
     def _move(self, state: int, token: int) -> int:
-        a_leads, left = self.states[state]
-        if not state:
-            return self._state(True, self.a[token])
-        read = (self.b if a_leads else self.a)[token]
+        """Where the state goes with the next token of the side that doesn't lead, or of A if none does."""
+        left, self.size = self.left[abs(state)], self.size + 1
+        read = (self.b if state > 0 else self.a)[token]
         if left.startswith(read):
-            return self._state(a_leads, left[len(read) :])
+            return self._state(state > 0, left[len(read) :])
         if not read.startswith(left):
             raise ValueError("the sides differ")
-        return self._state(not a_leads, read[len(left) :])
+        return self._state(state <= 0, read[len(left) :])
 
     def align(self, a: list[int], b: list[int]) -> tuple[list[int], list[str]]:
-        """(links as a << 32 | b, groups as 'a1,a2|b1') of tokens that spell the same bytes."""
-        if len(self.moves) > TRANSITIONS:
+        """(links as a << 32 | b, groups as 'a1,a2|b1'). ValueError or IndexError if the tokens don't spell the same bytes."""
+        if self.size > TRANSITIONS:
             self._forget()
-        links, groups, i, j, state, moves = [], [], 0, 0, 0, self.moves
-        from_a = from_b = 0
+        moves, a_text, b_text, links, groups, i, j = self.moves, self.a_text, self.b_text, [], [], 0, 0
         while i < len(a):
-            if state:
-                raise AssertionError("a group is open")
-            token = a[i]
-            i += 1
-            while True:
-                if (after := moves.get((state, token))) is None:
-                    after = moves[state, token] = self._move(state, token)
-                if not (state := after):
-                    break
-                if self.states[state][0]:
+            from_a, from_b, state = i, j, 0
+            while True:  # one group
+                if state > 0:
                     token = b[j]
                     j += 1
                 else:
                     token = a[i]
                     i += 1
-                links.append(a[i - 1] << 32 | b[j - 1])
-            groups.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-            from_a, from_b = i, j
+                    high = token << 32
+                if state:
+                    links.append(high | b[j - 1])
+                row = moves[state]
+                if (after := row.get(token)) is None:
+                    after = row[token] = self._move(state, token)
+                if not (state := after):
+                    break
+            left = a_text[a[from_a]] if i - from_a == 1 else ",".join([a_text[x] for x in a[from_a:i]])
+            right = b_text[b[from_b]] if j - from_b == 1 else ",".join([b_text[x] for x in b[from_b:j]])
+            groups.append(f"{left}|{right}")
+        if j < len(b):
+            raise ValueError("the sides differ")
         return links, groups
 
 
@@ -156,12 +161,13 @@ class Aligner:
     def _aligned(self, chunks: list[str]) -> list[tuple | None]:
         """For each chunk with what stands before it: (tokens of A, of B, links, groups), or None if a side doesn't spell it."""
         out: list[tuple | None] = []
+        spelled = self.a.bytes
         for chunk, a, b in zip(chunks, self.a.encode(chunks), self.b.encode(chunks), strict=True):
-            text = chunk.encode()
-            if b"".join([self.a.bytes[i] for i in a]) == text == b"".join([self.b.bytes[i] for i in b]):
-                out.append((len(a), len(b), *self.transducer.align(a, b)))
-            else:
-                out.append(None)
+            found = None
+            if b"".join([spelled[i] for i in a]) == chunk.encode():
+                with contextlib.suppress(ValueError, IndexError):  # the transducer tells whether B spells the same
+                    found = len(a), len(b), *self.transducer.align(a, b)
+            out.append(found)
         return out
 
     def _learn(self, new: list[str]) -> None:
@@ -180,15 +186,19 @@ class Aligner:
         if len(self.number) > REMEMBERED or self.characters > REMEMBERED_CHARACTERS:
             self._forget()
         cut = [_chunks(t, f) for t, f in zip(texts, first, strict=True)]
-        # what is long is aligned where it is and not remembered
-        long = dict.fromkeys(c for cs in cut for c in cs if len(c) > LONGEST)
-        if long:
-            long = dict(zip(long, self._aligned([c if c[0] in " \n" else " " + c for c in long]), strict=True))
-        if new := list(dict.fromkeys(c for cs in cut for c in cs if c not in self.number and c not in long)):
-            self._learn(new)
+        found = [np.fromiter(map(self.number.get, cs, repeat(-1)), np.int64, len(cs)) for cs in cut]
+        missing = [np.flatnonzero(n < 0).tolist() for n in found]
+        long: dict[str, tuple | None] = {}
+        if new := list(dict.fromkeys(cs[k] for cs, ks in zip(cut, missing, strict=True) for k in ks)):
+            # what is long is aligned where it is and not remembered
+            long = dict.fromkeys(c for c in new if len(c) > LONGEST)
+            if long:
+                long = dict(zip(long, self._aligned([c if c[0] in " \n" else " " + c for c in long]), strict=True))
+            self._learn([c for c in new if c not in long])
+            for n, cs, ks in zip(found, cut, missing, strict=True):
+                n[ks] = [self.number.get(cs[k], -1) for k in ks]
         out: list[tuple | None] = []
-        for cs in cut:
-            numbers = np.fromiter(map(self.number.get, cs, repeat(-1)), np.int64, len(cs))
+        for cs, numbers in zip(cut, found, strict=True):
             known = numbers[numbers >= 0]
             counts = self.counts[known]
             rest = [long[c] for c in cs if c in long] if long and len(known) < len(cs) else []
