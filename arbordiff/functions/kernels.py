@@ -333,8 +333,8 @@ def lcs_length(a: list, b: list) -> int:
 
 
 def register_sql(spark: SparkSession, seconds: float = 0) -> None:
-    """tree_ast(grammar, text), tree_diff(grammar, a, b), tree_apply(grammar, patch, text), tree_merge(grammar, a, o, b) for Spark SQL.
-    Results are JSON but for tree_ast's s-expression (null where there is none). seconds: limit of a row (0: none)."""
+    """tree_ast(grammar, text), tree_diff(grammar, a, b), tree_apply(grammar, patch, text), tree_merge(grammar, a, o, b) for Spark SQL,
+    and the table function tree_nodes(grammar, text), to be joined with LATERAL: the node table of each row's text. Results are JSON but for tree_ast's s-expression (null where there is none). seconds: limit of a row (0: none)."""
     options = Options()
 
     def ast_text(name, text):
@@ -359,3 +359,12 @@ def register_sql(spark: SparkSession, seconds: float = 0) -> None:
     }
     for name, f in functions.items():
         spark.udf.register(name, F.udf(f, "string", useArrow=True))
+
+    class TreeNodes:
+        def eval(self, name: str, text: str):
+            install(*registered)
+            found = guarded(lambda: {"nodes": node_columns(parsed(Space(), name, text)[0], frozenset(PLAIN))}, {"status": "string"}, seconds)()
+            if "nodes" in found:  # as in a node table, a text without a tree has no rows
+                yield from zip(*(found["nodes"][c] for c in PLAIN), strict=True)
+
+    spark.udtf.register("tree_nodes", F.udtf(TreeNodes, returnType=", ".join(f"{c} {NODE[c]}" for c in PLAIN), useArrow=True))

@@ -428,6 +428,21 @@ def _reader(name: str, template: tuple[str, str, str]):
 SQL |= {f"{n}_parse": "SELECT p_partkey, CAST(p_partkey + p_size AS BIGINT) AS total, CAST(2 AS BIGINT) AS numbers FROM part" for n in ("clj", "py", "json", "dyck_loc", "lua", "js", "java", "sh")}
 
 
+def sql_tree_nodes(spark, sf_dir):
+    """The table function over documents, in SQL: cells, lines, depth and the least and greatest line of each tree."""
+    kernels.register_sql(spark)
+    return spark.sql(
+        """SELECT doc_id, count_if(con = ':') AS cells, count_if(con = 'Line') AS lines, CAST(max(depth) AS BIGINT) AS depth, min(prim_val) AS least, max(prim_val) AS greatest
+           FROM {docs} AS d, LATERAL tree_nodes('lines', d.text) AS n GROUP BY doc_id""",
+        docs=documents(spark, sf_dir),
+    )
+
+
+SQL["sql_tree_nodes"] = f"""
+WITH {DOCS} SELECT doc_id, CAST(len(l) AS BIGINT) AS cells, CAST(len(l) AS BIGINT) AS lines, CAST(CASE WHEN len(l) = 0 THEN 1 ELSE len(l) + 2 END AS BIGINT) AS depth, list_min(l) AS least, list_max(l) AS greatest FROM d
+"""
+
+
 def stage_pivot(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("stage"), F.col("l_partkey").alias("blob"))
     return experiments.stage_pivot(rows)
@@ -519,7 +534,7 @@ SQL["parse_experiment"] = "SELECT count(*) FILTER (json_valid(props)) AS ok, cou
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, distinct_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality, distinct_edits, equal_patches, applicable_patches,
-        lcs_lines, compose_chain_apply, version_ranges, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, four_diffs, golden_merge_rtree, dyck_parse, while_parse,
+        lcs_lines, compose_chain_apply, version_ranges, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, four_diffs, golden_merge_rtree, dyck_parse, while_parse, sql_tree_nodes,
         stage_pivot, result_pivot, config_top3, config_grid, runtime_filter, language_filter, datapoint_rejects, parse_experiment,
     )
     out = {f.__name__: f for f in plain}

@@ -74,3 +74,11 @@ def test_locate_runs_nothing_by_itself(spark):
     one, two = experiments.locate(names, "x", "c"), experiments.locate(names, "a", "b")
     assert jobs() == before
     assert [r.single for r in one.collect()] == [True] and [r.single for r in two.collect()] == [False, False]
+
+
+def test_table_function_is_the_node_table(spark):
+    kernels.register_sql(spark)
+    frame = spark.createDataFrame([(1, "a[b,c[d]]"), (2, "a["), (3, None), (4, "x")], "tree_id int, text string")
+    for grammar in ("rtree", "lines"):
+        got = spark.sql("SELECT tree_id, n.* FROM {t} AS t, LATERAL tree_nodes('" + grammar + "', t.text) AS n", t=frame)
+        assert sorted(map(str, got.collect())) == sorted(map(str, api.tree_nodes(frame, "text", grammar).collect()))
