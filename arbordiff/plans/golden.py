@@ -31,3 +31,21 @@ CASES = (
     (26, "x[C[c],D,A,B]", "x[A,B,C[c],D]", "x[C'[c],A,B,D,E]", None, None),
     (27, "x[C,B,A]", "x[A,B,C]", "x[A',B',C']", "x[C',B',A']", "x[C',B',A']"),
 )
+
+#: One conflict of each kind: (label, grammar, mode, a, o, b), with shared parts of any height. prm-chg is not among them: a permuted variable
+#: stands once on either side of a difference, so that no second finding about it can contradict the first.
+CONFLICTS = [
+    ("failed-contr", "rtree", "nonest", "a[b,b]", "a[d]", "a[z]"),
+    ("ins-ins", "rtree", "nonest", "a[d,d]", "a[d]", "e[a,d]"),
+    ("chg-dup", "rtree", "proper", "b[z]", "b[b]", "b[b,b]"),
+    ("del-del", "while", "nonest", "x := a + 1;", "x := (a + 1) * (b + 2);", "x := b + 2;"),
+    ("del-mod", "rtree", "patience", "c", "c[c,c]", "c[c]"),
+    ("del-spn", "rtree", "nonest", "b[b]", "b[b,b]", "b[y]"),
+    ("inst-contr", "rtree", "proper", "b[a,y]", "b[a]", "b"),
+    ("inst-mod", "rtree", "nonest", "d", "a[d]", "a"),
+    ("inst-perm", "rtree", "nonest", "b[c,b]", "b[b,c]", "b"),
+    ("inst-ins", "rtree", "nonest", "c[c,c]", "c[c]", "c"),
+    ("inst-del", "rtree", "nonest", "b", "b[c,b]", "b[b]"),
+    ("mov-mov", "rtree", "proper", "b[a]", "b[b[a],a]", "b[b[a]]"),
+    ("not-eq", "rtree", "nonest", "z", "b", "y"),
+]

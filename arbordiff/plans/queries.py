@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from arbordiff.operators import patches, sharing, store, versions
 from arbordiff.operators.patches import MODES, Options
 from arbordiff.operators.store import Store
 from arbordiff.plans import experiments
-from arbordiff.plans.golden import CASES
+from arbordiff.plans.golden import CASES, CONFLICTS
 from arbordiff.sources.grammars import grammar
 from arbordiff.sources.line_trees import lines_of, shape
 from arbordiff.sources.tables import stored
@@ -361,6 +362,22 @@ FROM n, (VALUES ('disjoint'), ('conflict'), ('same')) AS k(kind)
 """
 
 
+def merge_labels(spark, sf_dir):
+    """Trees named after parts, edited such that each kind of conflict comes up."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"))
+    found = []
+    for name, mode in sorted({(g, m) for _, g, m, *_ in CONFLICTS}):
+        cases = F.array(*[F.struct(F.lit(label).alias("case"), *[F.lit(t).alias(c) for c, t in zip("aob", texts, strict=True)]) for label, g, m, *texts in CONFLICTS if (g, m) == (name, mode)])
+        own = [F.regexp_replace(F.col(f"x.{c}"), F.lit("([a-z])"), F.concat(F.lit("$1"), F.col("key"))).alias(c) for c in "aob"]
+        triples = part.select("key", F.explode(cases).alias("x")).select("key", "x.case", *own)
+        found.append(api.merge_triples(triples, "a", "o", "b", name, min_height=0, mode=mode))
+    out = reduce(DataFrame.unionByName, found)
+    return out.groupBy("case", "status", F.get("labels", F.lit(0)).alias("label")).agg(F.count("*").alias("n"))
+
+
+SQL["merge_labels"] = f"SELECT c AS case, 'conflicting' AS status, c AS label, count(*) AS n FROM part, (VALUES {', '.join(f"('{c[0]}')" for c in CONFLICTS)}) AS x(c) GROUP BY c"
+
+
 def four_diffs(spark, sf_dir):
     out = experiments.four_diffs(_triples(spark, sf_dir, "disjoint").drop("kind"), "lines")
     return out.groupBy("leg", "status").agg(F.count("*").alias("n"))
@@ -534,7 +551,7 @@ SQL["parse_experiment"] = "SELECT count(*) FILTER (json_valid(props)) AS ok, cou
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, distinct_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality, distinct_edits, equal_patches, applicable_patches,
-        lcs_lines, compose_chain_apply, version_ranges, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, four_diffs, golden_merge_rtree, dyck_parse, while_parse, sql_tree_nodes,
+        lcs_lines, compose_chain_apply, version_ranges, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, merge_labels, four_diffs, golden_merge_rtree, dyck_parse, while_parse, sql_tree_nodes,
         stage_pivot, result_pivot, config_top3, config_grid, runtime_filter, language_filter, datapoint_rejects, parse_experiment,
     )
     out = {f.__name__: f for f in plain}
