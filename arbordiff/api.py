@@ -39,6 +39,12 @@ def compose_chain(df: DataFrame, versions_col: str, grammar: str, min_height: in
     return kernels.add_columns(df, [versions_col], kernels.CHAIN, lambda s, v: kernels.chain_row(s, grammar, v, options))
 
 
+def show_pairs(df: DataFrame, source_col: str, target_col: str, grammar: str, width: int = 80) -> DataFrame:
+    """df with tree_text and patch_text: the source's tree and the patch to the target (null without one), over lines of at most `width`
+    characters where nothing single is longer; parse_error where there is no tree."""
+    return kernels.add_columns(df, [source_col, target_col], kernels.SHOW, lambda s, a, b: kernels.show_row(s, grammar, a, b, width))
+
+
 def canonical_patches(df: DataFrame, patch_col: str) -> DataFrame:
     """df with patch_digest, edit_digests and edits: patches (and the changes in them that aren't copies) that differ in the names of
     variables alone have equal digests, so that they meet by grouping; edits are the changes as text with canonical names."""

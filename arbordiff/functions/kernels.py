@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbordiff.operators import alignment, merging, patches
+from arbordiff.operators import alignment, layout, merging, patches
 from arbordiff.operators.patches import Options
 from arbordiff.operators.terms import Space, encode, node_columns, render
 from arbordiff.sources.grammars import ParseError, grammar, install, lines, registry, unparser
@@ -308,6 +308,19 @@ def composes_row(space: Space, second: str | None, first: str | None) -> dict:
     return {"composes": patches.patch_composes(space, patches.decode_patch(space, second), patches.decode_patch(space, first))}
 
 
+def show_row(space: Space, name: str, source: str | None, target: str | None, width: int) -> dict:
+    """The tree of source and, with a target, the patch to it, over lines of at most `width` characters."""
+    try:
+        trees = parsed(space, name, source, *([target] if target is not None else []))
+    except ParseError as e:
+        return {"parse_error": str(e)}
+    out = {"tree_text": layout.pretty(trees[0], width)}
+    return out if target is None else out | {"patch_text": layout.pretty(patches.diff(space, *trees, Options()), width)}
+
+
+SHOW = {"tree_text": "string", "patch_text": "string", "parse_error": "string"}
+
+
 def canonical_row(space: Space, patch: str | None) -> dict:
     """Digests of the patch as one change and of each of its changes that isn't a copy, equal up to the names of variables."""
     if patch is None:

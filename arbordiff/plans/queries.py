@@ -266,6 +266,20 @@ FROM p JOIN t ON len(p.l) = len(t.l) AND p.l[-1] = t.l[-1] WHERE len(list_filter
 """
 
 
+def shown_patches(spark, sf_dir):
+    """Trees and patches of parts as text, over lines of at most 24 characters."""
+    key = F.col("p_partkey").cast("string")
+    part = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("part"), key, F.lit("[old"), key, F.lit("]")).alias("src"), F.concat(F.lit("part"), key, F.lit("[new"), key, F.lit("]")).alias("dst"))
+    return api.show_pairs(part, "src", "dst", "rtree", width=24).select("p_partkey", "tree_text", "patch_text")
+
+
+SQL["shown_patches"] = """
+SELECT p_partkey, array_to_string(['(:>:', '  "part' || p_partkey || '"', '  (:', '    (:>: "old' || p_partkey || '" [])', '    []))'], chr(10)) AS tree_text,
+       array_to_string(['(:>:', '  {{- #0 -} {+ #0 +}}', '  (:', '    (:>:', '      {{-', '        "old' || p_partkey || '"', '        -}', '        {+', '        "new' || p_partkey || '"', '        +}}', '      [])', '    []))'], chr(10)) AS patch_text
+FROM part
+"""
+
+
 def lcs_lines(spark, sf_dir):
     def work(_, a, b):
         return {"n": kernels.lcs_length(a, b)}
@@ -550,7 +564,7 @@ SQL["parse_experiment"] = "SELECT count(*) FILTER (json_valid(props)) AS ok, cou
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
-        diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, distinct_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality, distinct_edits, equal_patches, applicable_patches,
+        diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, distinct_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality, shown_patches, distinct_edits, equal_patches, applicable_patches,
         lcs_lines, compose_chain_apply, version_ranges, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, merge_labels, four_diffs, golden_merge_rtree, dyck_parse, while_parse, sql_tree_nodes,
         stage_pivot, result_pivot, config_top3, config_grid, runtime_filter, language_filter, datapoint_rejects, parse_experiment,
     )
