@@ -501,9 +501,19 @@ def _language(name: str) -> Parser:
     return parse
 
 
+def _writer(name: str) -> Callable[[Term], str]:
+    def write(t: Term) -> str:
+        from arbordiff.sources import writers
+
+        with deep():
+            return getattr(writers, name)(t)
+
+    return write
+
+
 _parsers: dict[str, Parser] = {"while": while_, "lines": lines, "dyck": dyck, "dyck-loc": dyck_loc, "clj": clojure, "py": python, "json": json_, "rtree": rtree}
 _parsers |= {"java": _language("java"), "js": _language("javascript"), "lua": _language("lua"), "sh": _language("shell")}
-_unparsers: dict[str, Callable[[Term], str]] = {"lines": unparse_lines, "rtree": unparse_rtree}
+_unparsers: dict[str, Callable[[Term], str]] = {"lines": unparse_lines, "rtree": unparse_rtree, "while": _writer("program"), "clj": _writer("expressions")}
 
 
 def register_grammar(name: str, parser: Parser, unparse: Callable[[Term], str] | None = None) -> None:
