@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from arbordiff.operators import alignment, layout, merging, patches
 from arbordiff.operators.patches import Options
 from arbordiff.operators.terms import Space, encode, node_columns, render
+from arbordiff.sources import layouts
 from arbordiff.sources.grammars import ParseError, grammar, install, lines, registry, unparser
 from arbordiff.sources.line_trees import line_nodes
 
@@ -216,6 +217,7 @@ DIFF = {"status": "string", "error": "string", "patch": "string", "n_changes": "
 
 
 def merge_row(space: Space, name: str, a: str | None, o: str | None, b: str | None, expected: str | None, options: Options) -> dict:
+    texts = [o, a, b]
     try:
         a, o, b = parsed(space, name, a, o, b)
         want = parsed(space, name, expected)[0] if expected is not None else None
@@ -227,8 +229,15 @@ def merge_row(space: Space, name: str, a: str | None, o: str | None, b: str | No
         status, merged, found = merging.merge3(space, a, o, b, options, want)
     except ValueError as e:
         return {"status": "error", "error": str(e)}
+    return {"status": status, "merged": None if merged is None else merged_text(space, name, merged, texts), "labels": [c.label for c in found], "conflicts": [merging.show_conflict(c) for c in found]}
+
+
+def merged_text(space: Space, name: str, merged, texts: list[str]) -> str:
+    """A merged tree as text, in the layout of the base and both sides where the grammar has one, or encoded."""
     write = unparser(name)
-    return {"status": status, "merged": None if merged is None else write(merged) if write else encode(merged), "labels": [c.label for c in found], "conflicts": [merging.show_conflict(c) for c in found]}
+    if write is None:
+        return encode(merged)
+    return layouts.keep(name, space, merged, texts, write) if name in layouts.GRAMMARS and grammar(name) is layouts.GRAMMARS[name] else write(merged)
 
 
 MERGE = {"status": "string", "error": "string", "merged": "string", "labels": "array<string>", "conflicts": "array<string>"}

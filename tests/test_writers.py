@@ -76,4 +76,65 @@ def test_merges_come_out_as_text(spark):
         frame = spark.createDataFrame([(a, o, b)], "a string, o string, b string")
         got = api.merge_triples(frame, "a", "o", "b", name).first()
         assert got.status == "success"
-        assert got.merged == {"while": "x := 1;\ny := 9;\nz := 4;", "clj": "(f 8 2)\n(g 9)\n"}[name]
+        assert got.merged == {"while": "x := 1; y := 9; z := 4;", "clj": "(f 8 2) (g 9)"}[name]
+
+
+WHILE = """// head
+x := 1;   /* one */
+if x < 2 then {
+    y := 3;  // three
+    skip;
+} else   z := 4;
+while true do { skip; }  // tail
+"""
+CLJ = """; head
+(defn f [x]
+   (inc x))   ; note
+
+'q "s" ;; tail
+#{1 2}
+"""
+
+
+@pytest.mark.parametrize("name,o,edits_a,edits_b", [
+    ("while", WHILE, [("y := 3", "y := 33")], [("z := 4", "z := 44"), ("// tail", "// the tail")]),
+    ("while", WHILE, [("x := 1;   /* one */", "x := 1;  /* one */\nw := 0;")], [("while true do { skip; }", "while true do { u := 1; }")]),
+    ("while", WHILE, [("    skip;\n", "")], [("// head\n", "// a head\n")]),
+    ("clj", CLJ, [("(inc x)", "(dec x)")], [('"s"', '"ss"'), (";; tail", ";; the end")]),
+    ("clj", CLJ, [("#{1 2}", "#{1 2}\n(more)")], [("; head", "; the head")]),
+])
+def test_unchanged_text_stays_byte_by_byte(spark, name, o, edits_a, edits_b):
+    def edited(*edits):
+        out = o
+        for old, new in edits:
+            assert old in out
+            out = out.replace(old, new, 1)
+        return out
+
+    frame = spark.createDataFrame([(edited(*edits_a), o, edited(*edits_b))], "a string, o string, b string")
+    got = api.merge_triples(frame, "a", "o", "b", name).first()
+    assert got.status == "success" and got.merged == edited(*edits_a, *edits_b)
+
+
+def test_merged_layout_is_read_as_the_merged_tree():
+    """Random programs: what is kept together is the merged tree again, and a merge with the base gives the side as it stands."""
+    from arbordiff.operators import merging
+    from arbordiff.sources import layouts
+
+    rng, good = random.Random(8), 0
+    for _ in range(150):
+        for name, make in (("while", lambda: block(rng, 2)), ("clj", lambda: "\n".join(form(rng, 2) for _ in range(4)))):
+            space, parse, write = Space(), grammars.grammar(name), grammars.unparser(name)
+            texts = [make() for _ in range(3)]
+            cut = [t.split(";" if name == "while" else "\n") for t in texts]
+            texts = [texts[0], *((";" if name == "while" else "\n").join([*cut[0][:-1], *c[:1], cut[0][-1]]) for c in cut[1:])]
+            try:
+                o, a, b = (parse(space, t) for t in texts)
+            except grammars.ParseError:
+                continue
+            assert layouts.keep(name, space, a, [texts[0], texts[1], texts[0]], write) == texts[1]
+            status, merged, _ = merging.merge3(space, a, o, b)
+            if status == "success":
+                assert parse(space, layouts.keep(name, space, merged, texts, write)) is merged
+                good += 1
+    assert good > 20
