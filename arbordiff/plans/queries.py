@@ -459,6 +459,52 @@ def _reader(name: str, template: tuple[str, str, str]):
 SQL |= {f"{n}_parse": "SELECT p_partkey, CAST(p_partkey + p_size AS BIGINT) AS total, CAST(2 AS BIGINT) AS numbers FROM part" for n in ("clj", "py", "json", "dyck_loc", "lua", "js", "java", "sh")}
 
 
+def dyck_loc_text(spark, sf_dir):
+    """The white space and words of event properties in the order of the tree: the text without its brackets."""
+    events = table(spark, sf_dir, "events").select("event_id", "props").where("props is not null")
+    nodes = api.tree_nodes(events, "props", "dyck-loc", ["node_id", "prim_val"]).where("prim_val is not null")
+    pieces = nodes.groupBy("event_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "prim_val"))).alias("p"))
+    return pieces.select("event_id", F.array_join(F.col("p.prim_val"), "").alias("text"))
+
+
+SQL["dyck_loc_text"] = "SELECT event_id, translate(props, '()[]{}', '') AS text FROM events WHERE props IS NOT NULL"
+
+
+def json_members(spark, sf_dir):
+    """Names and scalar values of the members of event properties, by joins of nodes with their parents."""
+    events = table(spark, sf_dir, "events").select("event_id", "props").where("props is not null")
+    nodes = stored(api.tree_nodes(events, "props", "json", ["node_id", "parent_id", "ord", "con", "prim_val"]), "nodes")
+    member = nodes.where("con = 'Member'").select("event_id", F.col("node_id").alias("member"))
+    name = nodes.where("con is null and ord = 0").select("event_id", F.col("parent_id").alias("member"), F.col("prim_val").alias("name"))
+    scalar = nodes.where("con = 'Scalar' and ord = 1").select("event_id", F.col("parent_id").alias("member"), F.col("node_id").alias("scalar"))
+    value = nodes.where("con is null").select("event_id", F.col("parent_id").alias("scalar"), F.col("prim_val").alias("value"))
+    return member.join(name, ["event_id", "member"]).join(scalar, ["event_id", "member"]).join(value, ["event_id", "scalar"]).select("event_id", "name", "value")
+
+
+SQL["json_members"] = """
+WITH k AS (SELECT event_id, props, unnest(json_keys(props)) AS name FROM events WHERE props IS NOT NULL)
+SELECT event_id, name, CAST(json_extract(props, '$."' || name || '"') AS VARCHAR) AS value FROM k
+"""
+
+
+def merge_program_text(spark, sf_dir):
+    """Programs made of part numbers: each side changes one statement or comment, and all else stays as it stands."""
+    key = F.col("p_partkey").cast("string")
+
+    def program(head: str, value: str, tail: str) -> Column:
+        return F.concat(F.lit("// "), F.lit(head), key, F.lit("\nx  :=  "), key, F.lit(value + ";   /* kept */\nif x < 2 then {\n    y := 3;\n    skip;  // twice  spaced\n}  else  z := "), F.lit(tail), F.lit(";\n"))
+
+    part = table(spark, sf_dir, "part").select("p_partkey", program("part ", "", "4").alias("o"), program("part ", " + 1", "4").alias("a"), program("the part ", "", "44").alias("b"))
+    return api.merge_triples(part, "a", "o", "b", "while").select("p_partkey", "status", "merged")
+
+
+SQL["merge_program_text"] = """
+SELECT p_partkey, 'success' AS status,
+       array_to_string(['// the part ' || p_partkey, 'x  :=  ' || p_partkey || ' + 1;   /* kept */', 'if x < 2 then {', '    y := 3;', '    skip;  // twice  spaced', '}  else  z := 44;', ''], chr(10)) AS merged
+FROM part
+"""
+
+
 def sql_tree_nodes(spark, sf_dir):
     """The table function over documents, in SQL: cells, lines, depth and the least and greatest line of each tree."""
     kernels.register_sql(spark)
@@ -565,7 +611,7 @@ SQL["parse_experiment"] = "SELECT count(*) FILTER (json_valid(props)) AS ok, cou
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, distinct_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality, shown_patches, distinct_edits, equal_patches, applicable_patches,
-        lcs_lines, compose_chain_apply, version_ranges, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, merge_labels, four_diffs, golden_merge_rtree, dyck_parse, while_parse, sql_tree_nodes,
+        lcs_lines, compose_chain_apply, version_ranges, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, merge_labels, four_diffs, golden_merge_rtree, dyck_parse, while_parse, sql_tree_nodes, dyck_loc_text, json_members, merge_program_text,
         stage_pivot, result_pivot, config_top3, config_grid, runtime_filter, language_filter, datapoint_rejects, parse_experiment,
     )
     out = {f.__name__: f for f in plain}
