@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,7 +18,7 @@ from arbordiff.plans import experiments
 from arbordiff.plans.golden import CASES, CONFLICTS
 from arbordiff.sources.grammars import grammar
 from arbordiff.sources.line_trees import lines_of, shape
-from arbordiff.sources.tables import stored
+from arbordiff.sources.tables import shared_folder, stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -589,6 +590,70 @@ def language_filter(spark, sf_dir):
 SQL["language_filter"] = "SELECT doc_id, 'doc' || doc_id || '.' || lang || '.txt' AS path FROM documents WHERE lang = 'fr'"
 
 
+def languages_filter(spark, sf_dir):
+    """Paths of two languages, one list after another."""
+    path = F.concat(F.lit("doc"), "doc_id", F.lit("."), "lang", F.lit(".txt"))
+    return experiments.of_languages(table(spark, sf_dir, "documents").select("doc_id", path.alias("path")), ["fr", "de"])
+
+
+SQL["languages_filter"] = "SELECT doc_id, 'doc' || doc_id || '.' || lang || '.txt' AS path, lang AS language FROM documents WHERE lang IN ('fr', 'de')"
+
+
+def locate_datapoints(spark, sf_dir):
+    """Names with two fragments, and whether there is a single one."""
+    names = table(spark, sf_dir, "part").select(F.concat(F.lit("datapoint-"), "p_partkey", F.lit("-"), "p_size").alias("name"))
+    found = [experiments.locate(names, a, b).withColumn("asked", F.lit(f"{a} {b}")) for a, b in (("datapoint-17-", "-"), ("point-1", "-2"), ("point-", "nowhere"))]
+    return reduce(DataFrame.unionByName, found)
+
+
+SQL["locate_datapoints"] = """
+WITH n AS (SELECT 'datapoint-' || p_partkey || '-' || p_size AS name FROM part),
+f AS (SELECT name, a || ' ' || b AS asked FROM n, (VALUES ('datapoint-17-', '-'), ('point-1', '-2'), ('point-', 'nowhere')) AS x(a, b) WHERE contains(name, a) AND contains(name, b))
+SELECT name, count(*) OVER (PARTITION BY asked) = 1 AS single, asked FROM f
+"""
+
+
+def diff_grid(spark, sf_dir):
+    """All configurations of a difference over small trees, by result."""
+    key = F.col("p_partkey").cast("string")
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("r[a"), key, F.lit("[x],b]")).alias("src"), F.concat(F.lit("r[b,a"), key, F.lit("[x]]")).alias("dst"))
+    return experiments.diff_grid(part, "rtree").groupBy("height", "mode", "scope", "status").agg(F.count("*").alias("n"))
+
+
+SQL["diff_grid"] = """
+SELECT height, mode, scope, 'success' AS status, count(*) AS n
+FROM part, (VALUES (1), (6)) AS h(height), (VALUES ('proper'), ('nonest'), ('patience')) AS m(mode), (VALUES ('local'), ('global')) AS s(scope) GROUP BY height, mode, scope
+"""
+
+
+def conflict_label_log(spark, sf_dir):
+    """The labels of two runs of merges, appended to one log and read again."""
+    out = api.merge_triples(_triples(spark, sf_dir, "conflict"), "a", "o", "b", "lines")
+    path = f"{shared_folder(spark)}/labels-{uuid.uuid4().hex}"
+    for _ in range(2):
+        api.write_conflict_labels(out, path)
+    return spark.read.text(path).groupBy(F.col("value").alias("label")).agg(F.count("*").alias("n"))
+
+
+SQL["conflict_label_log"] = f"WITH {DOCS} SELECT 'not-eq' AS label, 2 * count(*) AS n FROM d WHERE len(l) >= 3"
+
+
+def composable_steps(spark, sf_dir):
+    """Whether the patch of each turn can follow that of the turn before."""
+    turns = table(spark, sf_dir, "conversations").where("text is not null")
+    steps = versions.segments(versions.numbered(turns, "conv_id", "turn", "text"), "lines").where("level = 0")
+    first = steps.select("key", "index", F.col("patch").alias("first"))
+    second = steps.select("key", (F.col("index") - 1).alias("index"), F.col("patch").alias("second"))
+    out = api.composable(first.join(second, ["key", "index"]), "second", "first")
+    return out.select(F.col("key").alias("conv_id"), F.col("index").alias("step"), "composes")
+
+
+SQL["composable_steps"] = """
+WITH v AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS n, count(*) OVER (PARTITION BY conv_id) AS k FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, CAST(n AS BIGINT) AS step, true AS composes FROM v WHERE n + 2 < k
+"""
+
+
 def datapoint_rejects(spark, sf_dir):
     """Orders without a first, second or third line are no datapoints."""
     whole, rejected = experiments.datapoints(stage_pivot(spark, sf_dir))
@@ -612,7 +677,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = (
         diff_apply_roundtrip, lines_tree_shape, corpus_shared_subtrees, distinct_subtrees, candidate_pairs, pair_sharing_map, stored_patch_apply, global_vs_local_scope, align_cost, mode_holes, alpha_equality, shown_patches, distinct_edits, equal_patches, applicable_patches,
         lcs_lines, compose_chain_apply, version_ranges, merge_disjoint_edits, merge_same_line_conflict, merge_identical_edits, merge_report, merge_labels, four_diffs, golden_merge_rtree, dyck_parse, while_parse, sql_tree_nodes, dyck_loc_text, json_members, merge_program_text,
-        stage_pivot, result_pivot, config_top3, config_grid, runtime_filter, language_filter, datapoint_rejects, parse_experiment,
+        stage_pivot, result_pivot, config_top3, config_grid, runtime_filter, language_filter, languages_filter, locate_datapoints, diff_grid, conflict_label_log, composable_steps, datapoint_rejects, parse_experiment,
     )
     out = {f.__name__: f for f in plain}
     out |= {f"{m}_holes": _holes(m) for m in MODES} | {f"diff_apply_{m}": _roundtrip(m, 1) for m in ("proper", "patience")} | {"diff_apply_share_lines": _roundtrip("nonest", 0)}
