@@ -22,15 +22,19 @@ def tree_nodes(df: DataFrame, text_col: str, grammar: str, columns: list[str] |
     return kernels.node_table(df, text_col, grammar, columns or kernels.PLAIN)
 
 
-def diff_pairs(df: DataFrame, source_col: str, target_col: str, grammar: str, min_height: int = 1, mode: str = "nonest", global_scope: bool = False, seconds: float = 0, max_nodes: int = 0) -> DataFrame:
+def diff_pairs(df: DataFrame, source_col: str, target_col: str, grammar: str, min_height: int = 1, mode: str = "nonest", global_scope: bool = False, seconds: float = 0, max_nodes: int = 0, columns: list[str] | None = None) -> DataFrame:
     """df with status, error, patch, n_changes, n_copies, nm, patch_cost, cost, operations, secs and result. A row that takes longer than
-    `seconds` (0: no limit) has the status timeout, one of more than max_nodes nodes (0: no limit) too-large."""
+    `seconds` (0: no limit) has the status timeout, one of more than max_nodes nodes (0: no limit) too-large. columns: those of these that are
+    wanted beside the status (None: all); nothing else is worked out."""
+    outputs = kernels.chosen(kernels.DIFF, columns)
+    wanted = frozenset(outputs)
     options = Options(min_height, mode, global_scope, max_nodes)
-    return kernels.add_columns(df, [source_col, target_col], kernels.DIFF, lambda s, a, b: kernels.diff_row(s, grammar, a, b, options), seconds)
+    return kernels.add_columns(df, [source_col, target_col], outputs, lambda s, a, b: kernels.diff_row(s, grammar, a, b, options, wanted), seconds)
 
 
-def apply_patches(df: DataFrame, patch_col: str, text_col: str, grammar: str) -> DataFrame:
-    return kernels.add_columns(df, [patch_col, text_col], kernels.APPLY, lambda s, p, t: kernels.apply_row(s, grammar, p, t))
+def apply_patches(df: DataFrame, patch_col: str, text_col: str, grammar: str, deal: bool = True) -> DataFrame:
+    """df with status, error and result. deal: False where the rows come from another kernel, which has dealt them to tasks."""
+    return kernels.add_columns(df, [patch_col, text_col], kernels.APPLY, lambda s, p, t: kernels.apply_row(s, grammar, p, t), deal=deal)
 
 
 def compose_chain(df: DataFrame, versions_col: str, grammar: str, min_height: int = 1, mode: str = "nonest") -> DataFrame:
@@ -45,7 +49,7 @@ def show_pairs(df: DataFrame, source_col: str, target_col: str, grammar: str, wi
     return kernels.add_columns(df, [source_col, target_col], kernels.SHOW, lambda s, a, b: kernels.show_row(s, grammar, a, b, width))
 
 
-def canonical_patches(df: DataFrame, patch_col: str) -> DataFrame:
+def canonical_patches(df: DataFrame, patch_col: str, deal: bool = True) -> DataFrame:
     """df with patch_digest, edit_digests and edits: patches (and the changes in them that aren't copies) that differ in the names of
     variables alone have equal digests, so that they meet by grouping; edits are the changes as text with canonical names."""
     return kernels.add_columns(df, [patch_col], kernels.CANONICAL, kernels.canonical_row)
@@ -71,11 +75,13 @@ def composable(df: DataFrame, second_col: str, first_col: str) -> DataFrame:
     return kernels.add_columns(df, [second_col, first_col], {"composes": "boolean", "parse_error": "string"}, kernels.composes_row)
 
 
-def merge_triples(df: DataFrame, a_col: str, o_col: str, b_col: str, grammar: str, expected_col: str | None = None, min_height: int = 1, mode: str = "nonest", global_scope: bool = False, seconds: float = 0, max_nodes: int = 0) -> DataFrame:
-    """df with status, error, merged, labels and conflicts. seconds and max_nodes: as for diff_pairs."""
+def merge_triples(df: DataFrame, a_col: str, o_col: str, b_col: str, grammar: str, expected_col: str | None = None, min_height: int = 1, mode: str = "nonest", global_scope: bool = False, seconds: float = 0, max_nodes: int = 0, columns: list[str] | None = None) -> DataFrame:
+    """df with status, error, merged, labels and conflicts. seconds, max_nodes and columns: as for diff_pairs."""
+    outputs = kernels.chosen(kernels.MERGE, columns)
+    wanted = frozenset(outputs)
     options = Options(min_height, mode, global_scope, max_nodes)
-    columns = [a_col, o_col, b_col, *([expected_col] if expected_col else [])]
-    return kernels.add_columns(df, columns, kernels.MERGE, lambda s, a, o, b, m=None: kernels.merge_row(s, grammar, a, o, b, m, options), seconds)
+    texts = [a_col, o_col, b_col, *([expected_col] if expected_col else [])]
+    return kernels.add_columns(df, texts, outputs, lambda s, a, o, b, m=None: kernels.merge_row(s, grammar, a, o, b, m, options, wanted), seconds)
 
 
 def write_conflict_labels(merged: DataFrame, path: str) -> None:

@@ -19,9 +19,12 @@ from arbordiff.operators.terms import Space, encode, node_columns, render
 from arbordiff.sources import layouts
 from arbordiff.sources.grammars import ParseError, grammar, install, lines, registry, unparser
 from arbordiff.sources.line_trees import line_nodes
+from arbordiff.sources.tables import dealt
 
 #: Rows of a batch in a kernel; trees are small, but a text may be long.
 BATCH_ROWS = 256
+#: Bytes of a batch's columns that a kernel works on at a time.
+PORTION = 1 << 21
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -72,33 +75,47 @@ def guarded(work: Callable[..., dict], outputs: dict[str, str], seconds: float)
     return run
 
 
-def add_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], work: Callable[..., dict], seconds: float = 0) -> DataFrame:
-    """df with columns that work(space, *inputs) gives for each row; columns of these names are replaced. No shuffle; one space a row.
-    seconds: after which a row's status is timeout."""
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about PORTION bytes, so that a worker's memory doesn't follow the length of the texts."""
+    for b in batches:
+        n = max(1, b.num_rows * PORTION // max(1, b.nbytes))
+        yield from (b.slice(i, n) for i in range(0, b.num_rows, n))
+
+
+def _source(df: DataFrame, inputs: list[str], outputs: dict[str, str], keep: list[str] | None, deal: bool) -> tuple[DataFrame, list[str], list[int], str]:
+    """(rows for a kernel, the columns that it passes on, the places of its inputs among the rows' columns, its schema)."""
+    kept = [c for c in df.columns if c not in outputs and (keep is None or c in keep)]
+    more = [c for c in dict.fromkeys(inputs) if c not in kept]
+    places = [kept.index(c) if c in kept else len(kept) + more.index(c) for c in inputs]
+    schema = ", ".join([f"`{c}` {t}" for c, t in df.select([F.col(f"`{c}`") for c in kept]).dtypes] + [f"`{c}` {t}" for c, t in outputs.items()])
+    rows = df.select(*[F.col(f"`{c}`") for c in kept], *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(more)])
+    return dealt(rows) if deal else rows, kept, places, schema
+
+
+def add_columns(df: DataFrame, inputs: list[str], outputs: dict[str, str], work: Callable[..., dict], seconds: float = 0, deal: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """df with columns that work(space, *inputs) gives for each row; columns of these names are replaced. One space a row.
+    seconds: after which a row's status is timeout. deal: the rows are dealt to tasks first; without it there is no shuffle. keep: the
+    columns of df that are passed on (None: all)."""
     work = guarded(work, outputs, seconds)
     bounded_batches(df.sparkSession)
-    kept = [c for c in df.columns if c not in outputs]
-    schema = ", ".join([f"`{c}` {t}" for c, t in df.select(kept).dtypes] + [f"`{c}` {t}" for c, t in outputs.items()])
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(inputs)]).alias("_in"))
+    source, kept, places, schema = _source(df, inputs, outputs, keep, deal)
     registered = registry()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         install(*registered)
-        for b in batches:
-            rows = [work(Space(), *r.values()) for r in b.column(len(kept)).to_pylist()]
+        for b in portions(batches):
+            rows = [work(Space(), *r) for r in zip(*(b.column(i).to_pylist() for i in places), strict=True)]
             arrays = [pa.array([r.get(c) for r in rows], ARROW[t]) for c, t in outputs.items()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], *arrays], [*kept, *outputs])
 
     return source.mapInArrow(kernel, schema)
 
 
-def add_rows(df: DataFrame, inputs: list[str], outputs: dict[str, str], works: Callable[..., list[Callable[[], dict]]], seconds: float = 0) -> DataFrame:
+def add_rows(df: DataFrame, inputs: list[str], outputs: dict[str, str], works: Callable[..., list[Callable[[], dict]]], seconds: float = 0, keep: list[str] | None = None) -> DataFrame:
     """df with columns as add_columns() makes them, and a row for each of the works that works(space, *inputs) prepares: what they share
     is done once. Each has the limit of seconds and gets the status of its own; what goes wrong in preparing is the status of one row."""
     bounded_batches(df.sparkSession)
-    kept = [c for c in df.columns if c not in outputs]
-    schema = ", ".join([f"`{c}` {t}" for c, t in df.select(kept).dtypes] + [f"`{c}` {t}" for c, t in outputs.items()])
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.struct(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(inputs)]).alias("_in"))
+    source, kept, places, schema = _source(df, inputs, outputs, keep, True)
     registered = registry()
 
     def each(*args) -> list[dict]:
@@ -107,8 +124,8 @@ def add_rows(df: DataFrame, inputs: list[str], outputs: dict[str, str], works: C
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         install(*registered)
-        for b in batches:
-            rows = [each(Space(), *r.values()) for r in b.column(len(kept)).to_pylist()]
+        for b in portions(batches):
+            rows = [each(Space(), *r) for r in zip(*(b.column(i).to_pylist() for i in places), strict=True)]
             at = pa.array([i for i, found in enumerate(rows) for _ in found], pa.int64())
             flat = [r for found in rows for r in found]
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(kept))), *(pa.array([r.get(c) for r in flat], ARROW[t]) for c, t in outputs.items())], [*kept, *outputs])
@@ -116,6 +133,11 @@ def add_rows(df: DataFrame, inputs: list[str], outputs: dict[str, str], works: C
     return source.mapInArrow(kernel, schema)
 
 
+def chosen(outputs: dict[str, str], columns: list[str] | None) -> dict[str, str]:
+    """Those of the outputs that are asked for (None: all), and the status."""
+    return {c: t for c, t in outputs.items() if columns is None or c in columns or c == "status"}
+
+
 ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "map<string,long>": pa.map_(pa.string(), pa.int64())}
 NODE = {"node_id": "int", "parent_id": "int", "ord": "int", "depth": "int", "last_id": "int", "kind": "string", "dtype": "string", "con": "string", "prim_type": "string", "prim_val": "string", "height": "int", "size": "int", "digest": "string", "kids": "array<string>", "parse_error": "string"}
 #: What a node table has unless told otherwise.
@@ -177,7 +199,7 @@ def node_table(df: DataFrame, text_col: str, name: str, columns: list[str]) -> D
         at = pa.array([i for i, n in rows for _ in range(n)], pa.int64())
         return pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(len(kept))), *(pa.array(found[c], ARROW[NODE[c]]) for c in columns)], [*kept, *columns])
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`")).mapInArrow(kernel, schema)
+    return dealt(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`"))).mapInArrow(kernel, schema)
 
 
 def _too_large(options: Options, *trees) -> dict | None:
@@ -185,38 +207,46 @@ def _too_large(options: Options, *trees) -> dict | None:
     return {"status": "too-large", "error": f"{n} nodes"} if options.max_nodes and n > options.max_nodes else None
 
 
-def diff_row(space: Space, name: str, source: str | None, target: str | None, options: Options) -> dict:
-    """patch, counts, costs, CPU seconds of difference and alignment, and the text or tree that the patch makes of the source."""
+DIFF = {"status": "string", "error": "string", "patch": "string", "n_changes": "int", "n_copies": "int", "nm": "long", "patch_cost": "long", "cost": "long", "operations": "map<string,long>", "secs": "double", "result": "string"}
+MERGE = {"status": "string", "error": "string", "merged": "string", "labels": "array<string>", "conflicts": "array<string>"}
+DIFF_ALL, MERGE_ALL = frozenset(DIFF), frozenset(MERGE)
+#: What of a difference needs the alignment.
+ALIGNED = frozenset({"cost", "operations", "secs"})
+
+
+def diff_row(space: Space, name: str, source: str | None, target: str | None, options: Options, wanted=DIFF_ALL) -> dict:
+    """patch, counts, costs, CPU seconds of difference and alignment, and the text or tree that the patch makes of the source; what isn't
+    wanted isn't worked out, but for the status."""
     try:
         a, b = parsed(space, name, source, target)
     except ParseError as e:
         return {"status": "parse-error", "error": str(e)}
-    return diff_trees(space, name, a, b, options)
+    return diff_trees(space, name, a, b, options, wanted)
 
 
-def diff_trees(space: Space, name: str, a, b, options: Options) -> dict:
+def diff_trees(space: Space, name: str, a, b, options: Options, wanted=DIFF_ALL) -> dict:
     if large := _too_large(options, a, b):
         return large
     began = time.process_time()
     try:
         patch = patches.diff(space, a, b, options)
-        aligned, _ = alignment.align(space, patch)
+        aligned = alignment.align(space, patch)[0] if wanted & ALIGNED else None
         spent = time.process_time() - began
         made = patches.apply(space, patch, a)
     except ValueError as e:
         return {"status": "error", "error": str(e)}
     write = unparser(name)
-    return {
-        "status": "apply-fail" if made is None else "success" if made is b else "merge-diff", "patch": patches.encode_patch(patch), "n_changes": len(patches.leaves(patch)), "n_copies": sum(c.delete is c.insert for c in patches.leaves(patch)),
-        "nm": a.size + b.size, "patch_cost": patches.cost(patch), "cost": alignment.patch_align_cost(aligned), "operations": sorted(alignment.operations(aligned).items()), "secs": spent,
-        "result": None if made is None else write(made) if write else encode(made),
+    given = {
+        "patch": lambda: patches.encode_patch(patch), "n_changes": lambda: len(patches.leaves(patch)), "n_copies": lambda: sum(c.delete is c.insert for c in patches.leaves(patch)),
+        "nm": lambda: a.size + b.size, "patch_cost": lambda: patches.cost(patch), "cost": lambda: alignment.patch_align_cost(aligned), "operations": lambda: sorted(alignment.operations(aligned).items()), "secs": lambda: spent,
+        "result": lambda: None if made is None else write(made) if write else encode(made),
     }
+    return {"status": "apply-fail" if made is None else "success" if made is b else "merge-diff"} | {c: f() for c, f in given.items() if c in wanted}
 
 
-DIFF = {"status": "string", "error": "string", "patch": "string", "n_changes": "int", "n_copies": "int", "nm": "long", "patch_cost": "long", "cost": "long", "operations": "map<string,long>", "secs": "double", "result": "string"}
-
 
-def merge_row(space: Space, name: str, a: str | None, o: str | None, b: str | None, expected: str | None, options: Options) -> dict:
+def merge_row(space: Space, name: str, a: str | None, o: str | None, b: str | None, expected: str | None, options: Options, wanted=MERGE_ALL) -> dict:
+    """status, and of the merged text, labels and conflicts what is wanted."""
     texts = [o, a, b]
     try:
         a, o, b = parsed(space, name, a, o, b)
@@ -229,7 +259,8 @@ def merge_row(space: Space, name: str, a: str | None, o: str | None, b: str | No
         status, merged, found = merging.merge3(space, a, o, b, options, want)
     except ValueError as e:
         return {"status": "error", "error": str(e)}
-    return {"status": status, "merged": None if merged is None else merged_text(space, name, merged, texts), "labels": [c.label for c in found], "conflicts": [merging.show_conflict(c) for c in found]}
+    given = {"merged": lambda: None if merged is None else merged_text(space, name, merged, texts), "labels": lambda: [c.label for c in found], "conflicts": lambda: [merging.show_conflict(c) for c in found]}
+    return {"status": status} | {c: f() for c, f in given.items() if c in wanted}
 
 
 def merged_text(space: Space, name: str, merged, texts: list[str]) -> str:
@@ -240,8 +271,6 @@ def merged_text(space: Space, name: str, merged, texts: list[str]) -> str:
     return layouts.keep(name, space, merged, texts, write) if name in layouts.GRAMMARS and grammar(name) is layouts.GRAMMARS[name] else write(merged)
 
 
-MERGE = {"status": "string", "error": "string", "merged": "string", "labels": "array<string>", "conflicts": "array<string>"}
-
 
 def chain_row(space: Space, name: str, versions: list, options: Options) -> dict:
     """The patches between neighbouring versions, composed from the left, applied to the first version."""

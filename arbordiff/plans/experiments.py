@@ -8,7 +8,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from arbordiff.api import diff_pairs, merge_triples, parse_trees
+from arbordiff.api import merge_triples, parse_trees
 from arbordiff.functions import kernels
 from arbordiff.operators.patches import MODES, Options
 from arbordiff.operators.terms import Space
@@ -52,10 +52,12 @@ def datapoints(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     return triples.where(whole), triples.where(~whole)
 
 
-def diff_grid(pairs: DataFrame, grammar: str, heights: tuple[int, ...] = (1, 6), modes: tuple[str, ...] = MODES, scopes: tuple[str, ...] = ("local", "global"), seconds: float = DIFF_SECONDS) -> DataFrame:
-    """Rows (src, dst and others) once for each configuration: height, mode, scope and diff_pairs' columns. Each pair is read and parsed
-    once for all configurations; one without trees has one row, without a configuration."""
+def diff_grid(pairs: DataFrame, grammar: str, heights: tuple[int, ...] = (1, 6), modes: tuple[str, ...] = MODES, scopes: tuple[str, ...] = ("local", "global"), seconds: float = DIFF_SECONDS, columns: list[str] | None = None) -> DataFrame:
+    """Rows (src, dst and others) once for each configuration: height, mode, scope and diff_pairs' columns (or those that are named). Each
+    pair is read and parsed once for all configurations; one without trees has one row, without a configuration."""
     grid = [*product(heights, modes, scopes)]
+    outputs = kernels.chosen(kernels.DIFF, columns)
+    wanted = frozenset(outputs)
 
     def works(space: Space, source: str | None, target: str | None) -> list:
         try:
@@ -65,7 +67,7 @@ def diff_grid(pairs: DataFrame, grammar: str, heights: tuple[int, ...] = (1, 6),
             return [lambda: failed]
 
         def one(height: int, mode: str, scope: str) -> dict:
-            return kernels.diff_trees(space, grammar, a, b, Options(height, mode, scope == "global"))
+            return kernels.diff_trees(space, grammar, a, b, Options(height, mode, scope == "global"), wanted)
 
         def told(height: int, mode: str, scope: str):
             run = kernels.guarded(one, kernels.DIFF, seconds)
@@ -73,15 +75,38 @@ def diff_grid(pairs: DataFrame, grammar: str, heights: tuple[int, ...] = (1, 6),
 
         return [told(*g) for g in grid]
 
-    return kernels.add_rows(pairs, ["src", "dst"], {"height": "int", "mode": "string", "scope": "string"} | kernels.DIFF, works)
+    return kernels.add_rows(pairs, ["src", "dst"], {"height": "int", "mode": "string", "scope": "string"} | outputs, works)
 
 
-def four_diffs(triples: DataFrame, grammar: str, seconds: float = DIFF_SECONDS, **options) -> DataFrame:
-    """A row for each of O-A, O-B, O-M and A-B of a datapoint, with diff_pairs' columns. Legs without both sides are left out."""
-    legs = F.array(*[F.struct(F.lit(leg).alias("leg"), F.col(leg[0].lower()).alias("src"), F.col(leg[2].lower()).alias("dst")) for leg in LEGS])
-    rest = [c for c in triples.columns if c not in ("a", "o", "b", "m")]
-    pairs = triples.select(*rest, F.explode(legs).alias("x")).select(*rest, "x.*").where("src is not null and dst is not null")
-    return diff_pairs(pairs, "src", "dst", grammar, seconds=seconds, **options)
+def four_diffs(triples: DataFrame, grammar: str, seconds: float = DIFF_SECONDS, columns: list[str] | None = None, **options) -> DataFrame:
+    """A row for each of O-A, O-B, O-M and A-B of a datapoint, with src, dst and diff_pairs' columns (or those of these that are named). Each
+    text is parsed once for all legs. Legs without both sides are left out."""
+    chosen = Options(**options)
+    outputs = {"leg": "string"} | {c: "string" for c in ("src", "dst") if columns is None or c in columns} | kernels.chosen(kernels.DIFF, columns)
+    wanted = frozenset(outputs)
+
+    def works(space: Space, a: str | None, o: str | None, b: str | None, m: str | None) -> list:
+        texts, trees = {"A": a, "O": o, "B": b, "M": m}, {}
+
+        def tree(name: str):
+            if name not in trees:
+                [trees[name]] = kernels.parsed(space, grammar, texts[name])
+            return trees[name]
+
+        def one(leg: str) -> dict:
+            try:
+                x, y = tree(leg[0]), tree(leg[2])
+            except ParseError as e:
+                return {"status": "parse-error", "error": str(e)}
+            return kernels.diff_trees(space, grammar, x, y, chosen, wanted)
+
+        def told(leg: str):
+            run = kernels.guarded(one, kernels.DIFF, seconds)
+            return lambda: run(leg) | {"leg": leg, "src": texts[leg[0]], "dst": texts[leg[2]]}
+
+        return [told(leg) for leg in LEGS if texts[leg[0]] is not None and texts[leg[2]] is not None]
+
+    return kernels.add_rows(triples, ["a", "o", "b", "m"], outputs, works, keep=[c for c in triples.columns if c not in ("a", "o", "b", "m")])
 
 
 def merge_experiment(triples: DataFrame, grammar: str, seconds: float = MERGE_SECONDS, **options) -> DataFrame:

@@ -8,6 +8,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tasks for each core that rows are dealt to, so that one slow task doesn't hold up the others.
+TASKS_A_CORE = 4
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df's rows, dealt evenly over tasks. Spark cuts a file by its bytes and row groups: of small rows a million are one task, however much
+    work each of them is."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), TASKS_A_CORE * spark.sparkContext.defaultParallelism))
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or, where it is unset and there is one machine only, a folder of its own."""
