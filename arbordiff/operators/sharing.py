@@ -24,8 +24,14 @@ def sharing_map(nodes: DataFrame, min_height: int = 1) -> DataFrame:
 
 def extract_holes(nodes: DataFrame, shares: DataFrame, mode: str = "nonest") -> DataFrame:
     """(pair_id, side, node_id, height, mv) of the holes of a mode. nodes: one row for each node of each side of a pair."""
+    return holes(shared_nodes(nodes, shares), mode)
+
+
+def shared_nodes(nodes: DataFrame, shares: DataFrame) -> DataFrame:
+    """The candidates of holes(). Both sides grow with the trees, and the size that Spark expects of a node table is that of the texts, so
+    that neither may be broadcast."""
     wanted = nodes.where("kind = 'roll'").select("pair_id", "side", "digest", "node_id", "last_id", "height")
-    return holes(wanted.join(shares.select("pair_id", "digest", "arity", "mv"), ["pair_id", "digest"]), mode)
+    return wanted.join(shares.select("pair_id", "digest", "arity", "mv").hint("merge"), ["pair_id", "digest"])
 
 
 def holes(candidates: DataFrame, mode: str = "nonest") -> DataFrame:
