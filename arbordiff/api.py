@@ -43,9 +43,11 @@ def compose_chain(df: DataFrame, versions_col: str, grammar: str, min_height: in
     return kernels.add_columns(df, [versions_col], kernels.CHAIN, lambda s, v: kernels.chain_row(s, grammar, v, options))
 
 
-def show_pairs(df: DataFrame, source_col: str, target_col: str, grammar: str, width: int = 80) -> DataFrame:
+def show_pairs(df: DataFrame, source_col: str, target_col: str, grammar: str, width: int | str = 80) -> DataFrame:
     """df with tree_text and patch_text: the source's tree and the patch to the target (null without one), over lines of at most `width`
-    characters where nothing single is longer; parse_error where there is no tree."""
+    characters (or as many as the column of that name says) where nothing single is longer; parse_error where there is no tree."""
+    if isinstance(width, str):
+        return kernels.add_columns(df, [source_col, target_col, width], kernels.SHOW, lambda s, a, b, w: kernels.show_row(s, grammar, a, b, w))
     return kernels.add_columns(df, [source_col, target_col], kernels.SHOW, lambda s, a, b: kernels.show_row(s, grammar, a, b, width))
 
 
