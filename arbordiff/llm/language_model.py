@@ -3,8 +3,8 @@
 Counts of all training tokens give the base score, the vocabulary, the classes and the first biases. Frequent words are in classes of
 neighbouring ranks; a word's probability is that of its class times that within the class (two small softmax layers). Other words
 belong to classes by their last two bytes; within these, a word has its smoothed share of the training tokens. The recurrent network is
-trained by truncated backpropagation: first on the driver for FIRST_TOKENS steps of a token, over training rows in the order of a hash,
-then in every partition on a fixed share (one in SHARE) of its training rows, after which the partitions' weights are averaged.
+trained by truncated backpropagation on all training rows, in every partition on its own, after which the partitions' weights are averaged.
+They all start from the same weights, which come from FIRST_TOKENS steps of a token on the driver, over training rows in the order of a hash.
 Documents are scored in windows; the state is carried from window to window and starts anew with each document, so that a score is the
 log-likelihood of the complete document, however long.
 
@@ -32,8 +32,8 @@ from arbordiff.llm.common import Shared, batch, fold_of, map_arrow, numbered, ut
 #: Units of the network, frequent classes, words in each, classes of other words, words whose counts go to every worker, and the length
 #: from which these go as digests.
 UNITS, CLASSES, IN_CLASS, OTHERS, SENT, LONG = 16, 32, 64, 64, 1 << 17, 64
-#: Tokens of training rows for the first training, its passes, and the share (1 in so many) of a partition's training rows for the second.
-FIRST_TOKENS, FIRST_PASSES, SHARE = 250_000, 3, 12
+#: Tokens of training rows for the weights that the partitions start from, and passes over them.
+FIRST_TOKENS, FIRST_PASSES = 250_000, 3
 #: Weights in one row when they are averaged.
 IN_ROW = 1 << 13
 #: Steps of a window and documents side by side when scoring and when training.
@@ -444,9 +444,9 @@ def score(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col:
     return all_.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("own") + more).alias("score"))
 
 
-def _average(training: DataFrame, network: Network, shared: Shared) -> None:
-    """One round in every partition on one in SHARE of its training rows, from the same weights; then the mean of the weights, each
-    partition by its tokens. A partition sends its weights as a few rows of IN_ROW, Spark adds them up, and the driver gets the sums."""
+def _average(training: DataFrame, network: Network, shared: Shared) -> int:
+    """One round in every partition on all its training rows, from the same weights; then the mean of the weights, each partition by its
+    tokens. A partition sends its weights as a few rows of IN_ROW, Spark adds them up, and the driver gets the sums. Gives the tokens trained on."""
     names = list(network.p)
     schema = pa.schema([("part", pa.int32()), ("w", pa.binary()), ("n", pa.float64())])
 
@@ -478,8 +478,7 @@ def _average(training: DataFrame, network: Network, shared: Shared) -> None:
                 sums[part] = old + np.frombuffer(w, np.float64), met + n
         yield batch(schema, [list(sums), [w.tobytes() for w, _ in sums.values()], [n for _, n in sums.values()]])
 
-    chosen = training.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(SHARE)) == 0).select("text")
-    sent = map_arrow(chosen, kernel, "part int, w binary, n double").repartition("part")
+    sent = map_arrow(training.select("text"), kernel, "part int, w binary, n double").repartition("part")
     rows = sorted(map_arrow(sent, add, "part int, w binary, n double").collect(), key=lambda r: r.part)
     if rows:
         flat = np.concatenate([np.frombuffer(r.w, np.float64) / r.n for r in rows])
@@ -488,3 +487,4 @@ def _average(training: DataFrame, network: Network, shared: Shared) -> None:
             size = network.p[k].size
             network.p[k] = flat[at : at + size].reshape(network.p[k].shape).astype(np.float32)
             at += size
+    return int(rows[0].n) if rows else 0
