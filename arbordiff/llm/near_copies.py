@@ -1,9 +1,11 @@
 """Near copies: components of documents whose sets of word shingles have a Jaccard similarity of at least a given value.
 
 1. Each text becomes its set of shingles (64-bit hashes). Rows with equal sets are one class.
-2. MinHash values of a class in BANDS bands of ROWS: two classes that agree in a band are candidates. At similarity 0.8 a pair misses all
+2. SimHash fingerprints of the shingles of a class, linked at FAR or fewer differing bits by the generalised pigeonhole principle (simhash.py):
+   the classes of a component are candidates. Near copies whose fingerprints are further apart are found beside it by
+   MinHash values of a class in BANDS bands of ROWS: two classes that agree in a band are candidates. At similarity 0.8 a pair misses all
    bands with a probability of (1 - 0.8 ** 4) ** 32 = 5e-8.
-3. The texts of the classes of a band key meet in one task. There a breadth-first search by exact similarity gives a spanning forest, so
+3. The texts of the classes of a component or band key meet in one task. There a breadth-first search by exact similarity gives a spanning forest, so
    that a large group of near copies never is all its pairs.
 4. Of a key with over GROUP classes one class is the pivot, and each other one is compared with it where it is. What is near the pivot
    is joined to it; the rest, usually little, meets all classes of the key in blocks of at most GROUP on either side.
@@ -22,11 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arbordiff.llm import simhash
 from arbordiff.llm.common import batch, map_arrow, numbered, own_name, pack, ranges, unpack, unpacked, written
 from arbordiff.llm.components import components
 from arbordiff.llm.repeats import _mix
 
 BANDS, ROWS = 32, 4
+#: Differing bits at which two fingerprints are linked.
+FAR = 3
 #: Classes of a key that meet in one task.
 GROUP = 1_000
 _random = np.random.default_rng(17)
@@ -49,6 +54,14 @@ def shingles(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(total)
 
 
+def simhash_of(sets: np.ndarray) -> int:
+    """The fingerprint of a set of shingles: a bit is 1 if set in over half of the hashes."""
+    total = np.zeros(64, np.int64)
+    for i in range(0, len(sets), 1 << 16):
+        total += np.unpackbits(sets[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(sets), bitorder="little").view("<u8")[0])
+
+
 def band_keys(sets: np.ndarray) -> np.ndarray:
     """One key for each band; none for an empty set."""
     if not len(sets):
@@ -59,6 +72,15 @@ def band_keys(sets: np.ndarray) -> np.ndarray:
     return _mix((_mix(least.reshape(BANDS, ROWS)) * _BAND).sum(1, dtype=np.uint64)).view(np.int64)
 
 
+def simhash_members(classes: DataFrame) -> DataFrame:
+    """classes: (cls, row, fp). (cls, row, key): the key of each class that has others in the component of its fingerprint."""
+    roots = components(simhash.links(classes.select("fp").distinct(), FAR)).withColumnRenamed("node", "fp")
+    rooted = classes.join(roots.hint("merge"), "fp", "left").select("cls", "row", F.xxhash64(F.lit("simhash"), F.coalesce("root", "fp")).alias("key"))
+    rooted = written(rooted, "simhash")
+    several = rooted.groupBy("key").count().where("count > 1").select("key")
+    return rooted.join(several, "key", "left_semi")
+
+
 def forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """Links (of positions) with at least this similarity that join all that such links join: breadth first, from each to all not yet met."""
     sizes = np.array([len(s) for s in sets])
@@ -152,12 +174,14 @@ def _classes(stored: DataFrame, similarity: float, words: int, id_col: str, text
         for b in batches:
             sets = [shingles(t, words) for t in unpack(b.column(2))]
             cls = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], ["id", "row", "cls", "keys"])
+            prints = np.array([simhash_of(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), pa.array(prints)], ["id", "row", "cls", "keys", "fp"])
 
-    sketches = written(map_arrow(rows, sketch, f"id {kind}, row long, cls long, keys array<long>"), "sketches")
-    heads = sketches.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row", "keys")).alias("head"))
+    sketches = written(map_arrow(rows, sketch, f"id {kind}, row long, cls long, keys array<long>, fp long"), "sketches")
+    heads = sketches.groupBy("cls").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "row", "keys", "fp")).alias("head"))
     classes = written(heads, "classes")
-    members = classes.select("cls", F.col("head.row").alias("row"), F.explode("head.keys").alias("key"))
+    printed = classes.where(F.size("head.keys") > 0).select("cls", F.col("head.row").alias("row"), F.col("head.fp").alias("fp"))
+    members = classes.select("cls", F.col("head.row").alias("row"), F.explode("head.keys").alias("key")).unionByName(written(simhash_members(printed), "linked"))
     # Keys with the same classes are the same work: one of them stands for all.
     groups = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "cls")).alias("y"))
     often = written(groups.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"), "often")
