@@ -15,11 +15,11 @@ def parse_trees(df: DataFrame, text_col: str, grammar: str) -> DataFrame:
     return kernels.add_columns(df, [text_col], {"ast": "string", "height": "int", "n_nodes": "int", "parse_error": "string"}, lambda s, t: kernels.parse_row(s, grammar, t))
 
 
-def tree_nodes(df: DataFrame, text_col: str, grammar: str, columns: list[str] | None = None) -> DataFrame:
+def tree_nodes(df: DataFrame, text_col: str, grammar: str, columns: list[str] | None = None, values_only: bool = False) -> DataFrame:
     """The node table: a row for each node of each tree, with df's other columns. Texts without a tree have no rows. columns: those of
     kernels.NODE that are wanted (None: kernels.PLAIN, all but kids, the children's digests, and parse_error); digests cost the most. With
-    parse_error a text without a tree has one row, which tells why."""
-    return kernels.node_table(df, text_col, grammar, columns or kernels.PLAIN)
+    parse_error a text without a tree has one row, which tells why. values_only: rows of the nodes that are values alone."""
+    return kernels.node_table(df, text_col, grammar, columns or kernels.PLAIN, values_only)
 
 
 def diff_pairs(df: DataFrame, source_col: str, target_col: str, grammar: str, min_height: int = 1, mode: str = "nonest", global_scope: bool = False, seconds: float = 0, max_nodes: int = 0, columns: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from arbordiff.operators import alignment, layout, merging, patches
 from arbordiff.operators.patches import Options
-from arbordiff.operators.terms import Space, encode, node_columns, render
+from arbordiff.operators.terms import PRIM, Space, encode, node_columns, render
 from arbordiff.sources import layouts
 from arbordiff.sources.grammars import ParseError, grammar, install, lines, registry, unparser
 from arbordiff.sources.line_trees import line_nodes
@@ -161,24 +161,32 @@ def parse_row(space: Space, name: str, text: str | None) -> dict:
     return {"ast": encode(t), "height": t.height, "n_nodes": t.size}
 
 
-def node_table(df: DataFrame, text_col: str, name: str, columns: list[str]) -> DataFrame:
+def node_table(df: DataFrame, text_col: str, name: str, columns: list[str], values_only: bool = False) -> DataFrame:
     """A row for each node of each tree, with the other columns of df; a text without a tree has none or, if parse_error is among the
-    columns, one that tells why and has no node. Trees of lines need no parser."""
+    columns, one that tells why and has no node. Trees of lines need no parser. values_only: of the nodes, those of values; the others,
+    most of a tree, don't leave the worker."""
     if grammar(name) is lines:
-        return line_nodes(df, text_col, columns)
+        if not values_only:
+            return line_nodes(df, text_col, columns)
+        nodes = line_nodes(df, text_col, [*columns, *(["prim_type"] if "prim_type" not in columns else [])])
+        values = nodes.where(F.col("prim_type").isNotNull() | F.col("parse_error").isNotNull() if "parse_error" in columns else F.col("prim_type").isNotNull())
+        return values if "prim_type" in columns else values.drop("prim_type")
     bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c != text_col and c not in columns]
     schema = ", ".join([f"`{c}` {t}" for c, t in df.select(kept).dtypes] + [f"{c} {NODE[c]}" for c in columns])
-    registered, wanted = registry(), frozenset(columns)
+    registered, wanted, kinds = registry(), frozenset(columns), frozenset([PRIM]) if values_only else None
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         install(*registered)
+        space = Space()
         for b in batches:
-            rows, found = [], {c: [] for c in columns}
+            rows, found, n_nodes = [], {c: [] for c in columns}, 0
             for i, text in enumerate(b.column(len(kept)).to_pylist()):
                 try:
-                    [t] = parsed(Space(), name, text)
-                    nodes = node_columns(t, wanted)
+                    space = space.next_row()
+                    [t] = parsed(space, name, text)
+                    nodes = node_columns(t, wanted | {"node_id"}, kinds)
+                    n = len(nodes["node_id"])
                 except Exception as e:  # a row's fault is its result, never the task's
                     if "parse_error" in wanted:
                         why = str(e) if isinstance(e, ParseError) else f"{type(e).__name__}: {e}"
@@ -186,12 +194,13 @@ def node_table(df: DataFrame, text_col: str, name: str, columns: list[str]) -> D
                         for c in columns:
                             found[c].append(why.encode(errors="replace").decode() if c == "parse_error" else None)
                     continue
-                rows.append((i, t.size))
+                rows.append((i, n))
                 for c in columns:
-                    found[c] += nodes[c] if c in nodes else [None] * t.size
-                if len(rows) and sum(n for _, n in rows) > 100_000:
+                    found[c] += nodes[c] if c in nodes else [None] * n
+                n_nodes += n
+                if n_nodes > 100_000:
                     yield flushed(b, rows, found)
-                    rows, found = [], {c: [] for c in columns}
+                    rows, found, n_nodes = [], {c: [] for c in columns}, 0
             if rows:
                 yield flushed(b, rows, found)
 
