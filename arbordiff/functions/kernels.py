@@ -272,6 +272,16 @@ def merge_row(space: Space, name: str, a: str | None, o: str | None, b: str | No
     return {"status": status} | {c: f() for c, f in given.items() if c in wanted}
 
 
+def merge_trees(space: Space, a, o, b, want, options: Options, known: dict) -> dict:
+    """The status of a merge; known: see merging.merge3()."""
+    if large := _too_large(options, a, o, b):
+        return large
+    try:
+        return {"status": merging.merge3(space, a, o, b, options, want, known)[0]}
+    except ValueError as e:
+        return {"status": "error", "error": str(e)}
+
+
 def merged_text(space: Space, name: str, merged, texts: list[str]) -> str:
     """A merged tree as text, in the layout of the base and both sides where the grammar has one, or encoded."""
     write = unparser(name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import product
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbordiff.api import merge_triples, parse_trees
@@ -109,11 +109,45 @@ def four_diffs(triples: DataFrame, grammar: str, seconds: float = DIFF_SECONDS,
     return kernels.add_rows(triples, ["a", "o", "b", "m"], outputs, works, keep=[c for c in triples.columns if c not in ("a", "o", "b", "m")])
 
 
+def merge_result() -> Column:
+    return F.when(F.col("status") == "merge-diff", "mdiff").when(F.col("status") == "conflicting", "conf").otherwise(F.col("status"))
+
+
 def merge_experiment(triples: DataFrame, grammar: str, seconds: float = MERGE_SECONDS, **options) -> DataFrame:
     """triples with result: success, mdiff (not the expected m), conf, apply-fail, or another status as it is."""
     merged = merge_triples(triples, "a", "o", "b", grammar, expected_col="m", seconds=seconds, **options)
-    result = F.when(F.col("status") == "merge-diff", "mdiff").when(F.col("status") == "conflicting", "conf").otherwise(F.col("status"))
-    return merged.withColumn("result", result)
+    return merged.withColumn("result", merge_result())
+
+
+def merge_cases(bases: DataFrame, o_col: str, cases_col: str, grammar: str, seconds: float = MERGE_SECONDS, **options) -> DataFrame:
+    """kind and result, as merge_experiment() gives it, for each case of a base: cases_col is an array of (kind, a, b, m). Of a base, equal
+    texts are parsed once and differences from it are made once for all cases."""
+    chosen = Options(**options)
+
+    def works(space: Space, o: str | None, cases: list | None) -> list:
+        trees, known = {}, {}
+
+        def tree(text: str | None):
+            if text not in trees:
+                [trees[text]] = kernels.parsed(space, grammar, text)
+            return trees[text]
+
+        def one(case: dict) -> dict:
+            try:
+                a, base, b = (tree(x) for x in (case["a"], o, case["b"]))
+                want = None if case["m"] is None else tree(case["m"])
+            except ParseError as e:
+                return {"status": "parse-error", "error": str(e)}
+            return kernels.merge_trees(space, a, base, b, want, chosen, known)
+
+        def told(case: dict):
+            run = kernels.guarded(one, kernels.MERGE, seconds)
+            return lambda: run(case) | {"kind": case["kind"]}
+
+        return [told(case) for case in cases or []]
+
+    merged = kernels.add_rows(bases, [o_col, cases_col], {"kind": "string", "status": "string", "error": "string"}, works, keep=[])
+    return merged.select("kind", merge_result().alias("result"))
 
 
 def parse_experiment(texts: DataFrame, text_col: str, grammar: str) -> DataFrame:
