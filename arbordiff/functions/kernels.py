@@ -138,7 +138,7 @@ def chosen(outputs: dict[str, str], columns: list[str] | None) -> dict[str, str]
     return {c: t for c, t in outputs.items() if columns is None or c in columns or c == "status"}
 
 
-ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "map<string,long>": pa.map_(pa.string(), pa.int64())}
+ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary()), "map<string,long>": pa.map_(pa.string(), pa.int64())}
 NODE = {"node_id": "int", "parent_id": "int", "ord": "int", "depth": "int", "last_id": "int", "kind": "string", "dtype": "string", "con": "string", "prim_type": "string", "prim_val": "string", "height": "int", "size": "int", "digest": "string", "kids": "array<string>", "parse_error": "string"}
 #: What a node table has unless told otherwise.
 PLAIN = [c for c in NODE if c not in ("kids", "parse_error")]

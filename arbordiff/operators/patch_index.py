@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from arbordiff.functions import kernels
 from arbordiff.operators import patches
 from arbordiff.operators.terms import HOLE, ROLL, Space, Term, digests
-from arbordiff.sources.grammars import grammar, install, registry
+from arbordiff.sources.grammars import ParseError, grammar, install, registry
 from arbordiff.sources.tables import stored
 
 #: Demands that a patch is filed under.
 LEVELS = 3
+#: Keys of a batch of rows that are sent on together.
+MOST_KEYS = 1 << 14
 
 
 def _hash(*parts: bytes) -> bytes:
@@ -73,23 +75,48 @@ def _keys(df: DataFrame, id_col: str, value_col: str, keys_of) -> DataFrame:
 
     def kernel(batches):
         install(*registered)
+
+        def flushed(b: pa.RecordBatch, at: list[int], keys: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(keys, pa.binary())], [id_col, "key"])
+
         for b in batches:
+            at, keys = [], []
             for i, value in enumerate(b.column(1).to_pylist()):
-                found = None
-                if value is not None:
-                    try:
-                        found = [*keys_of(value)]
-                    except (ValueError, RecursionError):  # not a patch, not a text of the grammar
-                        found = None
-                if found:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(found))), pa.array(found, pa.binary())], [id_col, "key"])
+                if value is None:
+                    continue
+                try:
+                    found = [*keys_of(value)]
+                except (ValueError, RecursionError):  # not a patch, not a text of the grammar
+                    continue
+                at += [i] * len(found)
+                keys += found
+                if len(keys) >= MOST_KEYS:
+                    yield flushed(b, at, keys)
+                    at, keys = [], []
+            if keys:
+                yield flushed(b, at, keys)
 
     return df.select(id_col, value_col).mapInArrow(kernel, f"{id_col} {dict(df.dtypes)[id_col]}, key binary")
 
 
+def filed_changes(df: DataFrame, source_col: str, target_col: str, name: str, keep: list[str]) -> DataFrame:
+    """The columns of keep with status, error, patch and its demands, which are told while the patch is at hand: reading it again costs as
+    much as half of making it."""
+
+    def work(space: Space, source: str | None, target: str | None) -> dict:
+        try:
+            a, b = kernels.parsed(space, name, source, target)
+        except ParseError as e:
+            return {"status": "parse-error", "error": str(e)}
+        made = patches.diff(space, a, b)
+        return {"status": "success", "patch": patches.encode_patch(made), "demands": demands(patches.distribute(space, made).delete)}
+
+    return kernels.add_columns(df, [source_col, target_col], {"status": "string", "error": "string", "patch": "string", "demands": "array<binary>"}, work, keep=keep)
+
+
 def applicable(changes: DataFrame, trees: DataFrame, name: str, levels: int = LEVELS) -> DataFrame:
     """(patch_id, tree_id, status, error, result) of the pairs that fit: status success, or error with a variable that has no value.
-    changes: (patch_id, patch), trees: (tree_id, text). Ids are unique; equal patches and equal texts are best given once, as the result
+    changes: (patch_id, patch) and, if filed_changes() made them, demands; trees: (tree_id, text). Ids are unique; equal patches and equal texts are best given once, as the result
     has a row for each pair."""
     parse = grammar(name)
 
@@ -97,7 +124,8 @@ def applicable(changes: DataFrame, trees: DataFrame, name: str, levels: int = LE
         space = Space()
         return demands(patches.distribute(space, patches.decode_patch(space, text)).delete)
 
-    asked = stored(_keys(changes, "patch_id", "patch", of_patch), "demands")
+    told = "demands" in changes.columns
+    asked = changes.select("patch_id", F.explode("demands").alias("key")) if told else stored(_keys(changes, "patch_id", "patch", of_patch), "demands")
     wanted = asked.select("key").distinct()
     # only what some patch asks for is kept of the trees
     hits = stored(_keys(trees, "tree_id", "text", lambda text: offers(parse(Space(), text))).join(wanted, "key"), "offers")
