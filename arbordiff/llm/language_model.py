@@ -170,44 +170,90 @@ class Network:
     def prepared(self) -> "Scorer":
         return Scorer(self)
 
+    def output_gradients(self, h: np.ndarray, targets: np.ndarray, grads: dict) -> np.ndarray:
+        """What log_probabilities() adds to grads and returns with them, without the probabilities: words of a class stand together, and
+        biases are one more row of the weights."""
+        p, u = self.p, UNITS
+        h1 = np.hstack([h, np.ones((len(h), 1), np.float32)])
+
+        def softmax_gradient(x: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
+            d = x @ weights
+            if not abs(float(d.max())) < 60:  # far from what training gives
+                d -= d.max(1, keepdims=True)
+            np.exp(d, out=d)
+            total = d @ np.ones(d.shape[1], np.float32)
+            if not (total > 1e-30).all():
+                d = x @ weights
+                d = np.exp(d - d.max(1, keepdims=True))
+                total = d.sum(1)
+            d *= (1 / total)[:, None]
+            d[np.arange(len(x)), own] -= 1
+            return d
+
+        frequent = targets < CLASSES * IN_CLASS
+        own = np.where(frequent, targets // IN_CLASS, targets - CLASSES * IN_CLASS + CLASSES)
+        d = softmax_gradient(h1, np.vstack([p["class"], p["class_bias"]]), own)
+        g = h1.T @ d
+        grads["class"] += g[:u]
+        grads["class_bias"] += g[u]
+        back = d @ p["class"].T
+        at = np.flatnonzero(frequent)
+        at = at[np.argsort(own[at].astype(np.uint8), kind="stable")]
+        edges = np.searchsorted(own[at], np.arange(CLASSES + 1)).tolist()
+        x, k, by_word = h1[at], targets[at] % IN_CLASS, np.empty((len(at), u), np.float32)
+        weights = np.concatenate([p["word"], p["word_bias"][:, None, :]], axis=1)
+        for c in range(CLASSES):
+            if (i := edges[c]) < (j := edges[c + 1]):
+                d = softmax_gradient(x[i:j], weights[c], k[i:j])
+                g = x[i:j].T @ d
+                grads["word"][c] += g[:u]
+                grads["word_bias"][c] += g[u]
+                np.matmul(d, p["word"][c].T, out=by_word[i:j])
+        back[at] += by_word
+        return back
+
     def train(self, texts: list[np.ndarray], passes: int = 1, rate: float = 0.08, most: int | None = None) -> None:
         """texts: the symbols of each document, its end last. most: tokens after which a pass ends."""
-        u = UNITS
+        u, p = UNITS, self.p
         for _ in range(passes):
             seen = 0
             h = np.zeros((TRAIN_LANES, u), np.float32)
             lanes = Lanes(iter([(None, t) for t in texts]), TRAIN_LANES)
             while (most is None or seen < most) and (w := lanes.window(TRAIN_STEPS)) is not None:
                 symbols, targets, keep, live, _ = w
-                seen += int(live.sum())
+                seen += (count := int(live.sum()))
                 trace: list = []
                 states = self.states(symbols, keep, h, trace)
-                grads = {k: np.zeros_like(x) for k, x in self.p.items() if k != "input"}
-                _, back = self.log_probabilities(states[live], targets[live], grads)
+                grads = {k: np.zeros_like(x) for k, x in p.items() if k != "input"}
                 into = np.zeros_like(states)
-                into[live] = back
-                given, later = np.zeros((*symbols.shape, 3 * u), np.float32), np.zeros_like(h)
+                into[live] = self.output_gradients(states[live], targets[live], grads)
+                h0, hn, r, z, n = (np.stack(x) for x in zip(*trace))
+                by_new, by_reset, by_update = (1 - z) * (1 - n * n), hn * r * (1 - r), (h0 - n) * z * (1 - z)
+                given, hidden, later = np.empty((*symbols.shape, 3 * u), np.float32), np.empty((*symbols.shape, 3 * u), np.float32), np.zeros_like(h)
+                back = np.ascontiguousarray(p["state"].T)
                 for t in range(len(symbols) - 1, -1, -1):
-                    h0, hn, r, z, n = trace[t]
-                    d = into[t] + later
-                    dn = d * (1 - z) * (1 - n * n)
-                    dr, dz = dn * hn * r * (1 - r), d * (h0 - n) * z * (1 - z)
-                    given[t] = np.hstack([dr, dz, dn])
-                    hidden = np.hstack([dr, dz, dn * r])
-                    grads["state"] += h0.T @ hidden
-                    later = (d * z + hidden @ self.p["state"].T) * keep[t][:, None]
+                    d, g = into[t] + later, given[t]
+                    dn = np.multiply(d, by_new[t], out=g[:, 2 * u :])
+                    np.multiply(dn, by_reset[t], out=g[:, :u])
+                    np.multiply(d, by_update[t], out=g[:, u : 2 * u])
+                    hidden[t, :, : 2 * u] = g[:, : 2 * u]
+                    np.multiply(dn, r[t], out=hidden[t, :, 2 * u :])
+                    later = d * z[t]
+                    later += hidden[t] @ back
+                    later *= keep[t][:, None]
+                grads["state"] += h0.reshape(-1, u).T @ hidden.reshape(-1, 3 * u)
                 h = lanes.shrink(states[-1])
-                scale = np.float32(1 / max(1, int(live.sum())))
+                scale = np.float32(1 / max(1, count))
                 for k, g in grads.items():
                     g = np.clip(g * scale, -1, 1)
                     self.squares[k] += g * g
-                    self.p[k] -= rate * g / np.sqrt(self.squares[k])
-                used, where = np.unique(symbols, return_inverse=True)
-                g = np.zeros((len(used), 3 * u), np.float32)
-                np.add.at(g, where.ravel(), given.reshape(-1, 3 * u))
+                    p[k] -= rate * g / np.sqrt(self.squares[k])
+                order = np.argsort(symbols.astype(np.uint16).ravel(), kind="stable")
+                used, first = np.unique(symbols.ravel()[order], return_index=True)
+                g = np.add.reduceat(given.reshape(-1, 3 * u)[order], first, axis=0)
                 g = np.clip(g * scale, -1, 1)
                 self.squares["input"][used] += g * g
-                self.p["input"][used] -= rate * g / np.sqrt(self.squares["input"][used])
+                p["input"][used] -= rate * g / np.sqrt(self.squares["input"][used])
 
 
 class Scorer:
