@@ -4,6 +4,7 @@ Counts of all training tokens give the base score, the vocabulary, the classes a
 neighbouring ranks; a word's probability is that of its class times that within the class (two small softmax layers). Other words
 belong to classes by their last two bytes; within these, a word has its smoothed share of the training tokens. The recurrent network is
 trained by truncated backpropagation on all training rows, in every partition on its own, after which the partitions' weights are averaged.
+Texts are looked up once and stored as symbols, which training and scoring read.
 They all start from the same weights, which come from FIRST_TOKENS steps of a token on the driver, over training rows in the order of a hash.
 Documents are scored in windows; the state is carried from window to window and starts anew with each document, so that a score is the
 log-likelihood of the complete document, however long.
@@ -38,6 +39,10 @@ FIRST_TOKENS, FIRST_PASSES = 250_000, 3
 IN_ROW = 1 << 13
 #: Steps of a window and documents side by side when scoring and when training.
 STEPS, LANES, TRAIN_STEPS, TRAIN_LANES = 32, 192, 24, 48
+#: In the partitions: the rate, documents side by side, and tokens that are held for that. The rate goes with how many are side by side.
+RATE, WIDE, PORTION = 0.15, 256, 1 << 20
+#: Tokens whose output is worked out at once.
+ROWS = 512
 #: A document's end; words are never empty.
 END = b""
 
@@ -171,89 +176,151 @@ class Network:
         return Scorer(self)
 
     def output_gradients(self, h: np.ndarray, targets: np.ndarray, grads: dict) -> np.ndarray:
-        """What log_probabilities() adds to grads and returns with them, without the probabilities: words of a class stand together, and
-        biases are one more row of the weights."""
+        """What log_probabilities() adds to grads and returns with them, without the probabilities: words of a class stand together,
+        biases are one more row of the weights, and a softmax is divided by its total within the products, which are smaller."""
         p, u = self.p, UNITS
-        h1 = np.hstack([h, np.ones((len(h), 1), np.float32)])
-
-        def softmax_gradient(x: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
-            d = x @ weights
-            if not abs(float(d.max())) < 60:  # far from what training gives
-                d -= d.max(1, keepdims=True)
-            np.exp(d, out=d)
-            total = d @ np.ones(d.shape[1], np.float32)
-            if not (total > 1e-30).all():
-                d = x @ weights
-                d = np.exp(d - d.max(1, keepdims=True))
-                total = d.sum(1)
-            d *= (1 / total)[:, None]
-            d[np.arange(len(x)), own] -= 1
-            return d
+        x = np.ones((len(h), u + 1), np.float32)
+        x[:, :u] = h
+        room, ones = np.empty(ROWS * max(IN_CLASS, CLASSES + OTHERS), np.float32), np.ones(max(IN_CLASS, CLASSES + OTHERS), np.float32)
+        row = np.arange(ROWS)
+
+        def add(x: np.ndarray, weights: np.ndarray, own: np.ndarray, back: np.ndarray, grad: np.ndarray, grad_bias: np.ndarray) -> None:
+            for i in range(0, len(x), ROWS):
+                x_, own_ = x[i : i + ROWS], own[i : i + ROWS]
+                d = np.matmul(x_, weights, out=room[: len(x_) * weights.shape[1]].reshape(len(x_), -1))
+                if not abs(float(d.max())) < 60:  # far from what training gives
+                    d -= d.max(1, keepdims=True)
+                np.exp(d, out=d)
+                total = d @ ones[: d.shape[1]]
+                if not (total > 1e-30).all():
+                    np.matmul(x_, weights, out=d)
+                    d -= d.max(1, keepdims=True)
+                    np.exp(d, out=d)
+                    total = d @ ones[: d.shape[1]]
+                d[row[: len(d)], own_] -= total
+                total = (1 / total)[:, None]
+                g = (x_ * total).T @ d
+                grad += g[:u]
+                grad_bias += g[u]
+                b = back[i : i + ROWS]
+                np.matmul(d, weights[:u].T, out=b)
+                b *= total
 
         frequent = targets < CLASSES * IN_CLASS
         own = np.where(frequent, targets // IN_CLASS, targets - CLASSES * IN_CLASS + CLASSES)
-        d = softmax_gradient(h1, np.vstack([p["class"], p["class_bias"]]), own)
-        g = h1.T @ d
-        grads["class"] += g[:u]
-        grads["class_bias"] += g[u]
-        back = d @ p["class"].T
+        back = np.empty((len(h), u), np.float32)
+        add(x, np.vstack([p["class"], p["class_bias"]]), own, back, grads["class"], grads["class_bias"])
         at = np.flatnonzero(frequent)
         at = at[np.argsort(own[at].astype(np.uint8), kind="stable")]
         edges = np.searchsorted(own[at], np.arange(CLASSES + 1)).tolist()
-        x, k, by_word = h1[at], targets[at] % IN_CLASS, np.empty((len(at), u), np.float32)
+        x, k, by_word = x[at], targets[at] % IN_CLASS, np.empty((len(at), u), np.float32)
         weights = np.concatenate([p["word"], p["word_bias"][:, None, :]], axis=1)
         for c in range(CLASSES):
             if (i := edges[c]) < (j := edges[c + 1]):
-                d = softmax_gradient(x[i:j], weights[c], k[i:j])
-                g = x[i:j].T @ d
-                grads["word"][c] += g[:u]
-                grads["word_bias"][c] += g[u]
-                np.matmul(d, p["word"][c].T, out=by_word[i:j])
+                add(x[i:j], weights[c], k[i:j], by_word[i:j], grads["word"][c], grads["word_bias"][c])
         back[at] += by_word
         return back
 
-    def train(self, texts: list[np.ndarray], passes: int = 1, rate: float = 0.08, most: int | None = None) -> None:
-        """texts: the symbols of each document, its end last. most: tokens after which a pass ends."""
+    def train(self, texts: list[np.ndarray], passes: int = 1, rate: float = 0.08, most: int | None = None, most_lanes: int | None = None) -> None:
+        """texts: the symbols of each document, its end last. most: tokens after which a pass ends. The documents are one stream, cut
+        into lanes of one length; a document that goes on in the next lane goes on there without a state."""
         u, p = UNITS, self.p
+        stream = np.concatenate(texts)[:most]
+        n = len(stream)
+        begins = np.cumsum([0, *map(len, texts)])
+        lanes = max(1, min(most_lanes or TRAIN_LANES, n // TRAIN_STEPS))
+        long = -(-n // lanes)
+        padded = np.zeros(lanes * long + 1, np.int64)
+        padded[1 : n + 1] = stream
+        goes_on = np.ones(lanes * long, np.float32)
+        goes_on[begins[begins < n]] = 0
+        whole = (np.where(goes_on > 0, padded[:-1], 0), padded[1:], goes_on, np.arange(lanes * long) < n)  # a document begins after an end
+        whole = [np.ascontiguousarray(x.reshape(lanes, long).T) for x in whole]
+        # Tables of a window, made once: (steps, lanes, units).
+        gates_, given_ = np.empty((TRAIN_STEPS, lanes, 2 * u), np.float32), np.empty((TRAIN_STEPS, lanes, 3 * u), np.float32)
+        rooms = [np.empty((TRAIN_STEPS, lanes, u), np.float32) for _ in range(7)]
+        gate, hidden, part = (np.empty((lanes, k * u), np.float32) for k in (2, 3, 1))
         for _ in range(passes):
-            seen = 0
-            h = np.zeros((TRAIN_LANES, u), np.float32)
-            lanes = Lanes(iter([(None, t) for t in texts]), TRAIN_LANES)
-            while (most is None or seen < most) and (w := lanes.window(TRAIN_STEPS)) is not None:
-                symbols, targets, keep, live, _ = w
-                seen += (count := int(live.sum()))
-                trace: list = []
-                states = self.states(symbols, keep, h, trace)
+            h = np.zeros((lanes, u), np.float32)
+            for at in range(0, long, TRAIN_STEPS):
+                symbols, targets, keep, live = (x[at : at + TRAIN_STEPS] for x in whole)
+                steps, flat = len(symbols), symbols.ravel()
+                gates, given, (new, before, hidden_new, states, by_new, by_reset, by_update) = gates_[:steps], given_[:steps], (x[:steps] for x in rooms)
+                # forward; of r and z the logistic function is (1 + tanh(x / 2)) / 2
+                (p["input"][:, : 2 * u] / 2).take(flat, 0, gates.reshape(-1, 2 * u), "clip")
+                p["input"][:, 2 * u :].copy().take(flat, 0, new.reshape(-1, u), "clip")
+                state_gates, state_new = p["state"][:, : 2 * u] / 2, p["state"][:, 2 * u :].copy()
+                fresh = (keep == 0).any(1).tolist()
+                for t in range(steps):
+                    h0, g, n_, hn = before[t], gates[t], new[t], hidden_new[t]
+                    if fresh[t]:
+                        np.multiply(h, keep[t][:, None], out=h0)
+                    else:
+                        h0[:] = h
+                    g += np.matmul(h0, state_gates, out=gate)
+                    np.tanh(g, out=g)
+                    g += 1
+                    g *= 0.5
+                    np.matmul(h0, state_new, out=hn)
+                    n_ += np.multiply(hn, g[:, :u], out=part)
+                    np.tanh(n_, out=n_)
+                    h = np.subtract(h0, n_, out=states[t])
+                    h *= g[:, u:]
+                    h += n_
+                h = h.copy()
                 grads = {k: np.zeros_like(x) for k, x in p.items() if k != "input"}
-                into = np.zeros_like(states)
-                into[live] = self.output_gradients(states[live], targets[live], grads)
-                h0, hn, r, z, n = (np.stack(x) for x in zip(*trace))
-                by_new, by_reset, by_update = (1 - z) * (1 - n * n), hn * r * (1 - r), (h0 - n) * z * (1 - z)
-                given, hidden, later = np.empty((*symbols.shape, 3 * u), np.float32), np.empty((*symbols.shape, 3 * u), np.float32), np.zeros_like(h)
-                back = np.ascontiguousarray(p["state"].T)
-                for t in range(len(symbols) - 1, -1, -1):
-                    d, g = into[t] + later, given[t]
-                    dn = np.multiply(d, by_new[t], out=g[:, 2 * u :])
+                if full := bool(live.all()):
+                    into = self.output_gradients(states.reshape(-1, u), targets.ravel(), grads).reshape(states.shape)
+                else:
+                    into = np.zeros_like(states)
+                    into[live] = self.output_gradients(states[live], targets[live], grads)
+                # backward
+                r, z = gates[..., :u], gates[..., u:]
+                np.subtract(1, z, out=by_reset)
+                np.multiply(new, new, out=by_new)
+                np.subtract(1, by_new, out=by_new)
+                by_new *= by_reset
+                np.subtract(before, new, out=by_update)
+                by_update *= by_reset
+                by_update *= z
+                np.subtract(1, r, out=by_reset)
+                by_reset *= r
+                by_reset *= hidden_new
+                back, later = p["state"].T.copy(), np.zeros((lanes, u), np.float32)
+                for t in range(steps - 1, -1, -1):
+                    d, g = into[t], given[t]
+                    d += later
+                    dn = np.multiply(d, by_new[t], out=part)
+                    g[:, 2 * u :] = dn
                     np.multiply(dn, by_reset[t], out=g[:, :u])
                     np.multiply(d, by_update[t], out=g[:, u : 2 * u])
-                    hidden[t, :, : 2 * u] = g[:, : 2 * u]
-                    np.multiply(dn, r[t], out=hidden[t, :, 2 * u :])
-                    later = d * z[t]
-                    later += hidden[t] @ back
-                    later *= keep[t][:, None]
-                grads["state"] += h0.reshape(-1, u).T @ hidden.reshape(-1, 3 * u)
-                h = lanes.shrink(states[-1])
-                scale = np.float32(1 / max(1, count))
+                    hidden[:, : 2 * u] = g[:, : 2 * u]
+                    np.multiply(dn, r[t], out=hidden[:, 2 * u :])
+                    grads["state"] += before[t].T @ hidden
+                    d *= z[t]
+                    np.matmul(hidden, back, out=later)
+                    later += d
+                    if fresh[t]:
+                        later *= keep[t][:, None]
+                scale = np.float32(1 / max(1, live.size if full else int(live.sum())))
+                used = np.flatnonzero(np.bincount(flat, minlength=self.SYMBOLS))
+                at_symbol = (flat[:, None] * (3 * u) + np.arange(3 * u)).ravel()
+                by_symbol = np.bincount(at_symbol, given.ravel(), self.SYMBOLS * 3 * u).reshape(-1, 3 * u)[used]
+                self._step("input", by_symbol.astype(np.float32), scale, rate, used)
                 for k, g in grads.items():
-                    g = np.clip(g * scale, -1, 1)
-                    self.squares[k] += g * g
-                    p[k] -= rate * g / np.sqrt(self.squares[k])
-                order = np.argsort(symbols.astype(np.uint16).ravel(), kind="stable")
-                used, first = np.unique(symbols.ravel()[order], return_index=True)
-                g = np.add.reduceat(given.reshape(-1, 3 * u)[order], first, axis=0)
-                g = np.clip(g * scale, -1, 1)
-                self.squares["input"][used] += g * g
-                p["input"][used] -= rate * g / np.sqrt(self.squares["input"][used])
+                    self._step(k, g, scale, rate)
+
+    def _step(self, name: str, gradient: np.ndarray, scale: np.float32, rate: float, used: np.ndarray | None = None) -> None:
+        """A step of Adagrad; used: the rows that the gradient is of."""
+        g = gradient
+        g *= scale
+        np.clip(g, -1, 1, out=g)
+        at = slice(None) if used is None else used
+        squares = self.squares[name][at] + g * g
+        self.squares[name][at] = squares
+        g *= rate
+        g /= np.sqrt(squares, out=squares)
+        self.p[name][at] -= g
 
 
 class Scorer:
@@ -266,7 +333,8 @@ class Scorer:
         self.state_gates, self.state_new = np.ascontiguousarray(p["state"][:, : 2 * u]) / 2, np.ascontiguousarray(p["state"][:, 2 * u :])
         self.classes = np.vstack([p["class"], p["class_bias"]])
         self.words = np.concatenate([p["word"], p["word_bias"][:, None, :]], axis=1)
-        self.ones = np.ones(max(IN_CLASS, CLASSES + OTHERS), np.float32)
+        self.ones, self.row = np.ones(max(IN_CLASS, CLASSES + OTHERS), np.float32), np.arange(ROWS)
+        self.room = np.empty(ROWS * max(IN_CLASS, CLASSES + OTHERS), np.float32)
 
     def states(self, symbols: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
         u, out = UNITS, np.empty((*symbols.shape, UNITS), np.float32)
@@ -290,30 +358,36 @@ class Scorer:
             h += n
         return out
 
-    def _rest(self, h: np.ndarray, weights: np.ndarray, own: np.ndarray) -> np.ndarray:
-        logits = h @ weights
-        out = logits[np.arange(len(h)), own].astype(np.float64)
-        total = np.exp(logits, out=logits) @ self.ones[: logits.shape[1]]
-        if not (np.isfinite(total).all() and (total > 1e-30).all()):  # far from what training gives; the slow way then
-            logits = (h @ weights).astype(np.float64)
-            top = logits.max(1)
-            return out - top - np.log(np.exp(logits - top[:, None]).sum(1))
-        return out - np.log(total)
+    def _of_class(self, x: np.ndarray, weights: np.ndarray, own: np.ndarray, out: np.ndarray) -> None:
+        """Adds to out the log probabilities of the columns own; x: states, and ones for the biases."""
+        for i in range(0, len(x), ROWS):
+            x_, own_, out_ = x[i : i + ROWS], own[i : i + ROWS], out[i : i + ROWS]
+            logits = np.matmul(x_, weights, out=self.room[: len(x_) * weights.shape[1]].reshape(len(x_), -1))
+            picked = logits[self.row[: len(x_)], own_]
+            total = np.exp(logits, out=logits) @ self.ones[: weights.shape[1]]
+            if not (np.isfinite(total).all() and (total > 1e-30).all()):  # far from what training gives; the slow way then
+                far = (x_ @ weights).astype(np.float64)
+                top = far.max(1)
+                out_ += far[self.row[: len(x_)], own_] - top - np.log(np.exp(far - top[:, None]).sum(1))
+            else:
+                out_ += picked
+                out_ -= np.log(total, out=total)
 
     def log_probabilities(self, h: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        h = np.hstack([h, np.ones((len(h), 1), np.float32)])
+        x = np.ones((len(h), UNITS + 1), np.float32)
+        x[:, :UNITS] = h
         frequent = targets < CLASSES * IN_CLASS
         own = np.where(frequent, targets // IN_CLASS, targets - CLASSES * IN_CLASS + CLASSES)
-        out = self._rest(h, self.classes, own)
+        out = np.zeros(len(h))
+        self._of_class(x, self.classes, own, out)
         at = np.flatnonzero(frequent)
         at = at[np.argsort(own[at].astype(np.uint8), kind="stable")]
-        edges = np.searchsorted(own[at], np.arange(CLASSES + 1))
-        k = targets[at] % IN_CLASS
-        sorted_h = h[at]
+        edges = np.searchsorted(own[at], np.arange(CLASSES + 1)).tolist()
+        x, k, by_word = x[at], targets[at] % IN_CLASS, np.zeros(len(at))
         for c in range(CLASSES):
-            s = slice(edges[c], edges[c + 1])
-            if edges[c] < edges[c + 1]:
-                out[at[s]] += self._rest(sorted_h[s], self.words[c], k[s])
+            if (i := edges[c]) < (j := edges[c + 1]):
+                self._of_class(x[i:j], self.words[c], k[i:j], by_word[i:j])
+        out[at] += by_word
         return out
 
 
@@ -421,78 +495,101 @@ def score(docs: DataFrame, held_out: int = 1, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(id_col).alias("id"), (fold_of(id_col) == held_out).alias("held_out"), F.col(text_col).alias("text"))
-    training = rows.where(~F.col("held_out"))
-    counts = written(count_tokens(training.select("text")), "tokens")
+    counts = written(count_tokens(rows.where(~F.col("held_out")).select("text")), "tokens")
     words = vocabulary(counts)
     network = Network(words)
     # Training rows in the order of a hash until FIRST_TOKENS tokens are met: about so many rows as hold them.
+    looked = numbered(_looked(rows, kind, Shared(spark, words)), "row", "looked")
+    training = looked.where(~F.col("held_out"))
     part = max(1, words.total // (2 * FIRST_TOKENS))
-    sample = training.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).orderBy(F.xxhash64(F.lit("first"), "id"), "id").select("text")
+    sample = training.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).orderBy(F.xxhash64(F.lit("first"), "id"), "id").select("symbols")
     texts, size = [], 0
     for r in sample.toLocalIterator():
-        texts.append(words.look(words_of((r.text or "").encode()))[1])
+        texts.append(np.frombuffer(r.symbols, np.uint16))
         if (size := size + len(texts[-1])) >= FIRST_TOKENS:
             break
     if texts:
         network.train(texts, FIRST_PASSES, most=FIRST_TOKENS)
         _average(training, network, Shared(spark, (words, network)))
-    shared = Shared(spark, (words, network))
-    tail = pa.list_(pa.struct([("token", pa.binary()), ("n", pa.int32())]))
+    shared = Shared(spark, network)
 
     def kernel(batches):
-        words, scorer = shared.made(lambda value: (value[0], value[1].prepared()))
-        done: list[tuple] = []
-        id_type = None
+        scorer = shared.made(Network.prepared)
+        done: list[list] = []
+        schema = None
 
         def documents():
-            nonlocal id_type
+            nonlocal schema
             for b in batches:
-                id_type = b.column(0).type
-                for id_, held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True):
-                    tokens = words_of(text)
-                    n, symbols, unsent = words.look(tokens)
-                    sent = n[n >= 0]
-                    other = symbols[symbols >= CLASSES * IN_CLASS] - CLASSES * IN_CLASS
-                    base = float(words.log_count[sent].sum()) - len(tokens) * words.log_total
-                    own = float(words.log_count[sent[sent >= words.frequent]].sum()) - float(words.log_other[other].sum())
-                    yield [id_, held, len(tokens), int((words.counts[sent] > 0).sum()), base, own, [{"token": t, "n": k} for t, k in Counter(unsent).items()]], symbols
-
-        def out():
-            columns = [*map(list, zip(*done, strict=True))]
-            kinds = [pa.array(columns[0], id_type), *(pa.array(c, t) for c, t in zip(columns[1:], (pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), tail), strict=True))]
-            done.clear()
-            return pa.RecordBatch.from_arrays(kinds, ["id", "held_out", "n_tokens", "known", "base", "own", "unsent"])
+                schema = b.schema.remove(b.schema.get_field_index("symbols"))
+                for *row, symbols in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+                    yield row, np.frombuffer(symbols, np.uint16)
 
         lanes, h = Lanes(documents(), LANES), np.zeros((LANES, UNITS), np.float32)
         while (w := lanes.window(STEPS)) is not None:
             symbols, targets, keep, live, pieces = w
             states = scorer.states(symbols, keep, h)
             h = lanes.shrink(states[-1])
-            logs = np.zeros(symbols.shape)
-            logs[live] = scorer.log_probabilities(states[live], targets[live])
+            if live.all():
+                logs = scorer.log_probabilities(states.reshape(-1, UNITS), targets.ravel()).reshape(symbols.shape)
+            else:
+                logs = np.zeros(symbols.shape)
+                logs[live] = scorer.log_probabilities(states[live], targets[live])
             sums = np.vstack([np.zeros(logs.shape[1]), np.cumsum(logs, 0)]) / np.log(10)
             for document, lane, begin, end, ends in pieces:
-                document[5] += float(sums[end, lane] - sums[begin, lane])
+                document[-1] += float(sums[end, lane] - sums[begin, lane])
                 if ends:
-                    done.append(tuple(document))
+                    done.append(document)
             if len(done) >= 256:
-                yield out()
+                yield batch(schema, [*zip(*done, strict=True)])
+                done.clear()
         if done:
-            yield out()
+            yield batch(schema, [*zip(*done, strict=True)])
 
-    scored = map_arrow(rows, kernel, f"id {kind}, held_out boolean, n_tokens long, known long, base double, own double, unsent array<struct<token:binary,n:int>>")
-    scored = numbered(scored, "row", "scored")
-    tokens = scored.select("row", F.explode("unsent").alias("x")).select("row", F.col("x.token").alias("token"), F.col("x.n").alias("k"))
+    scored = written(map_arrow(looked.select("id", "held_out", "n_tokens", "known", "base", "row", "own", "symbols"), kernel, f"id {kind}, held_out boolean, n_tokens long, known long, base double, row long, own double"), "scored")
+    tokens = looked.select("row", F.explode("unsent").alias("x")).select("row", F.col("x.token").alias("token"), F.col("x.n").alias("k"))
     c = F.coalesce(F.col("n"), F.lit(0))
     rest = tokens.join(counts, "token", "left").groupBy("row").agg(F.sum(F.col("k") * F.log10(c + 0.5)).alias("rest"), F.sum(F.when(c > 0, F.col("k")).otherwise(0)).alias("rest_known"))
-    all_ = scored.drop("unsent").join(rest, "row", "left")
+    all_ = scored.join(rest, "row", "left")
     more = F.coalesce("rest", F.lit(0.0))
     return all_.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("own") + more).alias("score"))
 
 
+def _looked(rows: DataFrame, kind: str, shared: Shared) -> DataFrame:
+    """rows (id, held_out, text), the texts as symbols of two bytes, with what the sent words give to counts and scores, and the others."""
+    pairs = pa.struct([("token", pa.binary()), ("n", pa.int32())])
+
+    def kernel(batches):
+        words = shared.made(lambda value: value)
+        for b in batches:
+            columns: list[list] = [[], [], [], [], []]
+            tokens, numbers, edges = [], [], [0]
+            for text in utf8(b.column(2)):
+                found = words_of(text)
+                n, symbols, unsent = words.look(found)
+                sent = n[n >= 0]
+                other = symbols[symbols >= CLASSES * IN_CLASS] - CLASSES * IN_CLASS
+                base = float(words.log_count[sent].sum()) - len(found) * words.log_total
+                own = float(words.log_count[sent[sent >= words.frequent]].sum()) - float(words.log_other[other].sum())
+                for column, x in zip(columns, (len(found), int((words.counts[sent] > 0).sum()), base, own, symbols.astype(np.uint16).tobytes()), strict=True):
+                    column.append(x)
+                counted = Counter(unsent)
+                tokens += counted
+                numbers += counted.values()
+                edges.append(len(tokens))
+            unsent = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays([pa.array(tokens, pa.binary()), pa.array(numbers, pa.int32())], fields=[*pairs]))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+            arrays = [b.column(0), b.column(1), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True)), unsent]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "held_out", "n_tokens", "known", "base", "own", "symbols", "unsent"])
+
+    return map_arrow(rows, kernel, f"id {kind}, held_out boolean, n_tokens long, known long, base double, own double, symbols binary, unsent array<struct<token:binary,n:int>>")
+
+
 def _average(training: DataFrame, network: Network, shared: Shared) -> int:
     """One round in every partition on all its training rows, from the same weights; then the mean of the weights, each partition by its
-    tokens. A partition sends its weights as a few rows of IN_ROW, Spark adds them up, and the driver gets the sums. Gives the tokens trained on."""
+    tokens. A partition sends its weights as a few rows of IN_ROW, Spark adds them up, and the driver gets the sums. Gives the tokens trained on.
+    training: rows with symbols, or else with a text."""
+    coded = "symbols" in training.columns
     names = list(network.p)
     schema = pa.schema([("part", pa.int32()), ("w", pa.binary()), ("n", pa.float64())])
 
@@ -503,14 +600,14 @@ def _average(training: DataFrame, network: Network, shared: Shared) -> int:
         n, held, size = 0, [], 0
         for b in batches:
             for text in utf8(b.column(0)):
-                symbols = words.look(words_of(text))[1]
+                symbols = np.frombuffer(text, np.uint16) if coded else words.look(words_of(text))[1].astype(np.uint16)
                 held.append(symbols)
                 size += len(symbols)
-                if size > 200_000:
-                    own.train(held, rate=0.03)
+                if size > PORTION:
+                    own.train(held, rate=RATE, most_lanes=WIDE)
                     n, held, size = n + size, [], 0
         if held:
-            own.train(held, rate=0.03)
+            own.train(held, rate=RATE, most_lanes=WIDE)
         if n := n + size:
             flat = np.concatenate([own.p[k].ravel() for k in names]).astype(float) * n
             rows = [flat[i : i + IN_ROW].tobytes() for i in range(0, len(flat), IN_ROW)]
@@ -524,7 +621,7 @@ def _average(training: DataFrame, network: Network, shared: Shared) -> int:
                 sums[part] = old + np.frombuffer(w, np.float64), met + n
         yield batch(schema, [list(sums), [w.tobytes() for w, _ in sums.values()], [n for _, n in sums.values()]])
 
-    sent = map_arrow(training.select("text"), kernel, "part int, w binary, n double").repartition("part")
+    sent = map_arrow(training.select("symbols" if coded else "text"), kernel, "part int, w binary, n double").repartition("part")
     rows = sorted(map_arrow(sent, add, "part int, w binary, n double").collect(), key=lambda r: r.part)
     if rows:
         flat = np.concatenate([np.frombuffer(r.w, np.float64) / r.n for r in rows])
