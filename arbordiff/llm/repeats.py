@@ -6,10 +6,11 @@
 2. Runs with the same bytes (words) are one class. A class of several members repeats as a whole. The text of one member of each class
    is fetched for the keys with several classes.
 3. The classes of a key meet in one block (many keys to a block, a very frequent key in many). The block is sorted by prefix doubling,
-   transformed, and the intervals of equal strings are extended backwards breadth first, one symbol in each round: common prefixes come
-   in order of increasing length, intervals of one suffix are dropped, and the expansion stops at the least length. What is left are
-   the strings that occur more than once. The sort by doubling knows the intervals of half that length already; expansion begins with
-   those. Symbols are bytes, or the words of the block.
+   transformed, and the intervals of equal strings are extended backwards breadth first: common prefixes come in order of increasing
+   length, intervals of one suffix are dropped, and the expansion stops at the least length. What is left are the strings that occur
+   more than once. The sort by doubling knows the intervals of half that length already; expansion begins with those, and goes on by
+   strings of as many symbols as the sort has numbered (from 224 bytes by 112, 56, 7 and 1), transformed by these. Symbols are bytes,
+   or the words of the block.
 4. Blocks of a very frequent key exchange digests of their distinct strings, so that repeats across blocks count, too.
 
 Strings never cross rows. A null text is empty. Texts shorter than the least length can't repeat. Repeated rows repeat each other. The
@@ -48,20 +49,22 @@ def _power_tables() -> list[np.ndarray]:
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _M1
-    h = (h ^ (h >> np.uint64(29))) * _M2
-    return h ^ (h >> np.uint64(32))
+    part = h >> np.uint64(32)
+    h = np.bitwise_xor(h, part)
+    h *= _M1
+    h ^= np.right_shift(h, np.uint64(29), out=part)
+    h *= _M2
+    h ^= np.right_shift(h, np.uint64(32), out=part)
+    return h
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """The least of each w neighbours."""
-    n = len(x)
-    padded = np.full(-(-n // w) * w, np.uint64(2**64 - 1))
-    padded[:n] = x
-    blocks = padded.reshape(-1, w)
-    before = np.minimum.accumulate(blocks, axis=1).ravel()
-    after = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(after[: n - w + 1], before[w - 1 : n])
+    """The least of each w neighbours: of 2, of 4, of 8 and so on, and at last of two such stretches that overlap."""
+    k = 1
+    while 2 * k <= w:
+        x = np.minimum(x[:-k], x[k:])
+        k *= 2
+    return np.minimum(x[: len(x) - (w - k)], x[w - k :])
 
 
 def _periodic(text: bytes, length: int, window: int) -> np.ndarray:
@@ -105,12 +108,16 @@ def word_runs(text: bytes, words: int) -> tuple[np.ndarray, ...]:
     sums = np.zeros(len(each) + 1, np.uint64)
     np.cumsum(each * powers[0], out=sums[1:])
     grams = _mix((sums[gram:] - sums[:-gram]) * powers[1][: len(each) - gram + 1])
-    within = np.lib.stride_tricks.sliding_window_view(grams, words - gram + 1)
-    least = np.concatenate([within[i : i + _STEP].argmin(1) for i in range(0, n, _STEP)]) + np.arange(n)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(least)) + 1])
+    least = _sliding_min(grams, words - gram + 1)
+    first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     count = np.diff(np.concatenate([first, [n]]))
+    within = np.lib.stride_tricks.sliding_window_view(grams, words - gram + 1)
+    if (first + count > first + within[first].argmin(1) + 1).any():  # the least piece comes again within a run: its places are looked at
+        place = np.concatenate([within[i : i + _STEP].argmin(1) for i in range(0, n, _STEP)]) + np.arange(n)
+        first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+        count = np.diff(np.concatenate([first, [n]]))
     digest = _mix((sums[first + count + words - 1] - sums[first]) * powers[1][first])
-    return grams[least[first]], first, count, digest
+    return least[first], first, count, digest
 
 
 def word_hashes(text: bytes) -> np.ndarray:
@@ -118,6 +125,24 @@ def word_hashes(text: bytes) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
 
 
+def _before(sa: np.ndarray, number: np.ndarray, room: np.ndarray, hop: int) -> tuple[np.ndarray, np.ndarray]:
+    """The transform by strings of `hop` symbols: for each row the number of the string before its suffix (0: a separator is in it), and
+    the row of the suffix that begins with that string. number: of the string at each place, above 0 and in their order; room: symbols
+    before the next separator. Rows of one string keep their order, as many as there are in its stretch of the suffix array."""
+    n = len(sa)
+    at = sa - hop
+    bwt = np.where((at >= 0) & (room[at] >= hop), number[at], 0).astype(np.int32)
+    order = np.sort(bwt.astype(np.int64) << 32 | np.arange(n))
+    order &= 0xFFFFFFFF
+    ordered, own = bwt[order], np.where(room[sa] >= hop, number[sa], 0)
+    del at
+    # the stretches of strings without a separator, one after another, are the rows in the order of the strings before them
+    rows = np.flatnonzero(own)
+    lf = np.zeros(n, np.int32)
+    lf[order[np.searchsorted(ordered, 1) :]] = rows
+    return bwt, lf
+
+
 def repeated_starts(segments: list[bytes | np.ndarray], length: int, seed: int = 0) -> list[np.ndarray]:
     """For each segment (bytes, or an array of numbers), which of its strings of `length` symbols occur at several places of the segments
     (as booleans). seed: expansion begins with the intervals of this length, rounded down to one that the sort passes through; 0 for half
@@ -147,6 +172,15 @@ def repeated_starts(segments: list[bytes | np.ndarray], length: int, seed: int =
         key |= padded[i : i + n]
     depth, seeded, seed_depth = 0, None, 0
     seed = seed or length // 2 + length // 8
+    # How far each round of the expansion goes: as far as rounds of the sort do, at last symbol by symbol.
+    longest = at_once
+    while 2 * longest <= seed:
+        longest *= 2
+    hops, left, hop = [], length - longest, longest
+    while left > 0:
+        hops += [hop] * (left // hop)
+        left, hop = left % hop, hop // 2 if hop > at_once else 1
+    numbers = {1: text}
     while True:
         sa = np.argsort(key)
         key = key[sa]
@@ -157,6 +191,8 @@ def repeated_starts(segments: list[bytes | np.ndarray], length: int, seed: int =
         rank[sa] = number
         if seeded is None or depth <= seed:
             seeded, seed_depth = rank, depth
+        if depth in hops:
+            numbers[depth] = rank + 1
         if depth >= min(length, n) or number[-1] == n - 1:
             break
         key = rank.astype(np.int64)
@@ -165,35 +201,33 @@ def repeated_starts(segments: list[bytes | np.ndarray], length: int, seed: int =
     del key, number, rank
     if seed_depth > length:
         raise ValueError("strings are too short for this method")
-    bwt = text[sa - 1]
-    lf = np.empty(n, np.int32)
-    lf[np.argsort(bwt, kind="stable")] = np.arange(n, dtype=np.int32)
-    run = np.zeros(n, np.int32)
-    np.cumsum(bwt[1:] != bwt[:-1], out=run[1:])
     # Intervals of the strings of seed_depth symbols without a separator.
     room = np.repeat(ends, sizes + 1) - np.arange(n)
     edge = np.concatenate([[0], np.flatnonzero(np.diff(seeded[sa])) + 1, [n]])
     low, size = edge[:-1], np.diff(edge)
     keep = (size > 1) & (room[sa[low]] >= seed_depth)
     low, size = low[keep], size[keep]
-    del room, seeded, edge
-    for _ in range(length - seed_depth):
+    del seeded, edge
+    for hop in hops:
+        if not len(low):
+            break
+        bwt, lf = _before(sa, numbers[hop], room, hop)
+        run = np.zeros(n, np.int32)
+        np.cumsum(bwt[1:] != bwt[:-1], out=run[1:])
         alike = run[low] == run[low + size - 1]
         low_a, size_a = low[alike], size[alike]
         keep = bwt[low_a] > 0
         parts = [(lf[low_a[keep]], size_a[keep])]
         if not alike.all():  # the symbols before differ: an interval for each of them
             rows = ranges(low[~alike], size[~alike])
-            code = np.repeat(np.arange(len(low) - len(low_a)), size[~alike]) << bits | bwt[rows]
+            code = np.repeat(np.arange(len(low) - len(low_a)), size[~alike]) << 32 | bwt[rows]
             order = np.argsort(code, kind="stable")
             code, rows = code[order], rows[order]
             first = np.concatenate([[0], np.flatnonzero(np.diff(code)) + 1])
             many = np.diff(np.concatenate([first, [len(code)]]))
-            keep = (many > 1) & (code[first] & ((1 << bits) - 1) > 0)
+            keep = (many > 1) & (code[first] & 0xFFFFFFFF > 0)
             parts.append((lf[rows[first[keep]]], many[keep]))
         low, size = (np.concatenate(x) for x in zip(*parts, strict=True))
-        if not len(low):
-            break
     found = np.zeros(n, bool)
     found[sa[ranges(low, size)]] = True
     starts = np.concatenate([[0], ends[:-1] + 1])
