@@ -100,19 +100,19 @@ def word_runs(text: bytes, words: int) -> tuple[np.ndarray, ...]:
     piece of half the words is at the same place. What stands between words doesn't count."""
     each = word_hashes(text)
     n, gram = len(each) - words + 1, words // 2 + 1
-    powers = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+    powers = [p[: len(each)] for p in _power_tables()]
+    for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64)) if len(powers[0]) < len(each) else ()):
         p = np.full(len(each), base, np.uint64)
         p[0] = 1
-        powers.append(np.multiply.accumulate(p))
+        powers[k] = np.multiply.accumulate(p)
     sums = np.zeros(len(each) + 1, np.uint64)
     np.cumsum(each * powers[0], out=sums[1:])
     grams = _mix((sums[gram:] - sums[:-gram]) * powers[1][: len(each) - gram + 1])
     least = _sliding_min(grams, words - gram + 1)
     first = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     count = np.diff(np.concatenate([first, [n]]))
-    within = np.lib.stride_tricks.sliding_window_view(grams, words - gram + 1)
-    if (first + count > first + within[first].argmin(1) + 1).any():  # the least piece comes again within a run: its places are looked at
+    if (count > grams[first[:, None] + np.arange(words - gram + 1)].argmin(1) + 1).any():  # the least piece comes again within a run: its places are looked at
+        within = np.lib.stride_tricks.sliding_window_view(grams, words - gram + 1)
         place = np.concatenate([within[i : i + _STEP].argmin(1) for i in range(0, n, _STEP)]) + np.arange(n)
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         count = np.diff(np.concatenate([first, [n]]))
