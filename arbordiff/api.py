@@ -77,13 +77,14 @@ def composable(df: DataFrame, second_col: str, first_col: str) -> DataFrame:
     return kernels.add_columns(df, [second_col, first_col], {"composes": "boolean", "parse_error": "string"}, kernels.composes_row)
 
 
-def merge_triples(df: DataFrame, a_col: str, o_col: str, b_col: str, grammar: str, expected_col: str | None = None, min_height: int = 1, mode: str = "nonest", global_scope: bool = False, seconds: float = 0, max_nodes: int = 0, columns: list[str] | None = None) -> DataFrame:
-    """df with status, error, merged, labels and conflicts. seconds, max_nodes and columns: as for diff_pairs."""
+def merge_triples(df: DataFrame, a_col: str, o_col: str, b_col: str, grammar: str, expected_col: str | None = None, min_height: int = 1, mode: str = "nonest", global_scope: bool = False, seconds: float = 0, max_nodes: int = 0, columns: list[str] | None = None, deal: bool = True, keep: list[str] | None = None) -> DataFrame:
+    """df with status, error, merged, labels and conflicts. seconds, max_nodes and columns: as for diff_pairs. deal: False where the rows are
+    dealt to tasks already. keep: the columns of df that are passed on (None: all)."""
     outputs = kernels.chosen(kernels.MERGE, columns)
     wanted = frozenset(outputs)
     options = Options(min_height, mode, global_scope, max_nodes)
     texts = [a_col, o_col, b_col, *([expected_col] if expected_col else [])]
-    return kernels.add_columns(df, texts, outputs, lambda s, a, o, b, m=None: kernels.merge_row(s, grammar, a, o, b, m, options, wanted), seconds)
+    return kernels.add_columns(df, texts, outputs, kernels.merges(grammar, options, wanted), seconds, deal, keep)
 
 
 def write_conflict_labels(merged: DataFrame, path: str) -> None:

@@ -17,7 +17,7 @@ from arbordiff.operators import alignment, layout, merging, patches
 from arbordiff.operators.patches import Options
 from arbordiff.operators.terms import PRIM, Space, encode, node_columns, render
 from arbordiff.sources import layouts
-from arbordiff.sources.grammars import ParseError, grammar, install, lines, registry, unparser
+from arbordiff.sources.grammars import ParseError, grammar, install, lines, outline, registry, unparser
 from arbordiff.sources.line_trees import line_nodes
 from arbordiff.sources.tables import dealt
 
@@ -272,6 +272,33 @@ def merge_row(space: Space, name: str, a: str | None, o: str | None, b: str | No
     return {"status": status} | {c: f() for c, f in given.items() if c in wanted}
 
 
+#: What of a merge has no names in it.
+NAMELESS = frozenset({"status", "labels"})
+#: Outlines whose merges a task remembers before it begins anew, and characters of the texts of one of them.
+OUTLINES, OUTLINED = 1 << 12, 1 << 12
+
+
+def merges(name: str, options: Options, wanted=MERGE_ALL) -> Callable[..., dict]:
+    """merge_row() for the rows of a task. A merge asks of values only which are the same: status and labels are those of any texts that
+    differ in names alone. If nothing else is wanted, and the grammar tells names, such texts are parsed and merged once."""
+    known: dict[tuple, dict] = {}
+    nameless = wanted <= NAMELESS
+
+    def work(space: Space, a: str | None, o: str | None, b: str | None, expected: str | None = None) -> dict:
+        texts = a, o, b, expected
+        key = outline(name, *texts) if nameless and sum([len(t) for t in texts if t is not None]) <= OUTLINED else None
+        if key is None:
+            return merge_row(space, name, *texts, options, wanted)
+        if (row := known.get(key)) is None:
+            row = merge_row(space, name, *texts, options, wanted)
+            if len(known) >= OUTLINES:
+                known.clear()
+            known[key] = row
+        return row
+
+    return work
+
+
 def merge_trees(space: Space, a, o, b, want, options: Options, known: dict) -> dict:
     """The status of a merge; known: see merging.merge3()."""
     if large := _too_large(options, a, o, b):
